@@ -1,0 +1,68 @@
+"""Exact tokenisation through a cache of space-delimited pieces.
+
+A pre-tokeniser never joins characters across a space that follows a non-space and precedes one, so a text's ids are
+the ids of its pieces in order. Pieces repeat; each distinct one is encoded by the library once per worker.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterator
+
+import numpy as np
+
+
+class PieceCache:
+    """Ids of whole texts as little-endian uint32 bytes, equal to the library's own.
+
+    ``joins_spaces``: True for vocabularies whose tokens begin with the space before a word (byte-level), False where
+    white space is dropped. ``limit`` bounds the number of cached pieces, and so the worker's memory.
+    """
+
+    def __init__(self, path: str, joins_spaces: bool, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.prefix = " " if joins_spaces else ""
+        self.limit = limit
+        self.ids: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(texts), 2000):
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
+        return found
+
+    def _whole(self, text: str) -> bool:
+        """True where pieces don't have the text's own boundaries: runs of spaces, or a space at the end."""
+        return bool(self.prefix) and ("  " in text or text[-1:] == " ")
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """One bytes object per text, in order. Works in groups of a few MB of text."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > 2_000_000:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        pieces = [None if self._whole(t) else t.split(" ") for t in texts]
+        used: set[str] = set()
+        for p in pieces:
+            if p:
+                used.update(p[1:])
+        if len(self.ids) > self.limit:  # the pieces of this group are likely to come again, most others are not
+            self.ids = {p: self.ids[p] for p in used & self.ids.keys()}
+        new = list(used - self.ids.keys())
+        self.ids.update(zip(new, self._encode([self.prefix + p for p in new])))
+        heads = iter(self._encode([t if p is None else p[0] for t, p in zip(texts, pieces)]))
+        get = self.ids.__getitem__
+        for p in pieces:
+            head = next(heads)
+            yield head if p is None else head + b"".join(map(get, p[1:]))
