@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridex.llm.decontamination import op9_decontamination
 from veridex.llm.grammar_shards import op8_grammar_shards
+from veridex.llm.html_extraction import op10_html_extraction
 from veridex.llm.packing import op3_packing
+from veridex.llm.repetition_quality import op4_repetition_quality
 from veridex.llm.token_counts import op2_token_counts
+from veridex.llm.url_rules import op7_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_repetition_quality": op4_repetition_quality,
+    "op7_url_rules": op7_url_rules,
     "op8_grammar_shards": op8_grammar_shards,
+    "op9_decontamination": op9_decontamination,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
