@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridex.llm._common import id_and_text, table, tokenizer_path, written
-from veridex.llm.packing import offsets_of, piece_cache
+from veridex.llm.encoders import encoder
+from veridex.llm.packing import offsets_of
 
 MAGIC = b"RPG1"
 SHARDS = "part int, shard int, before long, n long, file binary"
@@ -143,8 +144,8 @@ def shards(df: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = piece_cache(path, False), TaskContext.get().partitionId()
-        base = max(cache.library.get_vocab_size(), end_id + 1)
+        library, part = encoder(path), TaskContext.get().partitionId()
+        base = max(library.size, end_id + 1)
         end, before, shard = np.array([end_id], "<u4").tobytes(), 0, 0
         docs: list[int | None] = []
         blobs: list[bytes] = []
@@ -157,7 +158,7 @@ def shards(df: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 some = batch.slice(at, 1000)
-                for d, x in zip(some.column(0).to_pylist(), cache.encode(some.column(1).to_pylist())):
+                for d, x in zip(some.column(0).to_pylist(), library.encode(some.column(1).to_pylist())):
                     x += end
                     if blobs and size + len(x) // 4 > shard_ids:
                         yield flush()

@@ -21,31 +21,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridex.llm._common import id_and_text, table, tokenizer_path, written
-from veridex.llm.piece_cache import PieceCache
+from veridex.llm.encoders import encoder
 
 ENCODED = "doc_id long, part int, before long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_caches: dict[str, PieceCache] = {}
-
-
-def piece_cache(path: str, joins_spaces: bool) -> PieceCache:
-    """The worker's own cache; it lives as long as the worker does."""
-    if path not in _caches:
-        _caches[path] = PieceCache(path, joins_spaces)
-    return _caches[path]
-
-
-def encoded(docs: DataFrame, path: str, end_id: int, joins_spaces: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """First pass over ``doc_id, text``: a table of ids (little-endian uint32) by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, before = piece_cache(path, joins_spaces), TaskContext.get().partitionId(), 0
+        ids_of, part, before = encoder(path).encode, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 some = batch.slice(at, 1000)
-                ids = [x + end for x in cache.encode(some.column(1).to_pylist())]
+                ids = [x + end for x in ids_of(some.column(1).to_pylist())]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
