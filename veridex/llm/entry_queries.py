@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veridex.llm.decontamination import op9_decontamination
 from veridex.llm.grammar_shards import op8_grammar_shards
 from veridex.llm.html_extraction import op10_html_extraction
+from veridex.llm.near_duplicates import op6_near_duplicates
 from veridex.llm.packing import op3_packing
 from veridex.llm.repetition_quality import op4_repetition_quality
 from veridex.llm.token_counts import op2_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_repetition_quality": op4_repetition_quality,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_url_rules": op7_url_rules,
     "op8_grammar_shards": op8_grammar_shards,
     "op9_decontamination": op9_decontamination,
