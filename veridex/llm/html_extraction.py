@@ -262,11 +262,13 @@ def main_text(page: str, weights: Sequence[float]) -> str:
 def extracted(pages: DataFrame, most_sample: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``SCHEMA`` of every page; a narrow stage without shuffle.
 
-    The classifier is fitted on the ``most_sample`` pages with the smallest hashes of their ids, at most 200,000
-    characters of each.
+    The classifier is fitted on ``most_sample`` pages, those with the smallest hashes of their ids, at most 200,000
+    characters of each; where ids repeat, on as many of those.
     """
     docs = pages.select(_quoted(id_col).cast("long").alias("page_id"), _quoted(url_col).alias("url"), F.coalesce(_quoted(html_col), F.lit("")).alias("html"))
-    sample = docs.select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, 200_000).alias("html")).orderBy("h", "html").limit(most_sample).collect()
+    hashed = docs.withColumn("h", F.xxhash64("page_id"))
+    least = hashed.select("h").distinct().orderBy("h").limit(most_sample).agg(F.max("h")).first()[0]
+    sample = hashed.filter(F.col("h") <= least).select(F.substring("html", 1, 200_000).alias("html")).limit(most_sample).collect() if least is not None else []
     weights = fitted([r["html"] for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
