@@ -12,6 +12,7 @@ Texts of any length are counted whole; a text costs memory in proportion to its
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from veridex.llm._common import id_and_text, table, tokenizer_path
+from veridex.llm.encoders import byte_letters
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+IN_SPACE = re.compile(r"\s (?:\s|\Z)")
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -38,7 +41,7 @@ class MergeCounter:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
-        self.first = np.array([vocab[c] for c in self._byte_letters()], np.int64)  # by byte
+        self.first = np.array([vocab[c] for c in byte_letters()], np.int64)  # by byte
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         #: The pre-tokenizer's pattern is a fixed value of byte-level BPE files. [\x1c-\x1f] are no white space there.
@@ -46,13 +49,6 @@ class MergeCounter:
         self.limit = limit
         self.known: dict[str, int] = {}  # tokens of each space-delimited piece
 
-    @staticmethod
-    def _byte_letters() -> list[str]:
-        """The printable letter that stands for each byte: itself where printable, else the next from 256 on."""
-        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        rest = iter(range(256, 512))
-        return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
-
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -116,13 +112,13 @@ class MergeCounter:
             self.known[piece] = extra + sum(counts[distinct[w]] for w in ws)
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each whole text. A text is cut before spaces that follow a non-space and precede one, where
-        pre-tokens never join; with runs of spaces, or a space at its end, it is one piece."""
+        """Tokens of each whole text. A text is cut before every space, where pre-tokens never join unless white space
+        is on both sides; with such a space it is one piece."""
         found: list[int] = []
         group: list[list[str]] = []
         size = 0
         for k, t in enumerate(texts):
-            if "  " in t or t[-1:] == " ":
+            if IN_SPACE.search(t):
                 group.append([t])
             else:
                 head, *rest = t.split(" ")
@@ -137,7 +133,7 @@ class MergeCounter:
         used = set().union(*group)
         if len(self.known) > self.limit:
             self.known = {p: self.known[p] for p in used & self.known.keys()}
-        self._count_new(list(used - self.known.keys()))
+        self._count_new([p for p in used if p not in self.known])
         get = self.known.__getitem__
         return [sum(map(get, p)) for p in group]
 
