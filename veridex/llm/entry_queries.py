@@ -11,12 +11,14 @@ from veridex.llm.grammar_shards import op8_grammar_shards
 from veridex.llm.html_extraction import op10_html_extraction
 from veridex.llm.near_duplicates import op6_near_duplicates
 from veridex.llm.packing import op3_packing
+from veridex.llm.personal_data import op1_personal_data
 from veridex.llm.repetition_quality import op4_repetition_quality
 from veridex.llm.sentence_spans import op5_sentence_spans
 from veridex.llm.token_counts import op2_token_counts
 from veridex.llm.url_rules import op7_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_repetition_quality": op4_repetition_quality,
