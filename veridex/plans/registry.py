@@ -1,10 +1,345 @@
-"""Every query over the test tables with its oracle SQL, by name."""
+"""Every query over the test tables with its oracle SQL, by name.
+
+An order stands for a trial and its line items for criteria: the line status is the kind, the return flag the verdict
+(A true, R false, N unknown), ten times the discount the confidence, a quantity from 25 on a biomarker, the total price
+the retrieval score. All queries run over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veridex.functions import text as tx
+from veridex.operators import judging, judgment, patient, report, retrieval, scoring
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", F.when(F.col("l_linestatus") == "O", "inclusion").otherwise("exclusion").alias("kind"),
+        F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("eligible"), F.round(F.col("l_discount") * 10, 1).alias("confidence"),
+        scoring.weight(F.col("l_quantity") >= 25).alias("weight"), F.round(F.col("l_tax") * 10, 1).alias("second"), "l_extendedprice",
+    )
+    li = li.withColumn("passes", scoring.passes(F.col("kind"), F.col("eligible")))
+    return li.withColumn("pass_confidence", scoring.pass_confidence(F.col("passes"), F.col("confidence"))).withColumn("route", scoring.route(F.col("confidence"), F.col("second") >= 0.3))
+
+
+V = """v0 AS (SELECT l_orderkey, l_partkey, CASE WHEN l_linestatus='O' THEN 'inclusion' ELSE 'exclusion' END AS kind,
+  CASE l_returnflag WHEN 'A' THEN TRUE WHEN 'R' THEN FALSE END AS eligible, round(l_discount*10,1) AS confidence,
+  CASE WHEN l_quantity>=25 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, round(l_tax*10,1) AS second, l_extendedprice FROM lineitem),
+v1 AS (SELECT *, CASE WHEN kind='inclusion' THEN eligible ELSE NOT eligible END AS passes FROM v0),
+v AS (SELECT *, CASE WHEN passes IS NULL THEN 0.5::DOUBLE WHEN passes THEN confidence ELSE 1.0::DOUBLE-confidence END AS pass_confidence,
+  CASE WHEN NOT (confidence BETWEEN 0.35 AND 0.75) THEN 'local' WHEN second>=0.3 THEN 'api' ELSE 'api_unavailable' END AS route FROM v1)"""
+E = f"""{V}, s AS (SELECT l_orderkey, bool_or(coalesce(NOT passes AND confidence>0.5,FALSE)) AS blocked, bool_and(coalesce(passes AND confidence>0.5,FALSE)) AS all_pass,
+  sum(weight*pass_confidence)/sum(weight) AS raw, count(*) FILTER (passes) AS n_pass, count(*) FILTER (NOT passes) AS n_fail, count(*) FILTER (passes IS NULL) AS n_unknown,
+  count(*) AS n_criteria, count(*) FILTER (route='api') AS n_routed_api, count(*) FILTER (route='api_unavailable') AS n_api_unavailable FROM v GROUP BY 1),
+e AS (SELECT o_orderkey, o_custkey, o_totalprice AS retrieval_score, CASE WHEN blocked THEN 'ineligible' WHEN all_pass THEN 'eligible' ELSE 'unresolved' END AS status,
+  coalesce(round(raw,6),0.0) AS score, coalesce(n_pass,0) AS n_pass, coalesce(n_fail,0) AS n_fail, coalesce(n_unknown,0) AS n_unknown, coalesce(n_criteria,0) AS n_criteria,
+  coalesce(n_routed_api,0) AS n_routed_api, coalesce(n_api_unavailable,0) AS n_api_unavailable, CASE WHEN n_criteria IS NULL THEN 'no criteria parsed' END AS note
+  FROM orders LEFT JOIN s ON o_orderkey=l_orderkey)"""
+PLACE = "CASE status WHEN 'eligible' THEN 0 WHEN 'unresolved' THEN 1 WHEN 'ineligible' THEN 2 ELSE 9 END"
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("retrieval_score"))
+    return scoring.evaluated(orders, _verdicts(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", digits=6)
+
+
+@query(f"WITH {E} SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {PLACE}, score DESC, retrieval_score DESC, o_orderkey) AS rank FROM e")
+def trial_rank(spark, sf_dir):
+    """Status, score and rank of every trial within its patient."""
+    return report.ranked(_evaluated(spark, sf_dir), "o_orderkey", "o_custkey").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {E} SELECT o_orderkey, status, score, retrieval_score FROM e ORDER BY {PLACE}, score DESC, retrieval_score DESC, o_orderkey LIMIT 50")
+def report_top(spark, sf_dir):
+    """The report's best trials over all, by TakeOrderedAndProject."""
+    c = F.col
+    return _evaluated(spark, sf_dir).orderBy(*scoring.rank_order(c("status"), c("score"), c("retrieval_score"), c("o_orderkey"))).select("o_orderkey", "status", "score", "retrieval_score").limit(50)
+
+
+@query(f"WITH {V} SELECT l_orderkey, l_partkey, kind, eligible, confidence, weight, passes, round(pass_confidence,6) AS pass_confidence, route FROM v")
+def criterion_verdicts(spark, sf_dir):
+    return _verdicts(spark, sf_dir).select("l_orderkey", "l_partkey", "kind", "eligible", "confidence", "weight", "passes", F.round("pass_confidence", 6).alias("pass_confidence"), "route")
+
+
+def _cascade(spark, sf_dir):
+    """Two judges: the second one answers with half its own verdicts unknown."""
+    side = lambda v, c, t: F.struct(v.cast("boolean").alias("eligible"), c.cast("double").alias("confidence"), F.lit("r").alias("reasoning"), t.alias("latency_s"), F.lit(7).alias("input_tokens"), F.lit(None).cast("int").alias("output_tokens"), F.when(F.col("l_partkey") % 11 == 0, "bad").alias("parse_error"))
+    v = _verdicts(spark, sf_dir)
+    first = side(F.col("eligible"), F.col("confidence"), F.col("l_extendedprice") / 1000)
+    other = side(F.when(F.col("l_partkey") % 2 == 0, F.lit(True)), F.lit(0.9), F.lit(1.5))
+    local = v.select("l_orderkey", "l_partkey", "kind", first.alias("local"), F.when(F.col("second") >= 0.3, other).alias("offered"))
+    asked = local.withColumn("api", F.when(scoring.in_band(F.col("local.confidence")), F.col("offered"))).drop("offered")
+    return judging.settled(asked)
+
+
+C = f"""{V}, c AS (SELECT *, confidence BETWEEN 0.35 AND 0.75 AND second>=0.3 AS asked, CASE WHEN l_partkey%2=0 THEN TRUE END AS api_eligible,
+  CASE WHEN l_partkey%11=0 THEN 'bad' END AS err, l_extendedprice/1000 AS lat FROM v)"""
+
+
+@query(f"WITH {C} SELECT l_orderkey, l_partkey, route, CASE WHEN asked THEN api_eligible ELSE eligible END AS eligible, CASE WHEN asked THEN 0.9::DOUBLE ELSE confidence END AS confidence FROM c")
+def routing_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir).select("l_orderkey", "l_partkey", "route", F.col("final.eligible").alias("eligible"), F.col("final.confidence").alias("confidence"))
+
+
+@query(f"""WITH {E}, c AS (SELECT *, confidence BETWEEN 0.35 AND 0.75 AND second>=0.3 AS asked, CASE WHEN l_partkey%2=0 THEN TRUE END AS api_eligible,
+  CASE WHEN l_partkey%11=0 THEN 'bad' END AS err, l_extendedprice/1000 AS lat FROM v)
+SELECT t.*, u.* FROM (SELECT count(*) AS n_trials, count(*) FILTER (status='eligible') AS n_eligible, count(*) FILTER (status='unresolved') AS n_unresolved, count(*) FILTER (status='ineligible') AS n_ineligible FROM e) t,
+(SELECT count(*) AS n_criteria, count(*) FILTER ((CASE WHEN asked THEN api_eligible ELSE eligible END) IS NULL) AS n_unknown_criteria, round(avg(lat),3) AS mean_local_latency_s,
+ round(avg(lat+CASE WHEN asked THEN 1.5 ELSE 0.0 END),3) AS mean_criterion_time_s, round(count(*) FILTER (route<>'local')/count(*),4) AS routing_band_rate, count(*) FILTER (route='api') AS n_routed_api,
+ round(count(*) FILTER (route='api')/count(*),4) AS api_routing_rate, count(*) FILTER (route='api_unavailable') AS n_api_unavailable,
+ count(*) FILTER (asked AND api_eligible IS DISTINCT FROM eligible) AS n_api_flipped, count(*) FILTER (err IS NOT NULL) AS n_parse_errors, (7*count(*))::BIGINT AS input_tokens_local,
+ (7*count(*) FILTER (asked))::BIGINT AS input_tokens_api, 0::BIGINT AS output_tokens_local, 0::BIGINT AS output_tokens_api FROM c) u""")
+def run_summary(spark, sf_dir):
+    rows = _cascade(spark, sf_dir)
+    return scoring.run_summary(_evaluated(spark, sf_dir), rows.withColumn("eligible", F.col("final.eligible")))
+
+
+@query(f"WITH {E} SELECT s.status, count(e.status) AS n FROM (VALUES ('eligible'),('unresolved'),('ineligible')) s(status) LEFT JOIN e USING (status) GROUP BY 1")
+def status_histogram(spark, sf_dir):
+    """Counts by status; a status without trials has 0."""
+    names = F.explode(F.array(*map(F.lit, scoring.STATUSES))).alias("status")
+    every = spark.range(1).select(names)
+    counts = _evaluated(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    return every.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query(f"WITH {V} SELECT l_orderkey, count(*) AS n, string_agg(kind || '#' || l_partkey, ',' ORDER BY kind DESC, l_partkey) AS blocking FROM v WHERE NOT passes AND confidence>0.5 GROUP BY 1")
+def blocking_list(spark, sf_dir):
+    """Blockers of each trial in order: inclusion first, then by number."""
+    v = _verdicts(spark, sf_dir).filter(~F.col("passes") & (F.col("confidence") > scoring.DECISIVE))
+    key = F.struct((F.col("kind") != "inclusion").alias("k"), "l_partkey", F.concat_ws("#", "kind", "l_partkey").alias("x"))
+    found = v.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("b"))
+    return found.select("l_orderkey", "n", F.array_join(F.transform("b", lambda x: x["x"]), ",").alias("blocking"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey IS NOT DISTINCT FROM o_orderkey AND l_quantity>=45)")
+def resume_todo(spark, sf_dir):
+    done = _t(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return judging.still_to_do(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), done, "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus='F' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice>=100000")
+def append_results(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return judging.resumed(o.filter("o_orderstatus = 'F'"), o.filter("o_totalprice >= 100000")).drop("o_totalprice")
+
+
+STOP = "(" + ",".join(f"'{w}'" for w in tx.STOPWORDS) + ")"
+W = f"w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text),'[a-z0-9]+'), lambda x: length(x)>1 AND x NOT IN {STOP}) AS words FROM documents)"
+
+
+@query(f"WITH {W} SELECT doc_id, len(words)::BIGINT AS n, array_to_string(words,' ') AS tokens FROM w")
+def tokenize_terms(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("tokens"))
+
+
+P = f"""{W}, x AS (SELECT doc_id, unnest(CASE WHEN len(words)=0 THEN ['_empty_'] ELSE words END) AS term, greatest(len(words),1) AS dl FROM w),
+p AS (SELECT doc_id, term, dl, count(*) AS tf FROM x GROUP BY ALL), r AS (SELECT term, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM p),
+i0 AS (SELECT term, df, ln(n-df+0.5)-ln(df+0.5) AS raw FROM r, n), i AS (SELECT term, df, CASE WHEN raw<0 THEN 0.25*(SELECT avg(raw) FROM i0) ELSE raw END AS idf FROM i0)"""
+
+
+@query(f"WITH {P} SELECT term, df, round(idf,6) AS idf FROM i")
+def bm25_corpus_stats(spark, sf_dir):
+    return retrieval.term_statistics(retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+#: Search words of the benchmark's first items stand for patients' queries.
+def _queries(spark, sf_dir):
+    items = _t(spark, sf_dir, "benchmark").filter("item_id < 5")
+    return items.select(F.col("item_id").alias("query"), F.explode(tx.tokens(F.col("text"))).alias("term"))
+
+
+Q = f"q AS (SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text),'[a-z0-9]+'), lambda x: length(x)>1 AND x NOT IN {STOP})) AS term FROM benchmark WHERE item_id<5) GROUP BY ALL)"
+BM = f"""{P}, {Q}, a AS (SELECT avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM p)),
+b AS (SELECT query, doc_id AS doc, sum(times*idf*tf*2.5/(tf+1.5*(0.25+0.75*dl/avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term), a GROUP BY ALL)"""
+
+
+@query(f"WITH {BM} SELECT query, doc, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS rank FROM b) WHERE rank<=10")
+def bm25_topk(spark, sf_dir):
+    scores = retrieval.bm25(retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text"), _queries(spark, sf_dir))
+    top = retrieval.ranked(scores.withColumn("s", F.round("score", 9)), "s").filter("rank <= 10")
+    return top.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _vectors(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
+    return v, v.filter("doc < 5").select(F.col("doc").alias("query"), F.col("embedding").alias("vector"))
+
+
+D = "d AS (SELECT q.vec_id AS query, e.vec_id AS doc, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id<5)"
+
+
+@query(f"WITH {D} SELECT query, doc, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS rank FROM d) WHERE rank<=10")
+def dense_topk(spark, sf_dir):
+    top = retrieval.ranked(retrieval.cosine(*_vectors(spark, sf_dir)).withColumn("s", F.round("score", 9)), "s").filter("rank <= 10")
+    return top.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {BM}, {D}, lex AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS r FROM b),
+den AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS r FROM d), u AS (SELECT * FROM lex UNION ALL SELECT * FROM den)
+SELECT query, doc, round(sum(1.0::DOUBLE/(60+r)),9) AS rrf FROM u GROUP BY ALL""")
+def rrf_hybrid(spark, sf_dir):
+    """Lists that rank different documents, fused."""
+    lexical = retrieval.bm25(retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text"), _queries(spark, sf_dir))
+    lists = [retrieval.ranked(s.withColumn("s", F.round("score", 9)), "s") for s in (lexical, retrieval.cosine(*_vectors(spark, sf_dir)))]
+    return retrieval.fused(lists).select("query", "doc", F.round("rrf", 9).alias("rrf"))
+
+
+@query(f"""WITH {BM}, {D}, ids AS (SELECT DISTINCT doc_id AS doc FROM p), qs AS (SELECT DISTINCT query FROM q), al AS (SELECT query, doc, coalesce(score,0.0) AS score FROM (SELECT * FROM ids, qs) LEFT JOIN b USING (query, doc)),
+lex AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS br FROM al), den AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS dr FROM d)
+SELECT query, doc, br AS bm25_rank, dr AS dense_rank, round(1.0::DOUBLE/(60+br)+1.0::DOUBLE/(60+dr),9) AS rrf FROM lex JOIN den USING (query, doc)
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1.0::DOUBLE/(60+br)+1.0::DOUBLE/(60+dr) DESC, br) <= 10""")
+def hybrid_search(spark, sf_dir):
+    """Both rankings of the whole corpus and the best ten of each query."""
+    vectors, asked = _vectors(spark, sf_dir)
+    posts = retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    found = retrieval.search(posts, _queries(spark, sf_dir), vectors, asked, 10)
+    return found.select("query", "doc", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("dense_rank").cast("long").alias("dense_rank"), F.round("rrf", 9).alias("rrf"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter([p_name, CASE WHEN p_size>25 THEN p_brand ELSE '' END, p_type, p_brand], lambda x: x IS NOT NULL AND x<>''),' . ') AS doc FROM part")
+def doc_compose(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", tx.document(F.col("p_name"), F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(""), F.array("p_type"), F.array("p_brand")).alias("doc"))
+
+
+@query(r"SELECT doc_id, idx-1 AS idx, trim(regexp_replace(line,'[ \t]+',' ','g')) AS line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l,1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def section_split(spark, sf_dir):
+    """Lines of a text with their numbers."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "x"))
+    return d.select("doc_id", F.col("idx").cast("long").alias("idx"), F.trim(F.regexp_replace("x", "[ \t]+", " ")).alias("line"))
+
+
+SAMPLES = ("(1,'Histologically confirmed NSCLC with KRAS G12C mutation'),(2,'ECOG performance status of 0 to 1'),(3,'Aged at least 18 years'),(4,'Prior treatment with a KRAS inhibitor'),"
+  "(5,'No brain metastases'),(6,'EGFR exon 19 deletion or L858R; T790M allowed'),(7,'Adequate organ function'),(8,'ECOG <= 2'),(9,'ALK fusion or ROS1 rearrangement, previously on systemic therapy')")
+
+
+@query(rf"""SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(t),'\b({tx.BIOMARKERS})\b',1))),',') AS biomarkers,
+array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t,'(?i)\b({tx.MUTATIONS})\b',1), lambda x: upper(x)))),',') AS mutations,
+TRY_CAST(nullif(regexp_extract(t,'(?i)(?:age|aged)\s*(?:>=|≥|at least|of)\s*(\d+)\s*years?',1),'') AS INTEGER) AS min_age_years,
+regexp_matches(t,'(?i)\bbrain\s+metasta[sc]e[sd]?\b|CNS metasta') AS brain,
+regexp_matches(t,'(?i)\b(prior|previous|previously)\b.{{0,50}}?\b(treatment|therapy|line|systemic|chemotherapy|TKI|immunotherapy|inhibitor)\b') AS prior,
+TRY_CAST(nullif(greatest(regexp_extract(t,'(?i)ECOG.{{0,40}}?(?:performance status\s*)?(?:of\s*)?(?:<=|≤|less than or equal to|of at most)?\s*(\d)(?:\s*(?:to|-|or)\s*(\d))?',1),
+ regexp_extract(t,'(?i)ECOG.{{0,40}}?(?:performance status\s*)?(?:of\s*)?(?:<=|≤|less than or equal to|of at most)?\s*(\d)(?:\s*(?:to|-|or)\s*(\d))?',2)),'') AS INTEGER) AS ecog_max
+FROM (VALUES {SAMPLES}) x(id,t)""")
+def feature_extract(spark, sf_dir):
+    f = spark.sql(f"SELECT * FROM VALUES {SAMPLES} AS x(id,t)").select("id", tx.features(F.col("t")).alias("f"))
+    return f.select("id", F.coalesce(F.array_join("f.biomarkers", ","), F.lit("")).alias("biomarkers"), F.coalesce(F.array_join("f.mutations", ","), F.lit("")).alias("mutations"), "f.min_age_years", F.coalesce("f.mentions_brain_mets", F.lit(False)).alias("brain"), F.coalesce("f.prior_therapy_relevant", F.lit(False)).alias("prior"), "f.ecog_max")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text,'[ \t\n\r]+',' ','g')) AS clean, replace(replace(text,'|','\|'),chr(10),' ') AS escaped FROM documents")
+def clean_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.collapsed(F.col("text")).alias("clean"), tx.markdown_escaped(F.col("text")).alias("escaped"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+WORDS = "(1,'Yes'),(2,' eligible '),(3,'not met'),(4,'N'),(5,'unknown'),(6,''),(7,'perhaps'),(8,'MEETS'),(9,'ineligible'),(10,'n/a')"
+_in = lambda words: "(" + ",".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f"""SELECT id, CASE WHEN lower(trim(w)) IN {_in(judgment.TRUE_WORDS)} THEN TRUE WHEN lower(trim(w)) IN {_in(judgment.FALSE_WORDS)} THEN FALSE END AS eligible,
+lower(trim(w)) IN {_in(judgment.TRUE_WORDS + judgment.FALSE_WORDS + judgment.NULL_WORDS)} AS known FROM (VALUES {WORDS}) x(id,w)""")
+def coerce_verdict(spark, sf_dir):
+    return spark.sql(f"SELECT * FROM VALUES {WORDS} AS x(id,w)").select("id", judgment.verdict(F.col("w")).alias("eligible"), judgment.is_verdict(F.col("w")).alias("known"))
+
+
+NUMBERS = "(1,'85%'),(2,'0.85'),(3,'95'),(4,'150%'),(5,'250'),(6,'-1'),(7,'high'),(8,' 50 %'),(9,'1'),(10,'1.5')"
+
+
+@query(f"""SELECT id, round(least(greatest(CASE WHEN n>1 THEN n/100 ELSE n END,0.0),1.0),6) AS confidence FROM
+(SELECT id, TRY_CAST(trim(rtrim(trim(c),'%')) AS DOUBLE)/(CASE WHEN trim(c) LIKE '%\\%' ESCAPE '\\' THEN 100 ELSE 1 END) AS n FROM (VALUES {NUMBERS}) x(id,c)) WHERE n IS NOT NULL""".replace("\\\\", "\\"))
+def coerce_confidence(spark, sf_dir):
+    return spark.sql(f"SELECT * FROM VALUES {NUMBERS} AS x(id,c)").select("id", F.round(judgment.confidence(F.col("c")), 6).alias("confidence")).filter("confidence is not null")
+
+
+BROKEN = """(1,'{"a": True, "b": [1,2,],}'),(2,'{"e": unknown, "c": None}'),(3,'{"e": False}'),(4,'{"x": Undetermined }'),(5,'{"ok": 1}')"""
+
+
+@query(rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,',\s*([}}\]])','\1','g'),'\bTrue\b','true','g'),'\bFalse\b','false','g'),'\bNone\b','null','g'),'(?i)(:\s*)(?:unknown|undetermined)\b','\1null','g') AS fixed FROM (VALUES {BROKEN}) x(id,s)""")
+def repair_json(spark, sf_dir):
+    return spark.sql(f"SELECT * FROM VALUES {BROKEN} AS x(id,s)").select("id", judgment.repaired_json(F.col("s")).alias("fixed"))
+
+
+@query("""SELECT o_custkey, bool_or(upper(o_orderpriority)='1-URGENT' AND o_orderstatus='F') AS has_member, arg_max(o_orderpriority, o_orderkey) FILTER (contains(lower(o_orderpriority),'high')) AS last_match,
+count(*)+1 AS next_line FROM orders GROUP BY 1""")
+def profile_functions(spark, sf_dir):
+    """Membership, last match and next line over each customer's orders as a history."""
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus"))).alias("h"))
+    history = F.transform("h", lambda x, i: F.struct((i + 1).alias("line"), x["o_orderpriority"].alias("drug"), x["o_orderpriority"].alias("best_response")))
+    muts = F.transform("h", lambda x: F.struct(x["o_orderpriority"].alias("gene"), x["o_orderstatus"].alias("protein_change")))
+    o = o.select("o_custkey", history.alias("history"), muts.alias("muts"))
+    return o.select("o_custkey", patient.has_mutation(F.col("muts"), "1-urgent", "p.F").alias("has_member"), patient.prior_response_to(F.col("history"), "HIGH").alias("last_match"), patient.current_line(F.col("history")).cast("long").alias("next_line"))
+
+
+@query("SELECT r_regionkey, p_partkey, r_name || ' / ' || p_brand AS pair FROM region, part")
+def cross_patient(spark, sf_dir):
+    """One small side (patients) against every criterion; the small side is a table of fixed size."""
+    return _t(spark, sf_dir, "part").crossJoin(F.broadcast(_t(spark, sf_dir, "region"))).select("r_regionkey", "p_partkey", F.concat_ws(" / ", "r_name", "p_brand").alias("pair"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value),6) AS mean, round(median(value),6) AS median, round(quantile_cont(value,0.95),6) AS p95, max(value) AS max FROM events GROUP BY 1")
+def latency_stats(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.max("value").alias("max"))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type='click' AND (props IS NOT NULL AND props<>'')")
+def log_filter(spark, sf_dir):
+    return _t(spark, sf_dir, "events").filter((F.col("event_type") == "click") & (F.coalesce("props", F.lit("")) != "")).select("event_id", "user_id", "value")
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))),'; ') AS priorities, count(DISTINCT o_orderstatus) AS n_status FROM orders GROUP BY 1")
+def distinct_sorted(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("priorities"), F.count_distinct("o_orderstatus").alias("n_status"))
+
+
+@query("SELECT substr(sha256('model' || string_agg(doc_id || chr(31) || text || chr(30), '' ORDER BY doc_id)),1,16) AS fingerprint FROM documents WHERE n_chars < 2000 AND source='src1'")
+def fingerprint(spark, sf_dir):
+    """The ordered hash of a small corpus: one source's short documents."""
+    d = _t(spark, sf_dir, "documents").filter("n_chars < 2000 and source = 'src1'")
+    return retrieval.fingerprint("model", d, "doc_id", "doc_id", "text")
+
+
+@query(rf"""WITH {E} SELECT o_orderkey, '| ' || rank || ' | ' || o_orderkey || ' | ' || status || ' | ' || printf('%.6f',score) || ' | ' || printf('%.4f',retrieval_score) || ' | ' || n_pass || '/' || n_fail || '/' || n_unknown || ' | t\|' || o_custkey || ' |' AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {PLACE}, score DESC, retrieval_score DESC, o_orderkey) AS rank FROM e)""")
+def report_rows(spark, sf_dir):
+    c = F.col
+    t = report.ranked(_evaluated(spark, sf_dir), "o_orderkey", "o_custkey")
+    return t.select("o_orderkey", report.table_line(c("rank"), c("o_orderkey"), c("status"), c("score"), c("retrieval_score"), (c("n_pass"), c("n_fail"), c("n_unknown")), F.concat(F.lit("t|"), c("o_custkey").cast("string")), digits=6).alias("line"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def topk_per_group(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("r", F.row_number().over(w)).filter("r <= 3").drop("r")
+
+
+@query("SELECT l_orderkey, l_partkey, round(l_extendedprice/7,3) AS r3, least(greatest(l_discount*20,0.2),0.8) AS clamped FROM lineitem")
+def round_clamp(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.round(F.col("l_extendedprice") / 7, 3).alias("r3"), F.least(F.greatest(F.col("l_discount") * 20, F.lit(0.2)), F.lit(0.8)).alias("clamped"))
