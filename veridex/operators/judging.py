@@ -15,6 +15,7 @@ from typing import Protocol, TypeVar
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from veridex.operators import scoring
 from veridex.operators.judgment import parsed_or_error
@@ -97,7 +98,7 @@ def judged(rows: DataFrame, judge: Judge, profile: str, criterion: str, name: st
     """``rows`` and the struct column ``name`` of a judge's results. To be written before it is read twice."""
     judge.ready()
     kind = rows.sparkSession.createDataFrame([], f"x {RESULT}").schema["x"]
-    schema = rows.schema.add(name, kind.dataType)
+    schema = StructType([*rows.schema.fields, StructField(name, kind.dataType)])
     at = [rows.columns.index(c) for c in (profile, criterion)]
 
     def one(about: str, text: str) -> dict:
