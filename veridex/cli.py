@@ -24,8 +24,20 @@ def candidates(spark: SparkSession, trials: DataFrame, people: DataFrame, top_k:
     return best.select(F.col("query").alias("patient_id"), F.col("doc").alias("nct_id"), F.round("score", 4).alias("retrieval_score"))
 
 
+def done_before(spark: SparkSession, out: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{out}/trials")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def evaluate(spark: SparkSession, trials: DataFrame, people: DataFrame, as_of: date, judge, out: str) -> DataFrame:
-    """Every criterion against every patient; verdicts are written before they are summed up."""
+    """Every criterion of the trials not yet done in ``out`` against every patient; verdicts are written before they
+    are summed up."""
+    done = done_before(spark, out)
+    trials = trials if done is None else judging.still_to_do(trials, done, "nct_id")
     criteria = ingest.criteria_rows(trials).crossJoin(F.broadcast(people.select("patient_id", patient.summary(as_of).alias("profile"))))  # a few stated patients
     judging.judged(criteria, judge, "profile", "text", "local").write.mode("overwrite").parquet(f"{out}/calls")
     rows = judging.verdicts(judging.cascade(spark.read.parquet(f"{out}/calls"), None, []))
@@ -57,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "evaluate":
             trials = spark.read.parquet(a.trials)
             trials = trials.limit(a.max_trials) if a.max_trials else trials
-            evaluate(spark, trials, readers.patients(spark, a.patients), a.as_of, RulesJudge(()), a.out).write.mode("overwrite").parquet(f"{a.out}/trials")
+            evaluate(spark, trials, readers.patients(spark, a.patients), a.as_of, RulesJudge(()), a.out).write.mode("append").parquet(f"{a.out}/trials")
         else:
             ranked = report.ranked(spark.read.parquet(a.evaluated).withColumn("position", F.col("nct_id")), "position")
             ranked.orderBy("rank").limit(a.top).write.mode("overwrite").json(a.out)
