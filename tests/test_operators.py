@@ -163,7 +163,29 @@ def test_judged_and_logged(spark):
 def test_study_pages():
     pages = {None: {"studies": [{"a": 1}, {"a": 2}], "nextPageToken": "t"}, "t": {"studies": [{"a": 3}]}}
     get = lambda url: pages["t" if "pageToken=t" in url else None]
-    assert [s["a"] for s in readers.study_pages("http://x", "c", "ANY", ["f"], 10, get, 0)] == [1, 2, 3]
-    assert len(list(readers.study_pages("http://x", "c", "ANY", [], 2, get, 0))) == 2
+    assert [s["a"] for s in readers.study_pages("http://x", "c", "COMPLETED", ["f"], 10, get, 0)] == [1, 2, 3]
+    assert len(list(readers.study_pages("http://x", "c", "COMPLETED", [], 2, get, 0))) == 2
     with pytest.raises(ValueError):
         list(readers.study_pages("http://x", "c", "OTHER", [], 2, get, 0))
+
+
+def test_example_and_envelope(spark, tmp_path):
+    p = readers.patients(spark, "example")
+    assert p.select(patient.query()).first()[0].endswith("KRAS G12C KRAS G12C mutation STK11 KEAP1 RBM10 previously treated advanced metastatic")
+    assert '"prior_malignancy":null' in readers.to_json(p).first().json
+    assert readers.envelope(p.select("patient_id"), "rows", top_k="5").first().asDict(True) == {"top_k": "5", "rows": [{"patient_id": "TCGA-05-4418-derived"}]}
+    assert readers.first_existing(spark, f"file://{tmp_path}/no", f"file://{tmp_path}") == f"file://{tmp_path}"
+
+
+def test_breakdown(spark):
+    study = {"protocolSection": {"eligibilityModule": {"eligibilityCriteria": TEXT}}}
+    trials = ingest.parsed_trials(spark.read.schema(STUDY).json(spark.sparkContext.parallelize([json.dumps(study)])))
+    r = ingest.breakdown(trials).first()
+    assert (r.n_inclusion, r.n_exclusion, r.genes) == (2, 2, ["KRAS"]) and ingest.totals(trials).first().n_criteria == 4
+
+
+def test_server_and_resume():
+    assert judging.server_url(None, "127.0.0.1:1/") == "http://127.0.0.1:1" and judging.server_url("https://x/", None) == "https://x"
+    judging.same_run({"patient_id": 1}, {"patient_id": 1})
+    with pytest.raises(ValueError):
+        judging.same_run({"patient_id": 1, "as_of": "a"}, {"patient_id": 1, "as_of": "b"})

@@ -35,3 +35,14 @@ def criteria_rows(trials: DataFrame) -> DataFrame:
 
 def trial_documents(trials: DataFrame) -> DataFrame:
     return trials.select("nct_id", document(F.col("title"), F.col("official_title"), F.col("conditions"), F.transform("interventions", lambda i: i["name"])).alias("text"))
+
+
+def breakdown(trials: DataFrame) -> DataFrame:
+    """Criteria of each kind and distinct genes by trial; a narrow stage."""
+    of = lambda kind: F.size(F.filter("criteria", lambda c: c["kind"] == kind))
+    genes = F.flatten(F.transform("criteria", lambda c: F.coalesce(c["features"]["biomarkers"], F.array().cast("array<string>"))))
+    return trials.select("nct_id", of("inclusion").alias("n_inclusion"), of("exclusion").alias("n_exclusion"), F.array_sort(F.array_distinct(genes)).alias("genes"))
+
+
+def totals(trials: DataFrame) -> DataFrame:
+    return trials.agg(F.count("*").alias("n_trials"), F.coalesce(F.sum("n_criteria"), F.lit(0)).alias("n_criteria"))

@@ -53,6 +53,12 @@ class Judge(Protocol):
     def complete(self, profile: str, criterion: str) -> Completion: ...
 
 
+def server_url(given: str | None, from_environment: str | None, default: str = "http://localhost:11434") -> str:
+    """The first that is given, with a scheme and without slashes at the end."""
+    url = (given or from_environment or default).strip().rstrip("/")
+    return url if url.startswith(("http://", "https://")) else f"http://{url}"
+
+
 def with_retries(call: Callable[[], T], most: int = 4, base: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[T, int]:
     """The result and the number of attempts; only transient failures are tried again, after growing pauses."""
     for attempt in range(1, most + 1):
@@ -152,6 +158,12 @@ def call_log(rows: DataFrame, version: str) -> DataFrame:
     return reduce(DataFrame.unionByName, map(of, ("local", "api")))
 
 
+def same_run(done: dict, now: dict, keys: Sequence[str] = ("patient_id", "prompt_version", "as_of", "judge")) -> None:
+    """Raises ValueError where a run that is to be resumed was of another patient, prompt, date or judge."""
+    if other := [k for k in keys if done.get(k) != now.get(k)]:
+        raise ValueError(f"cannot resume: {', '.join(other)} differ")
+
+
 def still_to_do(trials: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of ``trials`` whose key isn't done; a null key equals a null key, and duplicates stay."""
     return trials.join(done.select(F.col(key).alias("_done")).distinct(), F.col(key).eqNullSafe(F.col("_done")), "left_anti")

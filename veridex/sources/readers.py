@@ -14,7 +14,19 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from veridex.schemas import CALL_LOG, PATIENT, RETRIEVAL, STUDY, TRIAL
 
-STATUSES = ("RECRUITING", "ACTIVE_NOT_RECRUITING", "COMPLETED", "NOT_YET_RECRUITING", "ANY")
+#: Statuses by which the source filters.
+STATUSES = ("RECRUITING", "ACTIVE_NOT_RECRUITING", "COMPLETED", "NOT_YET_RECRUITING", "TERMINATED")
+
+#: The profile that ``patients`` gives for the name ``example``.
+EXAMPLE = {
+    "patient_id": "TCGA-05-4418-derived", "diagnosis": "Lung adenocarcinoma", "stage": "IV", "age_years": 63, "sex": "MALE", "ecog": 1, "smoking_status": "former", "histology": "adenocarcinoma",
+    "brain_metastases": False, "prior_malignancy": None, "tmb": 4.6, "pd_l1_tps": 15.0, "msi_status": "MSS",
+    "mutations": [
+        ("KRAS", "p.G12C", "Missense_Mutation", 0.41, True, 5), ("STK11", "p.G56V", "Missense_Mutation", 0.39, False, 3),
+        ("KEAP1", "p.F280Y", "Missense_Mutation", 0.43, False, 3), ("RBM10", "p.G17Wfs*4", "Frame_Shift_Ins", 0.42, False, 4),
+    ],
+    "treatment_history": [(1, "carboplatin + pemetrexed + pembrolizumab", "2025-11-10", "2026-06-20", "PD", "progression")],
+}
 
 
 def studies(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +58,19 @@ def _nested(ddl: str) -> str:
     return "".join(out)
 
 
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path that Spark can list; earlier ones take precedence."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
 def patients(spark: SparkSession, path: str) -> DataFrame:
+    """Profiles; an unknown key or a broken row is an error. ``example`` is a built-in profile."""
+    if path == "example":
+        return spark.createDataFrame([EXAMPLE], PATIENT)
     found = spark.read.schema(PATIENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return found.withColumns({c: F.coalesce(F.col(c), F.array().cast(found.schema[c].dataType)) for c in ("mutations", "treatment_history")})
 
@@ -80,7 +104,7 @@ def study_pages(url: str, condition: str, status: str, fields: Sequence[str], li
         raise ValueError(f"status must be one of {STATUSES}")
     token, seen = None, 0
     while seen < limit:
-        asked = {"query.cond": condition, "pageSize": min(100, limit - seen), "fields": ",".join(fields)} | ({"filter.overallStatus": status} if status != "ANY" else {}) | ({"pageToken": token} if token else {})
+        asked = {"query.cond": condition, "pageSize": min(100, limit - seen), "fields": ",".join(fields)} | {"filter.overallStatus": status} | ({"pageToken": token} if token else {})
         page = get(f"{url}?{urllib.parse.urlencode(asked)}")
         found = page.get("studies", [])
         yield from found[: limit - seen]
@@ -115,3 +139,14 @@ class _StudyReader(DataSourceReader):
         o = self.options
         for study in study_pages(o["url"], o.get("condition", ""), o.get("status", "RECRUITING"), [f for f in o.get("fields", "").split(",") if f], int(o.get("limit", "100"))):
             yield (json.dumps(study, ensure_ascii=False),)
+
+
+def to_json(rows: DataFrame) -> DataFrame:
+    """Each row as JSON text; null fields are kept."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def envelope(rows: DataFrame, name: str, **header: str) -> DataFrame:
+    """One row: the header's fields and all (few) rows as an array under ``name``."""
+    collected = rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+    return collected.select(*(F.lit(v).alias(k) for k, v in header.items()), name)
