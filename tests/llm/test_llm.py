@@ -350,3 +350,12 @@ def test_pipeline(spark, texts):
     ids = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for k, t in stage["personal data"].items()}
     check_pieces(corpus_pipeline.run(spark, SF).collect(), ids, 2048)
     json.dumps(sorted(stage))
+
+
+def test_written_tables_can_be_cleaned(spark, empty):
+    from veridex.llm import _common
+
+    row = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert _common.written(row, "t").count() == 1
+    _common.clean(spark)
+    assert _common.written(row, "t").count() == 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _unset_root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/veridex-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables that operators have written for this application, once no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    A table has a name of its own in the application's folder; ``clean`` deletes them all."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,3 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tokenizer_path(name: str) -> str:
     """``name`` may be a path of its own or the name of one of the public tokenizer files."""
     return name if os.path.sep in name else public_tokenizers.path(name)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run meanwhile hand Python at most so many rows at once, which bounds its memory where rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
