@@ -54,18 +54,54 @@ class MergeRanks:
             yield self.library.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
+class WordMerges:
+    """A vocabulary with word ends, its merges run by tiktoken. A zero byte stands for a word's end: joined to the byte
+    before it first of all, it makes the symbols that the model begins with."""
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        vocab, suffix, letters = model["vocab"], model["end_of_word_suffix"], byte_letters()
+        byte = {c: b for b, c in enumerate(letters)}
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 0]): 256 + b for b in range(256)}
+        ids = [vocab[c] for c in letters] + [vocab[c + suffix] for c in letters]
+        for merge in model["merges"]:
+            token = "".join(merge.split(" ") if isinstance(merge, str) else merge)
+            word = token.removesuffix(suffix)
+            ranks[bytes(byte[c] for c in word) + b"\0" * (word != token)] = len(ids)
+            ids.append(vocab[token])
+        self.ids = np.array(ids, "<u4")
+        self.ends = np.zeros(len(ids), bool)
+        for token, rank in ranks.items():
+            self.ends[rank] = token[-1] == 0 and rank
+        self.run = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, a pre-token in lower case without zero bytes; none for an empty one."""
+        some = [w for w in words if w]
+        found = self.run("\0".join([*some, ""]), disallowed_special=())
+        raw = self.ids[found].tobytes()
+        ends = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
+        out = dict(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        return [out[w] if w else b"" for w in words]
+
+
 class PieceCache:
     """Vocabularies that drop white space: a text's ids are the ids of the pieces between spaces and line ends, in order.
 
     Pieces repeat, so each distinct one is encoded once per worker. Most are a Latin word and then ASCII punctuation, if
-    any: lower case is all that the normaliser does to these, and the model alone gives the ids of each of the two. All
-    other pieces go through the whole library. ``limit`` bounds the cached pieces and words, and so the worker's memory.
+    any: lower case is all that the normaliser does to these, and the model's merges alone give the ids of each of the
+    two. All other pieces go through the whole library. ``limit`` bounds the cached pieces, and so the
+    worker's memory.
     """
 
     #: Without the apostrophe, which begins contractions, and <, which begins special strings.
     WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@[-`{-~]*)")
 
-    def __init__(self, path: str, limit: int = 500_000):
+    LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+    NOT_ALONE = re.compile(r"[.,][!-/:-@[-`{-~\x00-\x08\x0e-\x1f\x7f]|[!-/:-@[-`{-~\x00-\x08\x0e-\x1f\x7f][.,]")
+
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,18 +110,19 @@ class PieceCache:
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         with open(path, encoding="utf-8") as f:
-            self.plain = self._plain(json.load(f))
-        self.letters = {b: c for b, c in enumerate(byte_letters())}
+            spec = json.load(f)
+        self.merges = WordMerges(spec["model"]) if self._plain(spec) else None
         self.limit = limit
         self.ids: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def _plain(spec: dict) -> bool:
         """Whether a piece that is a Latin word may go to the model in lower case."""
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = [p.get("type") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        return steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and all("<" in t["content"] for t in spec["added_tokens"])
+        model = spec["model"]
+        usual = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        return bool(usual) and steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and all("<" in t["content"] for t in spec["added_tokens"])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = []
@@ -93,26 +130,41 @@ class PieceCache:
             found += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
         return found
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a pre-token in lower case."""
-        found = self.words.get(word)
-        if found is None:
-            raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(raw)])
-        return found
-
     def _add(self, pieces: list[str]) -> None:
-        rest = []
-        whole, word, ids = self.WORD.fullmatch, self._word, self.ids
+        """Adds the ids of new pieces, and of the words and punctuation in them."""
+        ids = self.ids
+        if not self.merges:
+            ids.update(zip(pieces, self._library(pieces)))
+            return
+        rest, parts, whole = [], {}, self.WORD.fullmatch
+        new = {}
         for p in pieces:
-            m = whole(p) if self.plain else None
-            if m is None:
+            if p.isascii() and p.isalpha() and p.islower():
+                new[p] = None
+            elif (m := whole(p)) is None:
                 rest.append(p)
             else:
-                a, b = m.groups()
-                ids[p] = (word(a.lower()) if a else b"") + (word(b) if b else b"")
+                a, b = m[1].lower(), m[2]
+                if (not a or not b) and a + b == p:
+                    new[p] = None
+                else:
+                    parts[p] = a, b
+                    for w in (a, b):
+                        if w not in ids:
+                            new[w] = None
+        words = list(new)
+        ids.update(zip(words, self.merges.encode(words)))
+        for p, (a, b) in parts.items():
+            ids[p] = ids[a] + ids[b]
         ids.update(zip(rest, self._library(rest)))
 
+    def _pieces(self, text: str) -> list[str]:
+        """Where a text is Latin and its full stops and commas stand alone, it is taken in lower case and these are
+        pieces of their own, so that fewer pieces differ."""
+        if self.merges and self.LATIN.fullmatch(text) and "<|" not in text and not self.NOT_ALONE.search(text):
+            text = text.lower().replace(".", " .").replace(",", " ,")
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Works in groups of a few MB of text."""
         group, size = [], 0
@@ -125,12 +177,10 @@ class PieceCache:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         used = set().union(*pieces)
-        if len(self.ids) > self.limit:  # the pieces of this group are likely to come again, most others are not
-            self.ids = {p: self.ids[p] for p in used & self.ids.keys()}
-        if len(self.words) > self.limit:
-            self.words.clear()
+        if len(self.ids) > self.limit:  # the older half goes, but for what this group has
+            self.ids = {p: x for k, (p, x) in enumerate(self.ids.items()) if 2 * k > self.limit or p in used}
         self._add([p for p in used if p not in self.ids])
         get = self.ids.__getitem__
         for p in pieces:

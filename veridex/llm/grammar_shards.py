@@ -35,17 +35,17 @@ SHARDS = "part int, shard int, before long, n long, file binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, end_id: int, base: int, rounds: int = 6, most_symbols: int = 1024, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, end_id: int, base: int, rounds: int = 7, most_symbols: int = 512, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a stream in which ``end_id`` is part of no rule.
 
     Pairs are sought among the ``most_symbols`` most frequent symbols: a pair is no more frequent than its rarer
     symbol. A pair that occurs fewer than ``least`` times stays.
     """
     stream, rules = ids.astype(np.int32), []
+    often = np.bincount(stream, minlength=base)
+    often[end_id] = 0
     for _ in range(rounds):
         size = base + len(rules)
-        often = np.bincount(stream, minlength=size)
-        often[end_id] = 0
         top = np.argsort(-often, kind="stable")[:most_symbols]
         top = top[often[top] >= least]
         k = len(top)
@@ -61,16 +61,21 @@ def compress(ids: np.ndarray, end_id: int, base: int, rounds: int = 6, most_symb
         flat = counts.ravel()
         best = np.flatnonzero(flat >= max(least, flat.max() // 50))
         best = best[np.argsort(-flat[best], kind="stable")][:2000]
-        side = np.zeros(k, np.int8)  # 1: left, 2: right
+        side, symbols, counted = [0] * k, top.tolist(), flat[best].tolist()  # side 1: left, 2: right
         number = np.full((k + 1) * (k + 1), -1, np.int32)
-        for p in best.tolist():
+        new = []
+        for p, c in zip(best.tolist(), counted):
             a, b = divmod(p, k + 1)
             if side[a] != 2 and side[b] != 1:
                 side[a], side[b] = 1, 2
                 number[p] = base + len(rules)
-                rules.append((int(top[a]), int(top[b])))
-        if len(rules) == size - base:
+                rules.append((symbols[a], symbols[b]))
+                new.append(c)
+                often[symbols[a]] -= c
+                often[symbols[b]] -= c
+        if not new:
             break
+        often = np.concatenate([often, np.array(new)])
         named = number[pair]
         at = np.flatnonzero(named >= 0)
         stream[at] = named[at]
@@ -80,6 +85,13 @@ def compress(ids: np.ndarray, end_id: int, base: int, rounds: int = 6, most_symb
     return stream.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2)
 
 
+def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    lengths: list[int] = []
+    for a, b in rules.tolist():
+        lengths.append(sum(lengths[s - base] if s >= base else 1 for s in (a, b)))
+    return np.array(lengths, np.int64)
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol where its expansion begins in a flat array, its length, and that array."""
     parts: list[np.ndarray] = []
@@ -98,7 +110,7 @@ def write_shard(doc_ids: list[int | None], blobs: list[bytes], end_id: int, base
     ids = np.frombuffer(b"".join(blobs), "<u4")
     ends = np.cumsum(np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs)))
     stream, rules = compress(ids, end_id, base)
-    _, lengths, _ = expansions(rules, base)
+    lengths = np.concatenate([np.ones(base, np.int64), rule_lengths(rules, base)])
     packed_ends = np.searchsorted(np.cumsum(lengths[stream]), ends, side="left") + 1
     head = MAGIC + struct.pack("<4I", base, len(rules), len(blobs), len(stream))
     return b"".join([
