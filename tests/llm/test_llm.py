@@ -296,6 +296,36 @@ def test_near_duplicates_lose_no_link(spark, docs, texts, edge, empty):
         assert len(ks) == 1 or all(any((a, b) in near or (b, a) in near for b in ks if b != a) or not sets[a] for a in ks)
 
 
+def changed(rng, words, n):
+    """The words with ``n`` of them replaced, each in shingles of its own."""
+    words = list(words)
+    for k in rng.sample(range(1, len(words) // 8 - 1), n):
+        words[8 * k] = f"x{rng.randrange(10**9)}"
+    return words
+
+
+def in_one_bucket(spark, members):
+    """The component of each text; all lie in one bucket, with given samples and from the most to the least central."""
+    levels = spark.sparkContext.broadcast(np.zeros(near_duplicates.COUNTERS, np.uint8))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, (w, _) in enumerate(members)], "doc_id long, text string")
+    keys = [near_duplicates.profile(" ".join(w), levels.value)[0] for w, _ in members]
+    rows = docs.join(spark.createDataFrame(list(enumerate(keys)), "doc_id long, key binary"), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "key")
+    n = len(members)
+    bucket = [(key, 0, 1, n, 2 * n - k, np.array(samples, "<u2").tobytes()) for k, (key, (_, samples)) in enumerate(zip(keys, members))]
+    labels = near_duplicates._linked(docs, rows, spark.createDataFrame(bucket, "key binary, band int, bucket long, n long, central long, samples binary"), levels, 0.8)
+    found = {bytes(r.key): bytes(r.component) for r in labels.collect()}
+    return [found.get(k, k) for k in keys]
+
+
+def test_near_duplicates_try_more_than_the_best_of_a_class(spark):
+    """Samples put the class's centre first for every other text, which is no link; the next member is one."""
+    rng = random.Random(5)
+    hub = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    best, next_best = [0] * 72, [0] * 52 + [1] * 20
+    members = [(changed(rng, hub, 8), best), (hub, next_best)] + [(changed(rng, hub, 8), [0] * 48 + [9 + k] * 4 + [0] * 20) for k in range(14)]
+    assert len(set(in_one_bucket(spark, members))) == 1
+
+
 def test_near_duplicates_edges(edge, empty):
     assert near_duplicates.classes(empty).count() == 0 and near_duplicates.keep_one_of_each(empty).count() == 0
     rows = near_duplicates.classes(edge).collect()

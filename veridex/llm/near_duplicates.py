@@ -10,8 +10,9 @@ Each text gets ``BANDS * ROWS`` samples (Ioffe 2010); a sample's logarithm is th
 one by shingle and weight, and its least value over the text stands for the sampled shingle and step. Texts that share
 all samples of a band meet in a bucket. In each bucket a few texts lead, round after round (``LEADERS``), those first
 that meet most others in all their buckets: each is compared with every member that is not yet in its class, which is linear in the bucket's members. What is then in no
-leader's class is held against all other members by its samples alone, in packs; in each pack it is compared with the member of each
-other class that agrees in most of them, if in ``LEAST_AGREEMENT``. A pair is a link where its weighted Jaccard similarity, or the plain one, is at least
+leader's class is held against all other members by its samples alone, in packs; in each pack it is compared with the members of each
+other class that agree in ``LEAST_AGREEMENT`` of them: first with the best few (``TRIES``), whose links join most classes, and
+in the last round with every one that is not yet in its class. A pair is a link where its weighted Jaccard similarity, or the plain one, is at least
 ``threshold``. Classes are the connected components.
 
 Null texts are empty. Texts with equal words, or with none, are copies of each other. Rows with equal or null ids are
@@ -21,6 +22,7 @@ rows of their own; a class is named by its smallest id (null if it has none). An
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ SHINGLE, BANDS, ROWS = 5, 18, 4
 #: Leaders of a bucket in each round; share of equal samples from which a pair is compared (a pair at the threshold has
 #: less with a probability of about 1 in 1,000); most members of a pack.
 LEADERS, LEAST_AGREEMENT, PACK = (1, 2, 4), 0.62, 128
+#: Members of each other class in a pack that a text is compared with, in the rounds after those of the leaders; the last
+#: takes whole packs.
+TRIES = (1, 8, PACK * PACK)
 #: Counters of the document frequency table; it is the only thing that is sent to every worker.
 COUNTERS = 1 << 20
 SLICES = 64
@@ -142,9 +147,9 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "part", "counts"])
 
     schema = "slice int, part int, counts binary"
-    partial = texts.mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
+    parts = texts.mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
     found = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for r in partial.collect():
+    for r in parts.collect():
         found[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     return found.ravel()
 
@@ -173,6 +178,20 @@ def similar(a: tuple, b: tuple, threshold: float) -> bool:
     return max(plain, weighted) >= threshold - 1e-12
 
 
+def agreeing_members(x: np.ndarray, own: np.ndarray, y: np.ndarray, classes_: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each text of a pack (samples ``x``), the members of other classes in another pack (``y``) that agree in enough
+    samples: of each class the ``most`` that agree best. Yields both positions and which samples are the same."""
+    least = LEAST_AGREEMENT * x.shape[1]
+    for i in range(len(x)):
+        same = y == x[i]
+        share = same.sum(1)
+        at = np.flatnonzero((share >= least) & (classes_ != own[i]))
+        at = at[np.lexsort((-share[at], classes_[at]))]
+        of = classes_[at]
+        at = at[np.arange(len(at)) - np.searchsorted(of, of) < most]
+        yield from ((i, j, same[j]) for j in at.tolist())
+
+
 def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, class_id, first, n_same`` of every row: ``first`` marks the smallest (id, hash) of a class,
     on every row that equals it; ``n_same`` is how many rows do."""
@@ -248,24 +267,16 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each waiting member and each other class in a pack, the member of that class that agrees in most samples,
+    def agreeing(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+        """For each waiting member and each other class in a pack, the members of that class that agree in most samples,
         if in enough; a pair is taken from the first band that it shares only."""
         for batch in batches:
             for band, keys, own, samples, others, classes_, more in zip(*batch.columns):
                 x, y = (np.frombuffer(b"".join(s.as_py()), "<u2").reshape(len(s.as_py()), -1) for s in (samples, more))
                 keys, own, others, classes_ = (v.as_py() for v in (keys, own, others, classes_))
                 number = {c: k for k, c in enumerate(dict.fromkeys(classes_))}
-                of = np.array([number[c] for c in classes_])
-                least, found = LEAST_AGREEMENT * x.shape[1], []
-                for i in range(len(keys)):
-                    same = y == x[i]
-                    share = same.sum(1)
-                    at = np.flatnonzero((share >= least) & (of != number.get(own[i], -1)))
-                    at = at[np.argsort(-share[at], kind="stable")]
-                    at = at[np.unique(of[at], return_index=True)[1]]
-                    first = same[at].reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band.as_py()
-                    found += [(keys[i], others[j]) for j in at[first].tolist()]
+                found = agreeing_members(x, np.array([number.get(c, -1) for c in own]), y, np.array([number[c] for c in classes_]), most)
+                found = [(keys[i], others[j]) for i, j, same in found if same.reshape(BANDS, ROWS).all(1).argmax() == band.as_py()]
                 if found:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -286,7 +297,7 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
         return of.groupBy("bucket", part.alias("pack")).agg(F.min("band").alias("band"), F.collect_list(F.struct("key", "component", "samples")).alias("x"))
 
     links = compared = led = labels = None
-    for leaders in (*LEADERS, 0):
+    for leaders, most in (*((n, 0) for n in LEADERS), *((0, n) for n in TRIES)):
         current = waiting = labelled(labels)
         if led is not None:
             past = led.join(current.select("bucket", F.col("key").alias("lead"), "component"), ["bucket", "lead"]).select("bucket", "component").distinct()
@@ -300,7 +311,7 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
         else:
             one = packs(waiting).select("bucket", "band", *(F.col(f"x.{c}").alias(c) for c in ("key", "component", "samples")))
             other = packs(current.join(waiting.select("bucket").distinct(), "bucket", "left_semi")).select("bucket", *(F.col(f"x.{c}").alias(f"{c}_") for c in ("key", "component", "samples")))
-            pairs = one.join(other, "bucket").drop("bucket").mapInArrow(agreeing, "a binary, b binary")
+            pairs = one.join(other, "bucket").drop("bucket").mapInArrow(partial(agreeing, most=most), "a binary, b binary")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
