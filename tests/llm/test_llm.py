@@ -326,6 +326,16 @@ def test_near_duplicates_try_more_than_the_best_of_a_class(spark):
     assert len(set(in_one_bucket(spark, members))) == 1
 
 
+def test_near_duplicates_link_classes_that_are_both_led(spark):
+    """The only link between two classes is one of members that lead nowhere."""
+    rng = random.Random(6)
+    one = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    bridge = changed(rng, one, 8)
+    other = changed(rng, bridge, 8)
+    texts = [changed(rng, one, 8), other] + [changed(rng, other, 1) for _ in range(10)] + [bridge, one]
+    assert len(set(in_one_bucket(spark, [(w, [0] * 72) for w in texts]))) == 1
+
+
 def test_near_duplicates_edges(edge, empty):
     assert near_duplicates.classes(empty).count() == 0 and near_duplicates.keep_one_of_each(empty).count() == 0
     rows = near_duplicates.classes(edge).collect()

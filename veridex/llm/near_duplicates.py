@@ -9,10 +9,11 @@ of a large group of copies, which are frequent because of the copies, still tell
 Each text gets ``BANDS * ROWS`` samples (Ioffe 2010); a sample's logarithm is the sum of one table entry by shingle and
 one by shingle and weight, and its least value over the text stands for the sampled shingle and step. Texts that share
 all samples of a band meet in a bucket. In each bucket a few texts lead, round after round (``LEADERS``), those first
-that meet most others in all their buckets: each is compared with every member that is not yet in its class, which is linear in the bucket's members. What is then in no
-leader's class is held against all other members by its samples alone, in packs; in each pack it is compared with the members of each
-other class that agree in ``LEAST_AGREEMENT`` of them: first with the best few (``TRIES``), whose links join most classes, and
-in the last round with every one that is not yet in its class. A pair is a link where its weighted Jaccard similarity, or the plain one, is at least
+that meet most others in all their buckets: each is compared with every member that is not yet in its class, which is linear in the bucket's members. Those that did not
+lead are then held against each other across classes by their samples alone, in packs: what is not in the bucket's largest
+class against all of them. In each pack a text is compared with the members of each other class that agree in
+``LEAST_AGREEMENT`` of the samples: first with the best few (``TRIES``), whose links join most classes, and in the last round
+with every one that is not yet in its class. A pair is a link where its weighted Jaccard similarity, or the plain one, is at least
 ``threshold``. Classes are the connected components.
 
 Null texts are empty. Texts with equal words, or with none, are copies of each other. Rows with equal or null ids are
@@ -178,18 +179,17 @@ def similar(a: tuple, b: tuple, threshold: float) -> bool:
     return max(plain, weighted) >= threshold - 1e-12
 
 
-def agreeing_members(x: np.ndarray, own: np.ndarray, y: np.ndarray, classes_: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def agreeing_members(x: np.ndarray, own: np.ndarray, y: np.ndarray, classes_: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """For each text of a pack (samples ``x``), the members of other classes in another pack (``y``) that agree in enough
-    samples: of each class the ``most`` that agree best. Yields both positions and which samples are the same."""
+    samples: of each class the ``most`` that agree best. Yields both positions."""
     least = LEAST_AGREEMENT * x.shape[1]
     for i in range(len(x)):
-        same = y == x[i]
-        share = same.sum(1)
+        share = (y == x[i]).sum(1)
         at = np.flatnonzero((share >= least) & (classes_ != own[i]))
         at = at[np.lexsort((-share[at], classes_[at]))]
         of = classes_[at]
         at = at[np.arange(len(at)) - np.searchsorted(of, of) < most]
-        yield from ((i, j, same[j]) for j in at.tolist())
+        yield from ((i, j) for j in at.tolist())
 
 
 def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,15 +268,14 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     def agreeing(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-        """For each waiting member and each other class in a pack, the members of that class that agree in most samples,
-        if in enough; a pair is taken from the first band that it shares only."""
+        """For each member of a pack and each other class in another, the members of that class that agree in most samples,
+        if in enough; a pair may come from several buckets."""
         for batch in batches:
-            for band, keys, own, samples, others, classes_, more in zip(*batch.columns):
+            for keys, own, samples, others, classes_, more in zip(*batch.columns):
                 x, y = (np.frombuffer(b"".join(s.as_py()), "<u2").reshape(len(s.as_py()), -1) for s in (samples, more))
                 keys, own, others, classes_ = (v.as_py() for v in (keys, own, others, classes_))
                 number = {c: k for k, c in enumerate(dict.fromkeys(classes_))}
-                found = agreeing_members(x, np.array([number.get(c, -1) for c in own]), y, np.array([number[c] for c in classes_]), most)
-                found = [(keys[i], others[j]) for i, j, same in found if same.reshape(BANDS, ROWS).all(1).argmax() == band.as_py()]
+                found = [(keys[i], others[j]) for i, j in agreeing_members(x, np.array([number.get(c, -1) for c in own]), y, np.array([number[c] for c in classes_]), most)]
                 if found:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -287,30 +286,36 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(len(batch), -1) for c in batch.columns[2:])
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT))
 
-    def labelled(labels: DataFrame | None) -> DataFrame:
+    def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
             return members.withColumn("component", F.col("key"))
         return members.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
     def packs(of: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / PACK))
-        return of.groupBy("bucket", part.alias("pack")).agg(F.min("band").alias("band"), F.collect_list(F.struct("key", "component", "samples")).alias("x"))
+        return of.groupBy("bucket", part.alias("pack")).agg(F.collect_list(F.struct("key", "component", "samples")).alias("x"))
 
-    links = compared = led = labels = None
+    links = compared = led = labels = rest = None
     for leaders, most in (*((n, 0) for n in LEADERS), *((0, n) for n in TRIES)):
-        current = waiting = labelled(labels)
-        if led is not None:
-            past = led.join(current.select("bucket", F.col("key").alias("lead"), "component"), ["bucket", "lead"]).select("bucket", "component").distinct()
-            waiting = current.join(past, ["bucket", "component"], "left_anti")
         if leaders:
+            current = waiting = labelled(members, labels)
+            if led is not None:
+                past = led.join(current.select("bucket", F.col("key").alias("lead"), "component"), ["bucket", "lead"]).select("bucket", "component").distinct()
+                waiting = current.join(past, ["bucket", "component"], "left_anti")
             share = F.pmod(F.xxhash64("key"), F.lit(leaders))
             picked = waiting.groupBy("bucket", share).agg(F.max(F.struct("central", "key", "component", "samples")).alias("x"))
             leads = written(picked.select("bucket", F.col("x.key").alias("lead"), F.col("x.component").alias("own"), F.col("x.samples").alias("more")), "leads")
             led = leads.select("bucket", "lead") if led is None else led.union(leads.select("bucket", "lead"))
             pairs = current.join(leads, "bucket").filter("key <> lead and component <> own").select(F.col("key").alias("a"), F.col("lead").alias("b"), "samples", "more").mapInArrow(close, "a binary, b binary")
         else:
-            one = packs(waiting).select("bucket", "band", *(F.col(f"x.{c}").alias(c) for c in ("key", "component", "samples")))
-            other = packs(current.join(waiting.select("bucket").distinct(), "bucket", "left_semi")).select("bucket", *(F.col(f"x.{c}").alias(f"{c}_") for c in ("key", "component", "samples")))
+            if rest is None:  # a leader has met all members of its bucket
+                rest = written(members.select("bucket", "n", "key", "samples").join(led.withColumnRenamed("lead", "key"), ["bucket", "key"], "left_anti"), "rest")
+            current = labelled(rest, labels)
+            sizes = current.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+            mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("x"), F.count("*").alias("classes")).filter("classes > 1").select("bucket", F.col("x.component").alias("largest"))
+            current = current.join(mixed, "bucket")
+            one = packs(current.filter("component <> largest")).select("bucket", *(F.col(f"x.{c}").alias(c) for c in ("key", "component", "samples")))
+            other = packs(current).select("bucket", *(F.col(f"x.{c}").alias(f"{c}_") for c in ("key", "component", "samples")))
             pairs = one.join(other, "bucket").drop("bucket").mapInArrow(partial(agreeing, most=most), "a binary, b binary")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if compared is not None:
