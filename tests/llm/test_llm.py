@@ -336,6 +336,19 @@ def test_near_duplicates_link_classes_that_are_both_led(spark):
     assert len(set(in_one_bucket(spark, [(w, [0] * 72) for w in texts]))) == 1
 
 
+def test_near_duplicates_link_by_either_similarity(spark):
+    """Equal shingles in other counts (plain similarity), and a line over and over with another rest (weighted)."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    pairs = []
+    for _ in range(10):
+        text, line = words(100), words(6)
+        pairs += [(text, text * 3), (line * 60 + words(30), line * 60 + words(30))]
+    rows = [(2 * k + j, " ".join(t)) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    found = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: k // 2 * 2 for k, _ in rows}
+
+
 def test_near_duplicates_edges(edge, empty):
     assert near_duplicates.classes(empty).count() == 0 and near_duplicates.keep_one_of_each(empty).count() == 0
     rows = near_duplicates.classes(edge).collect()

@@ -7,8 +7,10 @@ Document frequencies of all documents are counted in a table of fixed size, by h
 of a large group of copies, which are frequent because of the copies, still tell them from other texts.
 
 Each text gets ``BANDS * ROWS`` samples (Ioffe 2010); a sample's logarithm is the sum of one table entry by shingle and
-one by shingle and weight, and its least value over the text stands for the sampled shingle and step. Texts that share
-all samples of a band meet in a bucket. In each bucket a few texts lead, round after round (``LEADERS``), those first
+one by shingle and weight, and its least value over the text stands for the sampled shingle and step. A text that repeats
+shingles gets as many samples again of its weights without the counts, since links are sought by either similarity. Texts
+that share all samples of a band, of either kind, meet in a bucket, and agree in as many samples as those of the kind in
+which they agree more. In each bucket a few texts lead, round after round (``LEADERS``), those first
 that meet most others in all their buckets: each is compared with every member that is not yet in its class, which is linear in the bucket's members. Those that did not
 lead are then held against each other across classes by their samples alone, in packs: what is not in the bucket's largest
 class against all of them. In each pack a text is compared with the members of each other class that agree in
@@ -97,23 +99,28 @@ class Sampler:
         return (-r * (t - beta) - r).astype(np.float32)
 
     def bands(self, h: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """One 64-bit value per band, and 16 bits of each sample."""
-        least = np.full(self.log_c.shape[1], np.inf, np.float32)
+        """64-bit values of the bands with the counts and of those without (0 where the same), and 16 bits of each
+        sample; those without the counts follow only where they differ."""
+        least = np.full((2, self.log_c.shape[1]), np.inf, np.float32)
         for at in range(0, len(h), 4096):
             x, n, level = h[at : at + 4096], counts[at : at + 4096], levels[at : at + 4096]
             row = (x >> np.uint64(20) & np.uint64(0xFFF)).astype(np.int64)
-            log_a = self.step[row * LEVELS + level]
+            log_c = self.log_c[(x >> np.uint64(40) & np.uint64(0x3FFF)).astype(np.int64)]
+            log_a = self.step[row * LEVELS + level] + log_c
+            plain = weighted = log_a.min(axis=0)
             more = np.flatnonzero(n > 1)
             if len(more):
-                log_a[more] = self._step(row[more], np.log(LEVEL_WEIGHTS[level[more]] * n[more]))
-            log_a += self.log_c[(x >> np.uint64(40) & np.uint64(0x3FFF)).astype(np.int64)]
-            np.minimum(least, log_a.min(axis=0), out=least)
+                log_a[more] = self._step(row[more], np.log(LEVEL_WEIGHTS[level[more]] * n[more])) + log_c[more]
+                weighted = log_a.min(axis=0)
+            np.minimum(least, (weighted, plain), out=least)
         samples = mixed(least.view(np.uint32).astype(np.uint64))
-        rows = samples.reshape(BANDS, -1)
-        out = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for k in range(rows.shape[1]):
-            out = mixed(out * BASE + rows[:, k])
-        return out.view(np.int64), samples.astype("<u2").tobytes()
+        rows = samples.reshape(2, BANDS, -1)
+        out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (2, 1))
+        for k in range(rows.shape[2]):
+            out = mixed(out * BASE + rows[:, :, k])
+        out[1, out[1] == out[0]] = 0
+        kinds = samples.astype("<u2")
+        return out.view(np.int64).ravel(), (kinds if out[1].any() else kinds[0]).tobytes()
 
 
 _shingler, _samplers = Shingler(), []
@@ -125,6 +132,17 @@ def _sampler() -> Sampler:
     return _samplers[0]
 
 
+def sample_table(blobs: list[bytes]) -> np.ndarray:
+    """Samples of texts by kind, ``texts x 2 x samples``: a text that repeats no shingle has the same of both kinds."""
+    size = BANDS * ROWS * 2
+    return np.frombuffer(b"".join(x if len(x) > size else x + x for x in blobs), "<u2").reshape(len(blobs), 2, -1)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many samples are the same, of the kind in which more are."""
+    return (x == y).sum(-1).max(-1)
+
+
 def document_frequencies(texts: DataFrame) -> np.ndarray:
     """Documents by hashed shingle, over all of them: partial tables are summed in slices, in two steps."""
 
@@ -182,9 +200,9 @@ def similar(a: tuple, b: tuple, threshold: float) -> bool:
 def agreeing_members(x: np.ndarray, own: np.ndarray, y: np.ndarray, classes_: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """For each text of a pack (samples ``x``), the members of other classes in another pack (``y``) that agree in enough
     samples: of each class the ``most`` that agree best. Yields both positions."""
-    least = LEAST_AGREEMENT * x.shape[1]
+    least = LEAST_AGREEMENT * x.shape[2]
     for i in range(len(x)):
-        share = (y == x[i]).sum(1)
+        share = agreement(y, x[i])
         at = np.flatnonzero((share >= least) & (classes_ != own[i]))
         at = at[np.lexsort((-share[at], classes_[at]))]
         of = classes_[at]
@@ -204,12 +222,12 @@ def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> Dat
     frequencies = document_frequencies(docs.select("text"))
     n_docs = docs.count()
     levels = docs.sparkSession.sparkContext.broadcast(weight_levels(frequencies, n_docs))
-    names = [f"b{k}" for k in range(BANDS)]
+    names = [f"{kind}{k}" for kind in "bp" for k in range(BANDS)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler()
         for batch in batches:
-            keys, samples, bands = [], [], np.zeros((len(batch), BANDS), np.int64)
+            keys, samples, bands = [], [], np.zeros((len(batch), 2 * BANDS), np.int64)
             for k, text in enumerate(batch.column(2).to_pylist()):
                 key, *shingles = profile(text, levels.value)
                 keys.append(key)
@@ -221,7 +239,7 @@ def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> Dat
 
     rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, "doc_id long, text_hash long, key binary, samples binary, " + ", ".join(f"{n} long" for n in names)), "signed")
     texts = rows.groupBy("key").agg(*(F.min(n).alias(n) for n in names))
-    members = texts.select("key", F.posexplode(F.array(*names)).alias("band", "bucket")).filter("bucket <> 0")
+    members = texts.select("key", F.explode(F.array(*names)).alias("bucket")).filter("bucket <> 0")
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = members.join(shared, "bucket")
     central = members.groupBy("key").agg(F.sum("n").alias("central"))
@@ -272,7 +290,7 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
         if in enough; a pair may come from several buckets."""
         for batch in batches:
             for keys, own, samples, others, classes_, more in zip(*batch.columns):
-                x, y = (np.frombuffer(b"".join(s.as_py()), "<u2").reshape(len(s.as_py()), -1) for s in (samples, more))
+                x, y = (sample_table(s.as_py()) for s in (samples, more))
                 keys, own, others, classes_ = (v.as_py() for v in (keys, own, others, classes_))
                 number = {c: k for k, c in enumerate(dict.fromkeys(classes_))}
                 found = [(keys[i], others[j]) for i, j in agreeing_members(x, np.array([number.get(c, -1) for c in own]), y, np.array([number[c] for c in classes_]), most)]
@@ -283,8 +301,8 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(len(batch), -1) for c in batch.columns[2:])
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT))
+                x, y = (sample_table(c.to_pylist()) for c in batch.columns[2:])
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(agreement(x, y) >= LEAST_AGREEMENT * x.shape[2]))
 
     def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
