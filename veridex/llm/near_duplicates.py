@@ -13,7 +13,7 @@ that share all samples of a band, of either kind, meet in a bucket, and agree in
 which they agree more. In each bucket a few texts lead, round after round (``LEADERS``), those first
 that meet most others in all their buckets: each is compared with every member that is not yet in its class, which is linear in the bucket's members. Those that did not
 lead are then held against each other across classes by their samples alone, in packs: what is not in the bucket's largest
-class against all of them. In each pack a text is compared with the members of each other class that agree in
+class against all of them. In each pack a text is compared with the members of other classes that agree in
 ``LEAST_AGREEMENT`` of the samples: first with the best few (``TRIES``), whose links join most classes, and in the last round
 with every one that is not yet in its class. A pair is a link where its weighted Jaccard similarity, or the plain one, is at least
 ``threshold``. Classes are the connected components.
@@ -41,9 +41,8 @@ SHINGLE, BANDS, ROWS = 5, 18, 4
 #: Leaders of a bucket in each round; share of equal samples from which a pair is compared (a pair at the threshold has
 #: less with a probability of about 1 in 1,000); most members of a pack.
 LEADERS, LEAST_AGREEMENT, PACK = (1, 2, 4), 0.62, 128
-#: Members of each other class in a pack that a text is compared with, in the rounds after those of the leaders; the last
-#: takes whole packs.
-TRIES = (1, 8, PACK * PACK)
+#: Members of other classes in a pack that a text is compared with, in the rounds after those of the leaders (None: all).
+TRIES = (1, 8, None)
 #: Counters of the document frequency table; it is the only thing that is sent to every worker.
 COUNTERS = 1 << 20
 SLICES = 64
@@ -197,16 +196,14 @@ def similar(a: tuple, b: tuple, threshold: float) -> bool:
     return max(plain, weighted) >= threshold - 1e-12
 
 
-def agreeing_members(x: np.ndarray, own: np.ndarray, y: np.ndarray, classes_: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def agreeing_members(x: np.ndarray, own: np.ndarray, y: np.ndarray, classes_: np.ndarray, most: int | None) -> Iterator[tuple[int, int]]:
     """For each text of a pack (samples ``x``), the members of other classes in another pack (``y``) that agree in enough
-    samples: of each class the ``most`` that agree best. Yields both positions."""
+    samples: the ``most`` that agree best. Yields both positions."""
     least = LEAST_AGREEMENT * x.shape[2]
     for i in range(len(x)):
         share = agreement(y, x[i])
         at = np.flatnonzero((share >= least) & (classes_ != own[i]))
-        at = at[np.lexsort((-share[at], classes_[at]))]
-        of = classes_[at]
-        at = at[np.arange(len(at)) - np.searchsorted(of, of) < most]
+        at = at[np.argsort(-share[at], kind="stable")[:most]]
         yield from ((i, j) for j in at.tolist())
 
 
@@ -285,9 +282,9 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    def agreeing(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-        """For each member of a pack and each other class in another, the members of that class that agree in most samples,
-        if in enough; a pair may come from several buckets."""
+    def agreeing(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+        """For each member of a pack, the members of other classes in another that agree in most samples, if in enough; a
+        pair may come from several buckets."""
         for batch in batches:
             for keys, own, samples, others, classes_, more in zip(*batch.columns):
                 x, y = (sample_table(s.as_py()) for s in (samples, more))
@@ -313,7 +310,7 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
         part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / PACK))
         return of.groupBy("bucket", part.alias("pack")).agg(F.collect_list(F.struct("key", "component", "samples")).alias("x"))
 
-    links = compared = led = labels = rest = None
+    compared = led = labels = rest = None
     for leaders, most in (*((n, 0) for n in LEADERS), *((0, n) for n in TRIES)):
         if leaders:
             current = waiting = labelled(members, labels)
@@ -343,7 +340,7 @@ def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, thresh
         first = sets.select(F.col("key").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
         second = sets.select(F.col("key").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
         found = written(pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verified, "a binary, b binary"), "links")
-        links = found if links is None else links.union(found)
+        links = found if labels is None else found.union(labels.select(F.col("key").alias("a"), F.col("component").alias("b")))
         labels = components(links)
     return labels
 
