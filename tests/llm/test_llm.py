@@ -108,6 +108,36 @@ def test_grammar_shards(docs, texts):
         start += len(ids)
 
 
+def most_frequent_pair(symbols, end):
+    """How often the most frequent pair occurs; in a run of one symbol every second place counts."""
+    count, last = collections.Counter(), {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if end not in pair and not (pair[0] == pair[1] and last.get(pair) == i - 1):
+            count[pair] += 1
+            last[pair] = i
+    return max(count.values(), default=0)
+
+
+@pytest.mark.parametrize("seed, least, alphabet", [(1, 2, 3), (2, 4, 2), (3, 16, 40), (4, 3, 1)])
+def test_compression_leaves_no_frequent_pair(seed, least, alphabet):
+    rng = np.random.default_rng(seed)
+    phrases = [rng.integers(3, 3 + alphabet, rng.integers(1, 9)) for _ in range(12)]
+    for n in (0, 1, 2, 50, 3000):
+        ids = np.concatenate([np.zeros(0, int), *(np.r_[phrases[k], 2] if rng.random() < 0.1 else phrases[k] for k in rng.integers(0, 12, n))])[:n].astype(np.uint32)
+        symbols, rules = grammar_shards.compress(ids, 2, 50, least)
+        assert most_frequent_pair(symbols.tolist(), 2) < least
+        at, length, flat = grammar_shards.expansions(rules, 50)
+        assert np.array_equal(np.concatenate([flat[:0], *(flat[at[s] : at[s] + length[s]] for s in symbols.tolist())]), ids)
+        assert len({tuple(r) for r in rules.tolist()}) == len(rules) and (not len(rules) or 2 not in rules)
+
+
+def test_symbols_over_sixteen_bits():
+    documents = [np.r_[np.tile(np.arange(3, 4000), 20), 2].astype("<u4")]
+    file = grammar_shards.write_shard([1], [d.tobytes() for d in documents], 2, 65000)
+    reader = grammar_shards.ShardReader(file)
+    assert reader.symbols.max() > 65535 and np.array_equal(reader.document(0), documents[0])
+
+
 def test_shard_file_has_random_access():
     rng = np.random.default_rng(1)
     documents = [np.r_[rng.integers(3, 9, rng.integers(0, 400)), 2].astype("<u4") for _ in range(60)]

@@ -10,8 +10,11 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The pre-tokenizer's pattern of byte-level BPE files; a fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,7 +29,11 @@ def byte_letters() -> list[str]:
 
 
 class MergeRanks:
-    """Byte-level BPE: the file's own merges, run by tiktoken. Ids of such files are in the order of their merges."""
+    """Byte-level BPE: the file's own merges, run by tiktoken.
+
+    It relies on what ``fits`` checks: ids of merged tokens in the order of their merges, the usual pre-tokenizer
+    without a space before the text, no normaliser, no other model options.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -76,32 +83,36 @@ class WordMerges:
             self.ends[rank] = token[-1] == 0 and rank
         self.run = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, a pre-token in lower case without zero bytes; none for an empty one."""
-        some = [w for w in words if w]
-        found = self.run("\0".join([*some, ""]), disallowed_special=())
-        raw = self.ids[found].tobytes()
-        ends = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
-        out = dict(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        return [out[w] if w else b"" for w in words]
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, pre-tokens in lower case without zero bytes, none of them empty, and where each
+        one's end."""
+        found = self.run("\0".join([*words, ""]), disallowed_special=())
+        return self.ids[found], np.flatnonzero(self.ends[found]) + 1
 
 
 class PieceCache:
     """Vocabularies that drop white space: a text's ids are the ids of the pieces between spaces and line ends, in order.
 
-    Pieces repeat, so each distinct one is encoded once per worker. Most are a Latin word and then ASCII punctuation, if
-    any: lower case is all that the normaliser does to these, and the model's merges alone give the ids of each of the
-    two. All other pieces go through the whole library. ``limit`` bounds the cached pieces, and so the
-    worker's memory.
+    Arrow splits a group of texts and numbers its distinct pieces; each that isn't known yet is encoded once, and numpy
+    gathers the ids of all pieces from one array. Most pieces are a Latin word and then ASCII punctuation, if any: lower
+    case is all that the normaliser does to these, and the model's merges alone give the ids of each of the two. All
+    other pieces go through the whole library. ``limit`` bounds the known pieces, and ``LONG`` the length of one that is
+    kept, and so the worker's memory.
+
+    It relies on what ``fits`` checks: the normaliser's and pre-tokenizer's steps by name, an end-of-word suffix that
+    every word's last symbol has, no other model options, and special strings with ``<`` and without white space.
     """
 
+    LONG = 64
+
     #: Without the apostrophe, which begins contractions, and <, which begins special strings.
     WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@[-`{-~]*)")
 
-    LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
-    NOT_ALONE = re.compile(r"[.,][!-/:-@[-`{-~\x00-\x08\x0e-\x1f\x7f]|[!-/:-@[-`{-~\x00-\x08\x0e-\x1f\x7f][.,]")
+    #: For RE2: Latin texts; and those in which a full stop or comma stands beside other punctuation.
+    LATIN = r"\A[\x00-\x7fÀ-ÖØ-öø-ÿ]*\z"
+    NOT_ALONE = r"[.,][!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]|[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f][.,]|<\|"
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,19 +121,18 @@ class PieceCache:
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.merges = WordMerges(spec["model"]) if self._plain(spec) else None
+            self.merges = WordMerges(json.load(f)["model"])
         self.limit = limit
-        self.ids: dict[str, bytes] = {}
+        self._forget()
 
     @staticmethod
-    def _plain(spec: dict) -> bool:
-        """Whether a piece that is a Latin word may go to the model in lower case."""
+    def fits(spec: dict) -> bool:
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = [p.get("type") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         model = spec["model"]
         usual = model["type"] == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
-        return bool(usual) and steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and all("<" in t["content"] for t in spec["added_tokens"])
+        special = [t["content"] for t in spec["added_tokens"]]
+        return bool(usual) and steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"] and all("<" in t and not re.search(r"\s", t) for t in special)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = []
@@ -130,40 +140,38 @@ class PieceCache:
             found += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
         return found
 
-    def _add(self, pieces: list[str]) -> None:
-        """Adds the ids of new pieces, and of the words and punctuation in them."""
-        ids = self.ids
-        if not self.merges:
-            ids.update(zip(pieces, self._library(pieces)))
-            return
-        rest, parts, whole = [], {}, self.WORD.fullmatch
-        new = {}
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # a piece's number; its ids are flat[ends[number] : ends[number + 1]]
+        self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces that aren't words in lower case."""
+        rest, parts, words, whole = [], [], {}, self.WORD.fullmatch
         for p in pieces:
-            if p.isascii() and p.isalpha() and p.islower():
-                new[p] = None
-            elif (m := whole(p)) is None:
+            if (m := whole(p)) is None:
                 rest.append(p)
+                parts.append(None)
             else:
-                a, b = m[1].lower(), m[2]
-                if (not a or not b) and a + b == p:
-                    new[p] = None
-                else:
-                    parts[p] = a, b
-                    for w in (a, b):
-                        if w not in ids:
-                            new[w] = None
-        words = list(new)
-        ids.update(zip(words, self.merges.encode(words)))
-        for p, (a, b) in parts.items():
-            ids[p] = ids[a] + ids[b]
-        ids.update(zip(rest, self._library(rest)))
-
-    def _pieces(self, text: str) -> list[str]:
-        """Where a text is Latin and its full stops and commas stand alone, it is taken in lower case and these are
-        pieces of their own, so that fewer pieces differ."""
-        if self.merges and self.LATIN.fullmatch(text) and "<|" not in text and not self.NOT_ALONE.search(text):
-            text = text.lower().replace(".", " .").replace(",", " ,")
-        return text.replace("\n", " ").split(" ")
+                parts.append((m[1].lower(), m[2]))
+                words.update(dict.fromkeys(filter(None, parts[-1])))
+        ids, ends = self.merges.encode(list(words))
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        of = dict(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)])) | {"": b""}
+        others = iter(self._library(rest))
+        return [next(others) if ab is None else of[ab[0]] + of[ab[1]] for ab in parts]
+
+    def _append(self, pieces: list[str]) -> list[str]:
+        """Adds the ids of the pieces, in an order of its own, which it returns."""
+        simple = pc.match_substring_regex(pa.array(pieces, pa.large_string()), r"\A[a-z]+\z").to_pylist()
+        words = list(compress(pieces, simple))
+        others = [p for p, yes in zip(pieces, simple) if not yes]
+        ids, ends = self.merges.encode(words)
+        more = self._others(others)
+        size = np.fromiter(map(len, more), np.int64, len(more)) // 4
+        at = self.ends[-1] + len(ids)
+        self.flat = np.concatenate([self.flat, ids, np.frombuffer(b"".join(more), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends, at + np.cumsum(size)])
+        return words + others
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Works in groups of a few MB of text."""
@@ -171,29 +179,71 @@ class PieceCache:
         for text in texts:
             group.append(text)
             size += len(text)
-            if size > 2_000_000:
+            if size > 12_000_000:
                 yield from self._group(group)
                 group, size = [], 0
-        yield from self._group(group)
+        if group:
+            yield from self._group(group)
+
+    def _split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces, the number of each piece among these, and the texts' bounds in pieces.
+
+        Where a text is Latin and its full stops and commas stand alone, it is taken in lower case and these are pieces
+        of their own, so that fewer pieces differ."""
+        column = pa.array(texts, pa.large_string())
+        alone = pc.and_not(pc.match_substring_regex(column, self.LATIN), pc.match_substring_regex(column, self.NOT_ALONE))
+        lower = pc.replace_substring(pc.replace_substring(pc.utf8_lower(column), ".", " ."), ",", " ,")
+        pieces = pc.split_pattern(pc.replace_substring(pc.if_else(alone, lower, column), "\n", " "), " ")
+        numbered = pieces.flatten().dictionary_encode()
+        return numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy(), pieces.offsets.to_numpy()
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        pieces = [self._pieces(t) for t in texts]
-        used = set().union(*pieces)
-        if len(self.ids) > self.limit:  # the older half goes, but for what this group has
-            self.ids = {p: x for k, (p, x) in enumerate(self.ids.items()) if 2 * k > self.limit or p in used}
-        self._add([p for p in used if p not in self.ids])
-        get = self.ids.__getitem__
-        for p in pieces:
-            yield b"".join(map(get, p))
+        names, codes, bounds = self._split(texts)
+        if len(self.known) > self.limit:
+            self._forget()
+        numbers = list(map(self.known.get, names))
+        new = [p for p, k in zip(names, numbers) if k is None]
+        short = self._append([p for p in new if len(p) <= self.LONG])
+        self.known.update(zip(short, range(len(self.known), len(self.known) + len(short))))
+        long = self._append([p for p in new if len(p) > self.LONG])
+        at = dict(zip(long, range(len(self.known), len(self.known) + len(long))))
+        if new:
+            numbers = [(self.known[p] if p in self.known else at[p]) if k is None else k for p, k in zip(names, numbers)]
+        numbers = np.array(numbers, np.int64)
+        size = np.diff(self.ends)[numbers][codes]
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        ids = self.flat[np.repeat(self.ends[numbers][codes] - after[:-1], size) + np.arange(after[-1])]
+        self.ends = self.ends[: len(self.known) + 1]  # long pieces go again
+        self.flat = self.flat[: self.ends[-1]]
+        cuts = after[bounds].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield ids[a:b].tobytes()
+
+
+class WholeTexts:
+    """Any other file: the library itself."""
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-_encoders: dict[str, MergeRanks | PieceCache] = {}
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.size = self.library.get_vocab_size()
 
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_encoders: dict[str, MergeRanks | PieceCache | WholeTexts] = {}
 
-def encoder(path: str) -> MergeRanks | PieceCache:
+
+def encoder(path: str) -> MergeRanks | PieceCache | WholeTexts:
     """The worker's own encoder for a file; it lives as long as the worker does."""
     if path not in _encoders:
         with open(path, encoding="utf-8") as f:
-            fits = MergeRanks.fits(json.load(f))
-        _encoders[path] = MergeRanks(path) if fits else PieceCache(path)
+            spec = json.load(f)
+        _encoders[path] = next((kind for kind in (MergeRanks, PieceCache) if kind.fits(spec)), WholeTexts)(path)
     return _encoders[path]

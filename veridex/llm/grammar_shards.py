@@ -1,14 +1,15 @@
 """Token ids in Re-Pair compressed shard files with random access.
 
 Documents are range-partitioned and sorted by id, encoded, and cut into shards of a bounded number of ids (whole
-documents). In each shard frequent pairs of neighbouring symbols are replaced by nonterminals, round after round. A
-round replaces many pairs at once: none of their right symbols is a left symbol of another, so occurrences can't
-overlap. No rule crosses a document's end, so each document is a range of the compressed symbols.
+documents). In each shard frequent pairs of neighbouring symbols are replaced by nonterminals, the most frequent first,
+until no pair occurs ``least`` times: a rule that is used less often would cost more than it saves. No rule crosses a
+document's end, so each document is a range of the compressed symbols.
 
 Shard file (little-endian; written as one binary value per shard in a Parquet table of the shared folder):
 ``RPG1`` | uint32 symbols below the first nonterminal, rules, documents, compressed symbols | rules as two uint32 |
 their expansion lengths as uint32 | documents' compressed ends as uint64 | documents' expanded ends as uint64 |
-documents' ids as int64 and a byte each that is 1 for a null id | symbols as uint16 where all fit, else as uint32.
+documents' ids as int64 and a byte each that is 1 for a null id | the symbols' low 16 bits as uint16, then a bit of each
+symbol for every higher bit of the largest number.
 
 Null texts are empty: the end id alone. Null ids come first; rows with equal ids keep one place each, in the order of
 their texts' hashes. An empty table gives no shard. A document longer than a shard gets a shard of its own.
@@ -35,54 +36,109 @@ SHARDS = "part int, shard int, before long, n long, file binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, end_id: int, base: int, rounds: int = 7, most_symbols: int = 512, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which keys occur at least ``least`` times, the place of each among these, the most frequent first, and these."""
+    bits = min(max(len(keys).bit_length() - 1, 8), 20)  # slots of a sieve, and of a table of the frequent ones
+    with np.errstate(over="ignore"):
+        slots = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    often = np.bincount(slots, minlength=1 << bits) >= least  # a slot's count is at least its keys'
+    maybe = np.flatnonzero(often[slots])
+    keys, slots = keys[maybe], slots[maybe]
+    ordered = np.sort(keys)
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+    counts = np.diff(np.r_[starts, len(ordered)])
+    found, counts = ordered[starts[counts >= least]], counts[counts >= least]
+    by_count = np.argsort(-counts, kind="stable")
+    if not len(found):
+        return maybe[:0], maybe[:0], found
+    place = np.empty(len(found), np.int64)
+    place[by_count] = np.arange(len(found))
+    with np.errstate(over="ignore"):
+        own = (found.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    table = np.zeros(1 << bits, np.int32)
+    table[own] = np.arange(len(found), dtype=np.int32)
+    at = table[slots]
+    hit = found[at] == keys
+    if len(lost := np.flatnonzero(table[own] != np.arange(len(found)))):  # another frequent pair has their slot
+        some = np.zeros(1 << bits, bool)
+        some[own[lost]] = True
+        rest = np.flatnonzero(some[slots])
+        at[rest] = np.minimum(np.searchsorted(found, keys[rest]), len(found) - 1)
+        hit[rest] = found[at[rest]] == keys[rest]
+    hit = np.flatnonzero(hit)
+    return maybe[hit], place[at[hit]], found[by_count]
+
+
+def compress(ids: np.ndarray, end_id: int, base: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (left, right) of a stream in which ``end_id`` is part of no rule.
 
-    Pairs are sought among the ``most_symbols`` most frequent symbols: a pair is no more frequent than its rarer
-    symbol. A pair that occurs fewer than ``least`` times stays.
+    A round takes the pairs that occur at least ``least`` times, the more frequent first, and each one's occurrences
+    that no pair before it has taken; a pair whose free occurrences are fewer waits for a later round. Only places whose
+    pair is frequent or has a new symbol are looked at again: counts of other pairs can but fall. The last round looks
+    at every place and finds no pair left, so the result is closed: no pair without ``end_id`` occurs ``least`` times
+    (of overlapping occurrences, as in ``aaa``, every second one counts).
     """
-    stream, rules = ids.astype(np.int32), []
-    often = np.bincount(stream, minlength=base)
-    often[end_id] = 0
-    for _ in range(rounds):
-        size = base + len(rules)
-        top = np.argsort(-often, kind="stable")[:most_symbols]
-        top = top[often[top] >= least]
-        k = len(top)
-        if not k or len(stream) < 2:
-            break
-        place = np.full(size, k, np.int32)  # k: not among them
-        place[top] = np.arange(k, dtype=np.int32)
-        own = place[stream]
-        pair = own[:-1] * (k + 1) + own[1:]
-        counts = np.bincount(pair, minlength=(k + 1) * (k + 1)).reshape(k + 1, k + 1)
-        counts[k, :] = counts[:, k] = 0
-        np.fill_diagonal(counts, 0)  # aa may overlap itself; its doubles are left to pairs with their neighbours
-        flat = counts.ravel()
-        best = np.flatnonzero(flat >= max(least, flat.max() // 50))
-        best = best[np.argsort(-flat[best], kind="stable")][:2000]
-        side, symbols, counted = [0] * k, top.tolist(), flat[best].tolist()  # side 1: left, 2: right
-        number = np.full((k + 1) * (k + 1), -1, np.int32)
-        new = []
-        for p, c in zip(best.tolist(), counted):
-            a, b = divmod(p, k + 1)
-            if side[a] != 2 and side[b] != 1:
-                side[a], side[b] = 1, 2
-                number[p] = base + len(rules)
-                rules.append((symbols[a], symbols[b]))
-                new.append(c)
-                often[symbols[a]] -= c
-                often[symbols[b]] -= c
-        if not new:
-            break
-        often = np.concatenate([often, np.array(new)])
-        named = number[pair]
-        at = np.flatnonzero(named >= 0)
-        stream[at] = named[at]
-        keep = np.ones(len(stream), bool)
-        keep[at + 1] = False
-        stream = stream[keep]
-    return stream.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2)
+    symbol = ids.astype(np.int32)
+    rules: list[int] = []
+    known: dict[int, int] = {}  # nonterminals by pair
+    size, again, every = base, False, True
+    live = np.arange(max(len(symbol) - 1, 0))  # places to look at, by their pair's left symbol
+    while True:
+        a, b = symbol[live], symbol[live + 1]
+        use = (a != end_id) & (b != end_id)
+        same = np.flatnonzero(use & (a == b))
+        place = live[same]
+        run = np.flatnonzero(np.r_[True, np.diff(place) != 1][: len(place)])
+        odd = (np.arange(len(place)) - np.repeat(run, np.diff(np.r_[run, len(place)]))) % 2 == 1
+        use[same[odd]] = False  # in a run of one symbol every second place counts
+        odd = place[odd]
+        at = live[use]
+        yes, of, pairs = _frequent(a[use].astype(np.int64) << 32 | b[use], least)
+        if not len(pairs):
+            if every or not again:
+                break
+            again, every, live = False, True, np.arange(len(symbol) - 1)
+            continue
+        none = len(pairs)
+        at = at[yes]
+        rank = np.full(len(symbol) + 1, none, np.int32)  # the place's pair; -1 is the last entry, beyond all places
+        rank[at] = of
+        free, taken = at, []
+        while len(free):  # those before both neighbours are taken, and their neighbours go
+            own = rank[free]
+            first = (own < rank[free - 1]) & (own < rank[free + 1])
+            best = free[first]
+            taken.append(best)
+            rank[best - 1] = rank[best + 1] = none
+            free = free[~first]
+            free = free[rank[free] < none]
+        taken = np.sort(np.concatenate(taken))
+        of = rank[taken]
+        enough = np.bincount(of, minlength=none) >= least
+        chosen = enough[of]
+        taken, of = taken[chosen], of[chosen]
+        number = np.zeros(none, np.int32)
+        for k in np.flatnonzero(enough).tolist():
+            pair = int(pairs[k])
+            if pair in known:  # it waited in part: its neighbours' counts may rise
+                again = True
+            else:
+                known[pair] = size
+                rules.append(pair)
+                size += 1
+            number[k] = known[pair]
+        symbol[taken] = number[of]
+        stay = np.ones(len(symbol), bool)
+        stay[taken + 1] = False
+        look = np.zeros(len(symbol) + 1, bool)
+        look[at] = look[odd] = look[taken] = True
+        look[taken[taken > 0] - 1] = True
+        # a symbol before a taken place may itself go: then the place before it, a taken one, is looked at anyway
+        symbol, look = symbol[stay], look[:-1][stay]
+        live = np.flatnonzero(look[:-1])
+        every = False
+    rules = np.array(rules, np.int64)
+    return symbol.astype(np.uint32), np.stack([rules >> 32, rules & 0xFFFFFFFF], 1).astype(np.uint32)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -102,8 +158,10 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np
     return np.cumsum(lengths) - lengths, lengths, flat
 
 
-def symbol_type(base: int, n_rules: int) -> str:
-    return "<u2" if base + n_rules <= 1 << 16 else "<u4"
+def symbol_bytes(symbols: np.ndarray, most: int) -> bytes:
+    """The low 16 bits of all symbols, then each higher bit that ``most`` has, eight symbols a byte."""
+    planes = [np.packbits((symbols >> bit & 1).astype(np.uint8)).tobytes() for bit in range(16, max(16, int(most).bit_length()))]
+    return b"".join([symbols.astype("<u2").tobytes(), *planes])
 
 
 def write_shard(doc_ids: list[int | None], blobs: list[bytes], end_id: int, base: int) -> bytes:
@@ -115,7 +173,7 @@ def write_shard(doc_ids: list[int | None], blobs: list[bytes], end_id: int, base
     head = MAGIC + struct.pack("<4I", base, len(rules), len(blobs), len(stream))
     return b"".join([
         head, rules.astype("<u4").tobytes(), lengths[base:].astype("<u4").tobytes(), packed_ends.astype("<u8").tobytes(), ends.astype("<u8").tobytes(),
-        np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), stream.astype(symbol_type(base, len(rules))).tobytes(),
+        np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), symbol_bytes(stream, base + len(rules)),
     ])
 
 
@@ -138,7 +196,9 @@ class ShardReader:
         self.packed_ends, self.ends = take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
         ids, null = take("<i8", n_docs), take("u1", n_docs)
         self.doc_ids = [None if z else d for d, z in zip(ids.tolist(), null.tolist())]
-        self.symbols = take(symbol_type(self.base, n_rules), n_symbols)
+        self.symbols = take("<u2", n_symbols).astype(np.uint32)
+        for bit in range(16, max(16, (self.base + n_rules).bit_length())):
+            self.symbols |= np.unpackbits(take("u1", (n_symbols + 7) // 8), count=n_symbols).astype(np.uint32) << bit
         self.at, self.length, self.flat = expansions(self.rules, self.base)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -168,16 +228,14 @@ def shards(df: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([file], pa.binary())], ["part", "shard", "before", "n", "file"])
 
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.slice(at, 1000)
-                for d, x in zip(some.column(0).to_pylist(), library.encode(some.column(1).to_pylist())):
-                    x += end
-                    if blobs and size + len(x) // 4 > shard_ids:
-                        yield flush()
-                        before, shard, docs, blobs, size = before + size, shard + 1, [], [], 0
-                    docs.append(d)
-                    blobs.append(x)
-                    size += len(x) // 4
+            for d, x in zip(batch.column(0).to_pylist(), library.encode(batch.column(1).to_pylist())):
+                x += end
+                if blobs and size + len(x) // 4 > shard_ids:
+                    yield flush()
+                    before, shard, docs, blobs, size = before + size, shard + 1, [], [], 0
+                docs.append(d)
+                blobs.append(x)
+                size += len(x) // 4
         if blobs:
             yield flush()
 
