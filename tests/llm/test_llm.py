@@ -298,85 +298,76 @@ def test_html_extraction(spark, empty):
     assert html_extraction.extracted(rows.limit(0)).count() == 0
 
 
-def shingles(text):
-    w = decontamination.words_of(text)
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def brute_classes(spark, every):
+    """Classes by the weighted Jaccard similarity of all pairs with a common shingle, and these pairs."""
+    rows = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    levels = near_duplicates.weight_levels(near_duplicates.document_bitmaps(rows.select("text")), len(every))
+    weights, inverted, common = {}, collections.defaultdict(list), collections.Counter()
+    for k, t in every.items():
+        _, h, n, level = near_duplicates.profile(t, levels)
+        weights[k] = dict(zip(h.tolist(), (n * level.astype(int)).tolist()))
+        for x in weights[k]:
+            inverted[x].append(k)
+    for x, ks in inverted.items():
+        for i, a in enumerate(ks):
+            for b in ks[:i]:
+                common[a, b] += min(weights[a][x], weights[b][x])
+    total = {k: sum(w.values()) for k, w in weights.items()}
+    pairs = [(a, b) for (a, b), c in common.items() if c >= 0.8 * (total[a] + total[b] - c) - 1e-9]
+    top = {k: k for k in every}
+    find = lambda k: k if top[k] == k else find(top[k])
+    for a, b in pairs:
+        top[max(find(a), find(b))] = min(find(a), find(b))
+    return rows, {k: find(k) for k in every if weights[k]}, pairs
+
+
+def mutants(rng, n, words=120, most=0.03):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    return [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < rng.choice([0, 0.01, most]) else w for w in base) for _ in range(n)]
+
+
+def test_near_duplicates_equal_brute_force(spark, texts):
+    every = texts | {10**6 + k: t for k, t in enumerate(mutants(random.Random(7), 150))}
+    rows, classes, pairs = brute_classes(spark, every)
+    found = {r.doc_id: r.class_id for r in near_duplicates.classes(rows).collect()}
+    assert len(pairs) > 3000 and {k: found[k] for k in classes} == classes
 
 
-def test_near_duplicates_lose_no_link(spark, docs, texts, edge, empty):
-    rng = random.Random(7)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
-    group = {10**6 + k: " ".join(f"x{rng.randrange(10**6)}" if rng.random() < rng.choice([0, 0.01, 0.03]) else w for w in base) for k in range(150)}
-    every = texts | group
-    rows = docs.select("doc_id", "text").union(spark.createDataFrame(list(group.items()), "doc_id long, text string"))
+@pytest.mark.parametrize("pack, most", [(4, 0.04), (8, 0.06)])
+def test_near_duplicates_in_buckets_of_many_packs(spark, monkeypatch, pack, most):
+    """Representatives and pack against pack find what no pack has by itself."""
+    monkeypatch.setattr(near_duplicates, "PACK", pack)
+    monkeypatch.setattr(near_duplicates, "REPRESENTATIVES", 1)
+    rng = random.Random(pack)
+    rows, classes, _ = brute_classes(spark, dict(enumerate(t for _ in range(3) for t in mutants(rng, 70, most=most))))
     found = {r.doc_id: r.class_id for r in near_duplicates.classes(rows).collect()}
-    sets, inverted, common = {k: shingles(t) for k, t in every.items()}, collections.defaultdict(list), collections.Counter()
-    for k, s in sets.items():
-        for x in s:
-            inverted[x].append(k)
-    for ks in inverted.values():
-        common.update((a, b) for i, a in enumerate(ks) for b in ks[:i])
-    share = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in common.items()}
-    assert [p for p, j in share.items() if j >= 0.8 and found[p[0]] != found[p[1]]] == []
-    members = collections.defaultdict(list)
-    for k, c in found.items():
-        members[c].append(k)
-    near = {p for p, j in share.items() if j >= 0.7}  # weights move a pair a little
-    for ks in members.values():
-        assert len(ks) == 1 or all(any((a, b) in near or (b, a) in near for b in ks if b != a) or not sets[a] for a in ks)
-
-
-def changed(rng, words, n):
-    """The words with ``n`` of them replaced, each in shingles of its own."""
-    words = list(words)
-    for k in rng.sample(range(1, len(words) // 8 - 1), n):
-        words[8 * k] = f"x{rng.randrange(10**9)}"
-    return words
-
-
-def in_one_bucket(spark, members):
-    """The component of each text; all lie in one bucket, with given samples and from the most to the least central."""
-    levels = spark.sparkContext.broadcast(np.zeros(near_duplicates.COUNTERS, np.uint8))
-    docs = spark.createDataFrame([(k, " ".join(w)) for k, (w, _) in enumerate(members)], "doc_id long, text string")
-    keys = [near_duplicates.profile(" ".join(w), levels.value)[0] for w, _ in members]
-    rows = docs.join(spark.createDataFrame(list(enumerate(keys)), "doc_id long, key binary"), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "key")
-    n = len(members)
-    bucket = [(key, 0, 1, n, 2 * n - k, np.array(samples, "<u2").tobytes()) for k, (key, (_, samples)) in enumerate(zip(keys, members))]
-    labels = near_duplicates._linked(docs, rows, spark.createDataFrame(bucket, "key binary, band int, bucket long, n long, central long, samples binary"), levels, 0.8)
-    found = {bytes(r.key): bytes(r.component) for r in labels.collect()}
-    return [found.get(k, k) for k in keys]
-
-
-def test_near_duplicates_try_more_than_the_best_of_a_class(spark):
-    """Samples put the class's centre first for every other text, which is no link; the next member is one."""
-    rng = random.Random(5)
-    hub = [f"w{rng.randrange(10**9)}" for _ in range(400)]
-    best, next_best = [0] * 72, [0] * 52 + [1] * 20
-    members = [(changed(rng, hub, 8), best), (hub, next_best)] + [(changed(rng, hub, 8), [0] * 48 + [9 + k] * 4 + [0] * 20) for k in range(14)]
-    assert len(set(in_one_bucket(spark, members))) == 1
-
-
-def test_near_duplicates_link_classes_that_are_both_led(spark):
-    """The only link between two classes is one of members that lead nowhere."""
-    rng = random.Random(6)
-    one = [f"w{rng.randrange(10**9)}" for _ in range(400)]
-    bridge = changed(rng, one, 8)
-    other = changed(rng, bridge, 8)
-    texts = [changed(rng, one, 8), other] + [changed(rng, other, 1) for _ in range(10)] + [bridge, one]
-    assert len(set(in_one_bucket(spark, [(w, [0] * 72) for w in texts]))) == 1
-
-
-def test_near_duplicates_link_by_either_similarity(spark):
-    """Equal shingles in other counts (plain similarity), and a line over and over with another rest (weighted)."""
-    rng = random.Random(8)
-    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    pairs = []
-    for _ in range(10):
-        text, line = words(100), words(6)
-        pairs += [(text, text * 3), (line * 60 + words(30), line * 60 + words(30))]
-    rows = [(2 * k + j, " ".join(t)) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
-    found = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {k: k // 2 * 2 for k, _ in rows}
+    assert 3 < len(set(classes.values())) < 200 and found == classes
+
+
+def test_links_of_packs_equal_pairs():
+    rng = np.random.default_rng(3)
+    for n, m in ((2, 0), (7, 0), (1, 1), (5, 4), (30, 0)):
+        sets = []
+        for _ in range(n + m):
+            h = np.sort(rng.choice(40, rng.integers(1, 40), replace=False)).astype(np.uint64)
+            sets.append((h, (h % np.uint64(16) + np.uint64(1)).astype(np.uint8)))
+        got = near_duplicates.links_of(sets[:n], sets[n:] or None, 0.5)
+        for i in range(n):
+            for j, (h, w) in enumerate(sets[n:] or sets[:n]):
+                x, y = (dict(zip(a.tolist(), b.tolist())) for a, b in (sets[i], (h, w)))
+                common = sum(x[k] for k in x.keys() & y.keys())
+                if m or i != j:
+                    assert got[i, j] == (common >= 0.5 * (sum(x.values()) + sum(y.values()) - common) - 1e-9)
+
+
+def test_frequent_shingles_weigh_less_but_not_those_of_copies(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    line, copied = words(12), words(60)
+    every = [f"{words(30)} {line}" for _ in range(900)] + [f"{copied} {words(2)}" for _ in range(900)] + [words(40) for _ in range(900)]
+    levels = near_duplicates.weight_levels(near_duplicates.document_bitmaps(spark.createDataFrame([(t,) for t in every], "text string")), len(every))
+    of = lambda t: near_duplicates.profile(t, levels)[3].mean()
+    assert of(line) < 0.4 * near_duplicates.LEVELS and of(copied) > 0.8 * near_duplicates.LEVELS
 
 
 def test_near_duplicates_edges(edge, empty):
@@ -424,11 +415,7 @@ def test_pipeline(spark, texts):
     search = decontamination.WindowSearch([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     assert set(stage["decontamination"]) == {k for k, t in stage["near dedup"].items() if not list(search.occurrences(decontamination.words_of(t)))}
     assert set(stage["personal data"]) == set(stage["decontamination"]) and not any(brute_personal(t) for t in stage["personal data"].values())
-    kept = stage["near dedup"]
-    sets = {k: shingles(t) for k, t in kept.items()}
-    for a in sets:
-        for b in sets:
-            assert a >= b or len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) < 0.8
+    assert set(stage["near dedup"]) == set(brute_classes(spark, stage["quality rules"])[1].values())
     library = Tokenizer.from_file(BYTE)
     ids = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for k, t in stage["personal data"].items()}
     check_pieces(corpus_pipeline.run(spark, SF).collect(), ids, 2048)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +17,15 @@ _unset_root: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is used.
+    Where the session has none, a temporary folder serves as long as all runs on one machine (a ``local`` master); on a
+    cluster that is an error, since executors don't see each other's folders.
     """
     global _unset_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _unset_root is None:
         _unset_root = "file://" + tempfile.mkdtemp(prefix="veridex-")
     return _unset_root
@@ -65,15 +67,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tokenizer_path(name: str) -> str:
     """``name`` may be a path of its own or the name of one of the public tokenizer files."""
     return name if os.path.sep in name else public_tokenizers.path(name)
-
-
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run meanwhile hand Python at most so many rows at once, which bounds its memory where rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)

@@ -15,14 +15,21 @@ def components(links: DataFrame) -> DataFrame:
     two joins on keys, and groups of any size sum up by partial minima. Rounds grow with the logarithm of the longest
     chain; stars take two.
     """
-    one, other = F.col("a").alias("key"), F.col("b").alias("neighbour")
-    edges = written(links.select(one, other).union(links.select(F.col("b"), F.col("a"))).filter("key <> neighbour").distinct(), "edges")
-    labels = written(edges.groupBy("key").agg(F.least(F.col("key"), F.min("neighbour")).alias("component")), "labels")
+    edges = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "edges")
+    labels = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("key").alias("neighbour"), F.col("component").alias("near")), "neighbour").groupBy("key").agg(F.min("near").alias("near"))
-        lower = labels.join(near, "key").select("key", F.least("component", "near").alias("new"), F.col("component").alias("old"))
-        top = labels.select(F.col("key").alias("new"), F.col("component").alias("jump"))
-        new = written(lower.join(top, "new").select("key", F.least("new", "jump").alias("component"), (F.least("new", "jump") != F.col("old")).alias("changed")), "labels")
-        labels = new.select("key", "component")
+        of = labels.select(F.col("a").alias("b"), F.col("label").alias("near"))
+        near = edges.join(of, "b").groupBy("a").agg(F.min("near").alias("near"))
+        lower = labels.join(near, "a").select("a", F.least("label", "near").alias("b"), "label")
+        new = written(lower.join(of, "b").select("a", F.least("b", "near").alias("label"), (F.least("b", "near") != F.col("label")).alias("changed")), "labels")
+        labels = new.select("a", "label")
         if new.filter("changed").isEmpty():
-            return labels
+            return labels.select(F.col("a").alias("key"), F.col("label").alias("component"))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``key, component``) after its components, or keys that it doesn't have yet, are linked, too."""
+    joined = components(links)
+    step = joined.select(F.col("key").alias("component"), F.col("component").alias("to"))
+    old = labels.join(step, "component", "left").select("key", F.coalesce("to", "component").alias("component"))
+    return written(old.union(joined.join(labels, "key", "left_anti").select("key", "component")), "relabelled")

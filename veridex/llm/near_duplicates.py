@@ -1,53 +1,51 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive words (lower case, ASCII letters and digits and all other characters beyond ASCII; a
-shorter text is one shingle). A shingle's weight is its count in the text times a damped inverse document frequency.
-Document frequencies of all documents are counted in a table of fixed size, by hash; a shingle rarer than about one in
-2,000 documents has the highest weight. The damping keeps weights between ``LEAST_WEIGHT`` and 1, so that the shingles
-of a large group of copies, which are frequent because of the copies, still tell them from other texts.
+shorter text is one shingle). A shingle's weight is its count in the text times its inverse document frequency, from 1
+for all that are rarer than one document in ``RARE`` down to about 0.1 for one in all documents, in ``LEVELS`` steps. A
+group of copies counts as one document, however large it is, or its own shingles would be called frequent: a bitmap
+(Flajolet and Martin 1985) for each of ``COUNTERS`` hashed shingles counts the distinct least shingles of the documents
+that have it, and copies mostly share theirs. A counter's load by other shingles and ``RARE`` both grow in proportion to
+the corpus, so the weights mean the same at every size.
 
 Each text gets ``BANDS * ROWS`` samples (Ioffe 2010); a sample's logarithm is the sum of one table entry by shingle and
-one by shingle and weight, and its least value over the text stands for the sampled shingle and step. A text that repeats
-shingles gets as many samples again of its weights without the counts, since links are sought by either similarity. Texts
-that share all samples of a band, of either kind, meet in a bucket, and agree in as many samples as those of the kind in
-which they agree more. In each bucket a few texts lead, round after round (``LEADERS``), those first
-that meet most others in all their buckets: each is compared with every member that is not yet in its class, which is linear in the bucket's members. Those that did not
-lead are then held against each other across classes by their samples alone, in packs: what is not in the bucket's largest
-class against all of them. In each pack a text is compared with the members of other classes that agree in
-``LEAST_AGREEMENT`` of the samples: first with the best few (``TRIES``), whose links join most classes, and in the last round
-with every one that is not yet in its class. A pair is a link where its weighted Jaccard similarity, or the plain one, is at least
-``threshold``. Classes are the connected components.
+one by shingle and weight, and its least value over the text stands for the sampled shingle and step. Texts that share
+all samples of a band meet in a bucket. Buckets with the same members count once. A bucket's members are dealt by hash
+to packs of about ``PACK``, and all pairs of a pack are compared by one matrix product, exactly, by weighted Jaccard
+similarity. That settles buckets of one pack. In larger ones a few representatives of each class and bucket are dealt
+anew and compared until that joins nothing more; then every member outside its bucket's largest class is compared with
+all other members, pack against pack. So each pair that shares a bucket is compared, unless both are in one class
+already, and no task holds more than two packs. Classes are the connected components of the links.
+
+A pair at the threshold shares no bucket with a probability of about 1 in 10,000 (``BANDS``, ``ROWS``).
 
 Null texts are empty. Texts with equal words, or with none, are copies of each other. Rows with equal or null ids are
-rows of their own; a class is named by its smallest id (null if it has none). An empty table gives no rows.
+rows of their own; a class is named by its smallest id (null if it has none). An empty table gives no rows. A text of any
+length is read whole, and costs memory in proportion to its words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm._common import batches_of, id_and_text, table, written
-from veridex.llm.components import components
+from veridex.llm._common import _quoted, id_and_text, table, written
+from veridex.llm.components import relabelled
 from veridex.llm.decontamination import words_of
 
 SHINGLE, BANDS, ROWS = 5, 18, 4
-#: Leaders of a bucket in each round; share of equal samples from which a pair is compared (a pair at the threshold has
-#: less with a probability of about 1 in 1,000); most members of a pack.
-LEADERS, LEAST_AGREEMENT, PACK = (1, 2, 4), 0.62, 128
-#: Members of other classes in a pack that a text is compared with, in the rounds after those of the leaders (None: all).
-TRIES = (1, 8, None)
-#: Counters of the document frequency table; it is the only thing that is sent to every worker.
-COUNTERS = 1 << 20
-SLICES = 64
-LEVELS, LEAST_WEIGHT = 8, 0.75
-LEVEL_WEIGHTS = np.linspace(LEAST_WEIGHT, 1.0, LEVELS)
+#: Members of a pack, about; representatives of a class in a bucket.
+PACK, REPRESENTATIVES = 128, 4
+#: Bitmaps of the document frequencies, of 32 bits each; their levels, a byte each, are all that is sent to every worker.
+COUNTERS, SLICES = 1 << 22, 64
+#: One document in so many, and at least this number, is rare.
+RARE, LEAST_RARE = 2000, 16
+LEVELS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +57,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct shingle hashes of texts with their counts; a word's hash is kept for the next texts."""
+    """Shingle hashes of texts, in order; a word's hash is kept for the next texts."""
 
     def __init__(self, limit: int = 500_000):
         self.limit, self.known = limit, {}
@@ -88,38 +86,32 @@ class Sampler:
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.log_c = np.log(rng.gamma(2.0, size=(1 << 14, samples))).astype(np.float32)
-        self.r = rng.gamma(2.0, size=(1 << 12, samples))
-        self.beta = rng.random((1 << 12, samples))
-        self.step = np.stack([self._step(np.arange(1 << 12), np.log(w)) for w in LEVEL_WEIGHTS], 1).reshape(-1, samples)
+        self.r = rng.gamma(2.0, size=(1 << 11, samples))
+        self.beta = rng.random((1 << 11, samples))
+        self.step = np.stack([self._step(np.arange(1 << 11), np.log(k / LEVELS)) for k in range(1, LEVELS + 1)], 1).reshape(-1, samples)
 
     def _step(self, row: np.ndarray, log_weight: np.ndarray | float) -> np.ndarray:
         r, beta = self.r[row], self.beta[row]
         t = np.floor(np.asarray(log_weight)[..., None] / r + beta)
         return (-r * (t - beta) - r).astype(np.float32)
 
-    def bands(self, h: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """64-bit values of the bands with the counts and of those without (0 where the same), and 16 bits of each
-        sample; those without the counts follow only where they differ."""
-        least = np.full((2, self.log_c.shape[1]), np.inf, np.float32)
+    def bands(self, h: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """64-bit values of the bands of a text's distinct shingles with their counts and levels (1 to ``LEVELS``)."""
+        least = np.full(self.log_c.shape[1], np.inf, np.float32)
         for at in range(0, len(h), 4096):
-            x, n, level = h[at : at + 4096], counts[at : at + 4096], levels[at : at + 4096]
-            row = (x >> np.uint64(20) & np.uint64(0xFFF)).astype(np.int64)
+            x, n, level = h[at : at + 4096], counts[at : at + 4096], levels[at : at + 4096].astype(np.int64)
+            row = (x >> np.uint64(20) & np.uint64(0x7FF)).astype(np.int64)
             log_c = self.log_c[(x >> np.uint64(40) & np.uint64(0x3FFF)).astype(np.int64)]
-            log_a = self.step[row * LEVELS + level] + log_c
-            plain = weighted = log_a.min(axis=0)
+            log_a = self.step[row * LEVELS + level - 1] + log_c
             more = np.flatnonzero(n > 1)
             if len(more):
-                log_a[more] = self._step(row[more], np.log(LEVEL_WEIGHTS[level[more]] * n[more])) + log_c[more]
-                weighted = log_a.min(axis=0)
-            np.minimum(least, (weighted, plain), out=least)
-        samples = mixed(least.view(np.uint32).astype(np.uint64))
-        rows = samples.reshape(2, BANDS, -1)
-        out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (2, 1))
-        for k in range(rows.shape[2]):
-            out = mixed(out * BASE + rows[:, :, k])
-        out[1, out[1] == out[0]] = 0
-        kinds = samples.astype("<u2")
-        return out.view(np.int64).ravel(), (kinds if out[1].any() else kinds[0]).tobytes()
+                log_a[more] = self._step(row[more], np.log(level[more] * n[more] / LEVELS)) + log_c[more]
+            np.minimum(least, log_a.min(axis=0), out=least)
+        rows = mixed(least.view(np.uint32).astype(np.uint64)).reshape(BANDS, -1)
+        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for k in range(rows.shape[1]):
+            out = mixed(out * BASE + rows[:, k])
+        return out.view(np.int64)
 
 
 _shingler, _samplers = Shingler(), []
@@ -131,118 +123,193 @@ def _sampler() -> Sampler:
     return _samplers[0]
 
 
-def sample_table(blobs: list[bytes]) -> np.ndarray:
-    """Samples of texts by kind, ``texts x 2 x samples``: a text that repeats no shingle has the same of both kinds."""
-    size = BANDS * ROWS * 2
-    return np.frombuffer(b"".join(x if len(x) > size else x + x for x in blobs), "<u2").reshape(len(blobs), 2, -1)
-
+def _counters(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many samples are the same, of the kind in which more are."""
-    return (x == y).sum(-1).max(-1)
 
+def document_bitmaps(texts: DataFrame) -> np.ndarray:
+    """A bitmap for each counter, over all texts: bits of the texts' least shingles, the k-th with probability 2^-k.
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """Documents by hashed shingle, over all of them: partial tables are summed in slices, in two steps."""
+    A task's bitmaps are joined in slices, in two steps; ``COUNTERS`` of them reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part, seen = np.zeros(COUNTERS, np.int64), 0, False
+        bits, part, seen = np.zeros(COUNTERS, np.uint32), 0, False
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 h = _shingler.hashes(words_of(text))
-                at = np.unique((h & np.uint64(COUNTERS - 1)).astype(np.int64))
-                total[at] += 1
-                part = (part * 31 + len(h)) % 64
-                seen = True
+                if len(h):
+                    kind = int(mixed(h.min() ^ BASE))
+                    bits[_counters(h)] |= np.uint32(min(kind & -kind, 1 << 31))
+                    part = (part * 31 + len(h)) % 64
+                    seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([s.tobytes() for s in total.reshape(SLICES, -1)], pa.binary())], ["slice", "part", "counts"])
+            slices = [pa.compress(s.tobytes(), "lz4", asbytes=True) for s in bits.reshape(SLICES, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array(slices, pa.binary())], ["slice", "part", "bits"])
 
-    def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS // SLICES, np.int64)
+    def unpacked(blob: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(blob, COUNTERS // SLICES * 4, "lz4", asbytes=True), np.uint32)
+
+    def join(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(COUNTERS // SLICES, np.uint32)
         for batch in rows:
-            for blob in batch.column("counts"):
-                total += np.frombuffer(blob.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "part", "counts"])
+            for blob in batch.column("bits").to_pylist():
+                bits |= unpacked(blob)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([pa.compress(bits.tobytes(), "lz4", asbytes=True)], pa.binary())], ["slice", "part", "bits"])
 
-    schema = "slice int, part int, counts binary"
-    parts = texts.mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    found = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    schema = "slice int, part int, bits binary"
+    parts = texts.mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(join, schema).groupBy("slice").applyInArrow(join, schema)
+    found = np.zeros((SLICES, COUNTERS // SLICES), np.uint32)
     for r in parts.collect():
-        found[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        found[r["slice"]] = unpacked(r["bits"])
     return found.ravel()
 
 
-def weight_levels(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
-    """The level of each counter's damped inverse document frequency, as bytes."""
-    n_docs = max(n_docs, 1)
-    least = max(1.0, n_docs / 2000)
-    idf = np.log1p(n_docs / np.maximum(frequencies, least)) / np.log1p(n_docs / least)
-    return np.round(idf * (LEVELS - 1)).astype(np.uint8)
+def weight_levels(bitmaps: np.ndarray, n_docs: int) -> np.ndarray:
+    """Each counter's inverse document frequency as a level from 1 to ``LEVELS``."""
+    lowest = np.frexp((~bitmaps & (bitmaps + np.uint32(1))).astype(np.float64))[1] - 1  # of the bits that aren't set
+    frequency = 2.0 ** np.where(bitmaps == np.uint32(0xFFFFFFFF), 32, lowest) / 0.77351
+    n_docs, rare = max(n_docs, 1), max(n_docs / RARE, LEAST_RARE)
+    idf = np.log1p(n_docs / np.maximum(frequency, rare)) / np.log1p(n_docs / rare)
+    return np.clip(np.ceil(idf * LEVELS - 1e-9), 1, LEVELS).astype(np.uint8)
 
 
 def profile(text: str, levels: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """Key of the text's words, its distinct shingles, their counts and their weights' levels."""
     words = words_of(text)
     h, counts = np.unique(_shingler.hashes(words), return_counts=True)
-    return xxhash.xxh3_128_digest(b" ".join(words)), h, counts, levels[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    return xxhash.xxh3_128_digest(b" ".join(words)), h, counts, levels[_counters(h)]
+
+
+def elements(h: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted set as a plain one: each shingle as often as it occurs, by number, with its level. What two texts
+    share of these is the sum of the smaller weights."""
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        return np.repeat(h, counts) + nth.astype(np.uint64) * BASE, np.repeat(levels, counts)
+
+
+def links_of(sets: Sequence[tuple[np.ndarray, np.ndarray]], others: Sequence[tuple[np.ndarray, np.ndarray]] | None, threshold: float) -> np.ndarray:
+    """Which pairs of ``sets`` (with ``others``, or with each other) have that weighted Jaccard similarity.
+
+    The sums of common weights are a product of two matrices of sets by elements, some columns at a time. They are whole
+    numbers, so nothing is rounded.
+    """
+    every = [*sets, *(others or ())]
+    total = np.array([int(w.sum(dtype=np.int64)) for _, w in every], float)
+    n = len(sets)
+    if len(every) == 2:
+        _, at, _ = np.intersect1d(every[0][0], every[1][0], assume_unique=True, return_indices=True)
+        common = np.zeros((2, 2))
+        common[0, 1] = common[1, 0] = every[0][1][at].sum(dtype=np.int64)
+        common = common if others is None else common[:1, 1:]
+    else:
+        h, w = np.concatenate([x for x, _ in every]), np.concatenate([x for _, x in every])
+        row = np.repeat(np.arange(len(every)), [len(x) for x, _ in every])
+        order = np.argsort(h, kind="stable")
+        h, w, row = h[order], w[order], row[order]
+        new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+        column = np.cumsum(new) - 1
+        shared = np.bincount(column) > 1
+        some = shared[column]
+        column, w, row = (np.cumsum(shared) - 1)[column[some]], w[some], row[some]
+        common = np.zeros((n, n if others is None else len(others)))
+        for first in range(0, int(shared.sum()), 8192):
+            a, b = np.searchsorted(column, [first, first + 8192])
+            x = np.zeros((len(every), 8192), np.float32)
+            x[row[a:b], column[a:b] - first] = 1
+            y = x.copy()
+            y[row[a:b], column[a:b] - first] = w[a:b]
+            common += x[:n] @ (y if others is None else y[n:]).T
+    both = total[:n, None] + (total if others is None else total[n:])[None, :] - common
+    return common >= threshold * both - 1e-9
+
+
+class _Union:
+    """Joins labels; yields a link for each join."""
+
+    def __init__(self) -> None:
+        self.parent: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
+def _linked(rows: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
+    """Links (``a, b``) between the labels (``component``) of rows with equal ``by``, as few as join what is similar.
+
+    ``rows`` also has ``side`` (rows of side 0 are compared with those of side 1, or with each other if there are none)
+    and the set's ``h`` and ``w``. Rows of one group come to one task and are read as a stream; a group is two packs at
+    most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        known = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            sets = {s: [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.uint8)) for _, side, h, w in group if side == s] for s in (0, 1)}
+            names = {s: [c for c, side, _, _ in group if side == s] for s in (0, 1)}
+            if sets[0] and (sets[1] or len(sets[0]) > 1):
+                similar = links_of(sets[0], sets[1] or None, threshold)
+                union, found = _Union(), set()
+                for i, j in zip(*(x.tolist() for x in np.nonzero(similar))):
+                    a, b = names[0][i], names[1 if sets[1] else 0][j]
+                    if a != b and union.join(a, b):
+                        found.update((a, b))
+                pairs = [(x, top) for x in found if (top := union.find(x)) != x]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs)], ["a", "b"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, *row in zip(zip(*columns[: len(by)]), *columns[len(by) :]):
+                if key != known:
+                    yield from settled()
+                    group, known = [], key
+                group.append(tuple(row))
+        yield from settled()
+
+    return rows.select(*by, "component", "side", "h", "w").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
 
 
-def similar(a: tuple, b: tuple, threshold: float) -> bool:
-    """Whether two texts' weighted or plain Jaccard similarity reaches the threshold; each is (hashes, weights)."""
-    _, at, bt = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    plain = len(at) / (len(a[0]) + len(b[0]) - len(at))
-    common = float(np.minimum(a[1][at], b[1][bt]).sum())
-    weighted = common / (float(a[1].sum()) + float(b[1].sum()) - common)
-    return max(plain, weighted) >= threshold - 1e-12
+def _packs(n: Column) -> Column:
+    """How many packs so many members make, a power of two."""
+    return F.when(n <= PACK, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(n / PACK)))).cast("long")
 
 
-def agreeing_members(x: np.ndarray, own: np.ndarray, y: np.ndarray, classes_: np.ndarray, most: int | None) -> Iterator[tuple[int, int]]:
-    """For each text of a pack (samples ``x``), the members of other classes in another pack (``y``) that agree in enough
-    samples: the ``most`` that agree best. Yields both positions."""
-    least = LEAST_AGREEMENT * x.shape[2]
-    for i in range(len(x)):
-        share = agreement(y, x[i])
-        at = np.flatnonzero((share >= least) & (classes_ != own[i]))
-        at = at[np.argsort(-share[at], kind="stable")[:most]]
-        yield from ((i, j) for j in at.tolist())
+def _dealt(packs: Column, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64("key", F.lit(salt)), packs)
 
 
 def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, class_id, first, n_same`` of every row: ``first`` marks the smallest (id, hash) of a class,
     on every row that equals it; ``n_same`` is how many rows do."""
-    with batches_of(df.sparkSession, 500):
-        return _classes(df, threshold, id_col, text_col)
-
-
-def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     docs = id_and_text(df, id_col, text_col)
-    frequencies = document_frequencies(docs.select("text"))
-    n_docs = docs.count()
-    levels = docs.sparkSession.sparkContext.broadcast(weight_levels(frequencies, n_docs))
-    names = [f"{kind}{k}" for kind in "bp" for k in range(BANDS)]
+    levels = docs.sparkSession.sparkContext.broadcast(weight_levels(document_bitmaps(docs.select("text")), docs.count()))
+    names = [f"b{k}" for k in range(BANDS)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler()
         for batch in batches:
-            keys, samples, bands = [], [], np.zeros((len(batch), 2 * BANDS), np.int64)
+            keys, bands = [], np.zeros((len(batch), BANDS), np.int64)
             for k, text in enumerate(batch.column(2).to_pylist()):
                 key, *shingles = profile(text, levels.value)
                 keys.append(key)
-                sample = b""
                 if len(shingles[0]):
-                    bands[k], sample = sampler.bands(*shingles)
-                samples.append(sample)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(samples, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in bands.T)], ["doc_id", "text_hash", "key", "samples", *names])
+                    bands[k] = sampler.bands(*shingles)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in bands.T)], ["doc_id", "text_hash", "key", *names])
 
-    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, "doc_id long, text_hash long, key binary, samples binary, " + ", ".join(f"{n} long" for n in names)), "signed")
-    texts = rows.groupBy("key").agg(*(F.min(n).alias(n) for n in names))
-    members = texts.select("key", F.explode(F.array(*names)).alias("bucket")).filter("bucket <> 0")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = members.join(shared, "bucket")
-    central = members.groupBy("key").agg(F.sum("n").alias("central"))
-    samples = rows.groupBy("key").agg(F.min("samples").alias("samples"))  # only members of shared buckets need theirs
-    members = written(members.join(central, "key").join(samples, "key"), "members")
-    labels = _linked(docs, rows, members, levels, threshold)
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, "doc_id long, text_hash long, key binary, " + ", ".join(f"{n} long" for n in names)), "signed")
+    labels = _labels(docs, rows, members_of(rows, names), levels, threshold)
     named = rows.select("doc_id", "text_hash", "key").join(labels.withColumnRenamed("component", "label"), "key", "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     same = written(named.groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("n_same")), "classes")
@@ -251,111 +318,89 @@ def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> Dat
     return of.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_same").cast("int")))).drop("copy")
 
 
-def _linked(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, threshold: float) -> DataFrame:
-    """``key, component`` of the texts that have links."""
-    spark = docs.sparkSession
-    nobody = spark.createDataFrame([], "key binary, component binary")
-    if members.isEmpty():
-        return nobody
+def members_of(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``bucket, n, key``: the texts of each bucket that has several; of buckets with the same texts, one."""
+    texts = rows.groupBy("key").agg(*(F.min(n).alias(n) for n in names))
+    members = texts.select("key", F.explode(F.array(*names)).alias("bucket")).filter("bucket <> 0")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("n > 1")
+    return written(members.join(shared.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "bucket"), "members")
+
+
+def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, levels) -> DataFrame:
+    """``key, h, w`` of the members: their elements and these elements' levels, as bytes."""
     wanted = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")).join(members.select("key").distinct(), "key", "left_semi")
-    wanted = wanted.select(F.coalesce("x.doc_id", F.lit(0)).alias("i"), F.col("x.text_hash").alias("text_hash"), "key")
+    wanted = wanted.select(F.coalesce("x.doc_id", F.lit(0)).alias("i"), F.col("x.text_hash").alias("text_hash"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hashes, weights = [], [], []
+            found = []
             for text in batch.column(0).to_pylist():
-                key, h, n, level = profile(text, levels.value)
-                keys.append(key)
-                hashes.append(h.tobytes())
-                weights.append((LEVEL_WEIGHTS[level] * n).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (keys, hashes, weights)], ["key", "h", "w"])
+                key, *shingles = profile(text, levels.value)
+                h, w = elements(*shingles)
+                found.append((key, h.tobytes(), w.tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["key", "h", "w"])
 
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("text_hash"), "text").join(wanted, ["i", "text_hash"]).select("text")
-    sets = written(texts.mapInArrow(shingled, "key binary, h binary, w binary").dropDuplicates(["key"]), "shingles")
+    return written(texts.mapInArrow(shingled, "key binary, h binary, w binary").dropDuplicates(["key"]), "sets")
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, *parts = batch.columns
-            ok = []
-            for ha, wa, hb, wb in zip(*parts):
-                ok.append(similar(*(tuple(np.frombuffer(x.as_buffer(), k) for x, k in zip(p, (np.uint64, np.float32))) for p in ((ha, wa), (hb, wb))), threshold))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
-
-    def agreeing(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-        """For each member of a pack, the members of other classes in another that agree in most samples, if in enough; a
-        pair may come from several buckets."""
-        for batch in batches:
-            for keys, own, samples, others, classes_, more in zip(*batch.columns):
-                x, y = (sample_table(s.as_py()) for s in (samples, more))
-                keys, own, others, classes_ = (v.as_py() for v in (keys, own, others, classes_))
-                number = {c: k for k, c in enumerate(dict.fromkeys(classes_))}
-                found = [(keys[i], others[j]) for i, j in agreeing_members(x, np.array([number.get(c, -1) for c in own]), y, np.array([number[c] for c in classes_]), most)]
-                if found:
-                    a, b = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x, y = (sample_table(c.to_pylist()) for c in batch.columns[2:])
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(agreement(x, y) >= LEAST_AGREEMENT * x.shape[2]))
-
-    def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return members.withColumn("component", F.col("key"))
-        return members.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-
-    def packs(of: DataFrame) -> DataFrame:
-        part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / PACK))
-        return of.groupBy("bucket", part.alias("pack")).agg(F.collect_list(F.struct("key", "component", "samples")).alias("x"))
-
-    compared = led = labels = rest = None
-    for leaders, most in (*((n, 0) for n in LEADERS), *((0, n) for n in TRIES)):
-        if leaders:
-            current = waiting = labelled(members, labels)
-            if led is not None:
-                past = led.join(current.select("bucket", F.col("key").alias("lead"), "component"), ["bucket", "lead"]).select("bucket", "component").distinct()
-                waiting = current.join(past, ["bucket", "component"], "left_anti")
-            share = F.pmod(F.xxhash64("key"), F.lit(leaders))
-            picked = waiting.groupBy("bucket", share).agg(F.max(F.struct("central", "key", "component", "samples")).alias("x"))
-            leads = written(picked.select("bucket", F.col("x.key").alias("lead"), F.col("x.component").alias("own"), F.col("x.samples").alias("more")), "leads")
-            led = leads.select("bucket", "lead") if led is None else led.union(leads.select("bucket", "lead"))
-            pairs = current.join(leads, "bucket").filter("key <> lead and component <> own").select(F.col("key").alias("a"), F.col("lead").alias("b"), "samples", "more").mapInArrow(close, "a binary, b binary")
-        else:
-            if rest is None:  # a leader has met all members of its bucket
-                rest = written(members.select("bucket", "n", "key", "samples").join(led.withColumnRenamed("lead", "key"), ["bucket", "key"], "left_anti"), "rest")
-            current = labelled(rest, labels)
-            sizes = current.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-            mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("x"), F.count("*").alias("classes")).filter("classes > 1").select("bucket", F.col("x.component").alias("largest"))
-            current = current.join(mixed, "bucket")
-            one = packs(current.filter("component <> largest")).select("bucket", *(F.col(f"x.{c}").alias(c) for c in ("key", "component", "samples")))
-            other = packs(current).select("bucket", *(F.col(f"x.{c}").alias(f"{c}_") for c in ("key", "component", "samples")))
-            pairs = one.join(other, "bucket").drop("bucket").mapInArrow(partial(agreeing, most=most), "a binary, b binary")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        first = sets.select(F.col("key").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-        second = sets.select(F.col("key").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-        found = written(pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(verified, "a binary, b binary"), "links")
-        links = found if labels is None else found.union(labels.select(F.col("key").alias("a"), F.col("component").alias("b")))
-        labels = components(links)
-    return labels
+
+def _labels(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, threshold: float) -> DataFrame:
+    """``key, component`` of the texts that have links."""
+    labels = docs.sparkSession.createDataFrame([], "key binary, component binary")
+    if members.isEmpty():
+        return labels
+    sets = _sets(docs, rows, members, levels)
+
+    def links(of: DataFrame, *by: str) -> DataFrame:
+        return written(_linked(of.join(sets, "key"), by, threshold), "links")
+
+    labels = relabelled(labels, links(members.select("bucket", _dealt(_packs(F.col("n"))).alias("pack"), "key", F.col("key").alias("component"), F.lit(0).alias("side")), "bucket", "pack"))
+    large = members.filter(F.col("n") > PACK)
+    if large.isEmpty():
+        return labels
+
+    def divided() -> DataFrame:
+        """Members of large buckets with more than one class, with their classes and whether theirs is the largest."""
+        now = large.select("bucket", "key").join(labels, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+        sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("x"), F.sum("size").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+        return written(now.join(most.select("bucket", "n", F.col("x.size").alias("size"), F.col("x.component").alias("largest")), "bucket"), "divided")
+
+    salt, now = 0, divided()
+    while True:
+        salt += 1
+        some = now.groupBy("bucket", "component", _dealt(F.lit(REPRESENTATIVES), salt)).agg(F.min("key").alias("key"))
+        some = some.join(some.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        found = links(some.select("bucket", _dealt(_packs(F.col("n")), -salt).alias("pack"), "key", "component", F.lit(0).alias("side")), "bucket", "pack")
+        if found.isEmpty():
+            break
+        labels = relabelled(labels, found)
+        now = divided()
+    return relabelled(labels, links(_opposed(now), "bucket", "one", "other"))
+
+
+def _opposed(now: DataFrame) -> DataFrame:
+    """Pack against pack: members outside their bucket's largest class on one side, all of the bucket on the other."""
+    few, every = _packs(F.col("n") - F.col("size")), _packs(F.col("n"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    one = now.filter("component <> largest").select("bucket", _dealt(few).alias("one"), upto(every).alias("other"), "key", "component", F.lit(0).alias("side"))
+    other = now.select("bucket", upto(few).alias("one"), _dealt(every).alias("other"), "key", "component", F.lit(1).alias("side"))
+    return one.unionByName(other)
 
 
 def keep_one_of_each(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that come first in their class; of equal rows one."""
-    first = classes(df, threshold, id_col, text_col).filter("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_same").distinct()
-    first = written(first, "first")
-    rows = df.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    on = rows["__row_id"].eqNullSafe(first["__id"]) & (rows["__row_hash"] == first["__hash"])
-    alone = rows.join(first.filter("n_same = 1"), on, "left_semi").select(*df.columns)
+    """The rows of ``df``, with all their columns, that come first in their class; of equal rows one.
+
+    Rows are equal where id and text are; which of them stays where other columns differ is left open."""
+    first = written(classes(df, threshold, id_col, text_col).filter("first").select("doc_id", "text_hash", "n_same").distinct(), "first")
+    rows = df.select(F.struct(*map(_quoted, df.columns)).alias("row"), _quoted(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(_quoted(text_col), F.lit(""))).alias("hash"))
+    on = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    alone = rows.join(first.filter("n_same = 1"), on, "left_semi").select("row.*")
     again = first.filter("n_same > 1")
     if again.isEmpty():
         return alone
-    return alone.unionByName(rows.join(again, on, "left_semi").dropDuplicates(["__row_id", "__row_hash"]).select(*df.columns))
+    return alone.union(rows.join(again, on, "left_semi").dropDuplicates(["i", "hash"]).select("row.*"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
