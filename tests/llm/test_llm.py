@@ -298,6 +298,51 @@ def test_html_extraction(spark, empty):
     assert html_extraction.extracted(rows.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Of words</h1><p>A first long sentence, with enough words to look like prose.</p><p>And more of it, said at length, again.</p>"
+SAID = "Of words\n\nA first long sentence, with enough words to look like prose.\n\nAnd more of it, said at length, again."
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><article>{ARTICLE}</article><div class='sidebar'>Other things</div></div>",
+    f"<div id=page class='no-comments'><article>{ARTICLE}</article></div>",
+    f"<form id=aspnet><article>{ARTICLE}</article><button>Send</button></form>",
+    f"<article class='share-price-story'>{ARTICLE}</article><div class='share'>Tell others</div>",
+    "<nav><a href=x>Home</a></nav><article>" + ARTICLE.replace("<p>And", "<span class='ad'>Buy <span>now</span> or never, my friend.</span><p>And") + "</article>",
+    f"<article>{ARTICLE}<section class='comment-list'><article><p>I say a long thing about that, too, dear author.</p></article></section></article>",
+    f"<section class='comments'><article><p>I say a long thing about that, too, dear author.</p></article></section><main>{ARTICLE}</main><div class='site-footer'>(c) us</div>",
+    f"<article>{ARTICLE}<aside><p>A long aside, that reads as if it were the text's own sentence.</p></aside></article>",
+])
+def test_pages_of_many_kinds(page):
+    assert html_extraction.main_text(page, html_extraction.PRIOR) == SAID
+
+
+def test_a_page_without_telling_elements_is_decided_by_its_neighbours():
+    """Short lines between long ones belong to them; the cut calls them content, the classifier alone wouldn't."""
+    prose = "<p>A long sentence, with many words in it, that goes on and on and reads like prose, as it should.</p>"
+    page = "<div>" + prose * 2 + "<p>1912 <a href=x>note</a></p>" + prose * 2 + "</div><ul>" + "<li><a href=x>Link</a></li>" * 8 + "</ul>"
+    blocks = html_extraction.blocks_of(page)
+    content, boilerplate, edges = html_extraction.costs(blocks, html_extraction.PRIOR)
+    alone = [c > b for c, b in zip(content, boilerplate)]
+    cut = html_extraction.minimum_cut(content, boilerplate, edges)
+    assert {b[1] for b in blocks} == {0} and not alone[2] and cut == [True] * 5 + [False] * 8
+
+
+def test_page_parsing_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert html_extraction.main_text("<div>" * n + "</span></i>" * n + "<p>end", html_extraction.PRIOR) is not None
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_html_rows_repeat_and_names_clash(spark):
+    rows = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}")] * 2 + [(None, None, None)], "page_id long, url string, html string").withColumns({"text": F.lit("x"), "h": F.lit(1), "n_chars": F.lit(2)})
+    assert sorted(r.text for r in html_extraction.extracted(rows).collect()) == ["", SAID, SAID]
+
+
 def brute_classes(spark, every):
     """Classes by the weighted Jaccard similarity of all pairs with a common shingle, and these pairs."""
     rows = spark.createDataFrame(list(every.items()), "doc_id long, text string")

@@ -1,13 +1,21 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks of text with the elements above them. A logistic classifier, fitted on the blocks of a
-bounded sample of pages whose own elements say what they are, gives each block's cost of being called content or
-boilerplate; elements that say it outright (article, nav, an advert's class) add to it. These costs are the capacities
-to the two terminals. Neighbours in page order and neighbours below one parent are joined by smoothness edges. The
-minimum cut is the labelling of least cost: blocks on the source's side are content.
+bounded sample of pages whose own elements say what they are, gives a cost of being called content or boilerplate from
+the block's text and place (at most ``CLASSIFIER``). The innermost element above it that says what it is (article, nav,
+an advert's class) gives another (``HINT``). These costs are the capacities to the two terminals. Neighbours in page
+order and neighbours below one parent are joined by smoothness edges, strong within one such element and weak across its
+bounds. The minimum cut is the labelling of least cost: blocks on the source's side are content. No cost is above the
+sum of a block's strong edges, so a block whose text and elements disagree, or that has no telling element, is decided
+by its neighbours.
+
+Class, id and role are read by whole tokens: one of ``BOILERPLATE_WORDS``, alone or last (``site-footer``) or before a
+word of ``PARTS`` (``comment-list``), but not after ``has-``, ``no-`` and the like. An article's text is content whatever
+stands around the article, but for comments, and an article within boilerplate within an article. An inline element that
+says boilerplate is a block of its own.
 
 A null page is empty and gives an empty text. Rows with equal or null ids are extracted one by one. An empty table gives
-no rows. Pages of any length are parsed whole; an unclosed element ends with the page.
+no rows. Pages of any length are parsed whole, in time linear in their length; an unclosed element ends with the page.
 """
 
 from __future__ import annotations
@@ -27,46 +35,86 @@ from veridex.llm._common import _quoted, table
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-#: What elements and the words of their class, id and role say of the text in them.
+#: What elements and the tokens of their class, id and role say of the text in them.
 BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog select option label fieldset legend".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
+COMMENT_WORDS = frozenset("comment comments replies reply respond".split())
+BOILERPLATE_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs cookie cookies consent disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+PARTS = frozenset("area bar block body box buttons container content inner item links list section slot text thread unit wrap wrapper".split())
+NOT_ITSELF = frozenset("has no not with without hide is show".split())
 SKIPPED = frozenset("script style noscript template iframe svg canvas object textarea title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-#: Strength of a smoothness edge between neighbours in page order, and between neighbours below one parent.
-ADJACENT, SIBLING = 0.4, 0.4
-#: What an element that says outright what it is adds to a block's cost of the other label.
-OUTRIGHT = 8.0
+#: Weight of an edge between neighbours in page order, and between neighbours below one parent; both within one telling
+#: element, and the share of it across the bounds of one.
+ADJACENT, SIBLING, ACROSS = 0.4, 0.4, 0.1
+#: Most that the classifier adds to a block's cost of a label, and what a telling element adds.
+CLASSIFIER, HINT = 1.2, 1.5
 
+#: A block: text, hint of the elements above (-1, 0, 1), the number of the element that gives it (0: none), parent's
+#: number, characters in links, innermost block element.
+Block = tuple[str, int, int, int, int, str]
 
-def _hint(tag: str, attributes: str, above: int) -> int:
-    """-1 boilerplate, 1 content, 0 says nothing. A header within content is the content's own."""
-    if tag in BOILERPLATE_TAGS:
-        return -1
+
+def _token_says(token: str) -> str:
+    """The word of ``BOILERPLATE_WORDS`` that a token of a class, id or role stands for, or nothing."""
+    *before, last = (w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", token))
+    if last in BOILERPLATE_WORDS and not NOT_ITSELF & {*before}:
+        return last
+    return before[0] if len(before) == 1 and before[0] in BOILERPLATE_WORDS and last in PARTS else ""
+
+
+def _says(tag: str, attributes: str, in_content: bool) -> int:
+    """What an element says by itself: -2 comments, -1 boilerplate, 1 content, 0 nothing. A header within content is the
+    content's own."""
     if attributes and tag not in ("body", "html"):
-        for value in ATTRIBUTE.findall(attributes):
-            words = {w.lower() for w in WORD.findall(value)} - ({"header"} if above == 1 else set())
-            if words & BOILERPLATE_WORDS:
-                return -1
-    if tag == "header" and above != 1:
+        words = {_token_says(t) for value in ATTRIBUTE.findall(attributes) for t in value.strip("\"'").split() if re.search("[A-Za-z0-9]", t)}
+        words -= {"", "header"} if in_content else {""}
+        if words:
+            return -2 if words & COMMENT_WORDS else -1
+    if tag in BOILERPLATE_TAGS or tag == "header" and not in_content:
         return -1
     return 1 if tag in CONTENT_TAGS else 0
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, int, str]]:
-    """Blocks with text, in page order: text, hint of the elements above (-1, 0, 1), parent's number, characters in
-    links, and the innermost block element."""
-    found: list[tuple[str, int, int, int, str]] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # element, hint, number
-    number = link_chars = at = 0
+class _Open:
+    """Open elements, innermost last: tag, hint in effect, number of the element that gives it, own number, whether an
+    article is open."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]
+        self.count: dict[str, int] = {}  # by tag, so that an end tag without its element costs nothing
+        self.numbers = 0
+
+    def enter(self, tag: str, attributes: str) -> None:
+        _, hint, scope, _, inside = self.stack[-1]
+        says = _says(tag, attributes, hint == 1)
+        self.numbers += 1
+        if says and hint != -2 and not (says == 1 and hint == -1 and inside):
+            hint, scope = says, self.numbers
+        self.stack.append((tag, hint, scope, self.numbers, inside or hint == 1))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def leave(self, tag: str) -> None:
+        while self.count.get(tag):
+            last = self.stack.pop()[0]
+            self.count[last] -= 1
+            if last == tag:
+                break
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Blocks with text, in page order."""
+    found: list[Block] = []
+    elements = _Open()
+    stack = elements.stack
+    link_chars = at = 0
     linked = False
     parts: list[str] = []
 
@@ -75,8 +123,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, str]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, hint, own = stack[-1]
-                found.append((text, hint, stack[-2][2] if len(stack) > 1 else own, link_chars, tag))
+                tag, hint, scope, number, _ = stack[-1]
+                found.append((text, max(hint, -1), scope, stack[-2][3] if len(stack) > 1 else number, link_chars, tag))
             parts.clear()
             link_chars = 0
 
@@ -115,32 +163,35 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int, str]]:
                 parts.append(" ")
             elif tag == "a":
                 linked = not close
+            if tag in VOID:
+                continue
+            if close:
+                if elements.count.get(tag):
+                    flush()
+                    elements.leave(tag)
+            elif elements.count.get(tag) or attributes and _says(tag, attributes, stack[-1][1] == 1) < 0:
+                flush()
+                elements.enter(tag, attributes)
             continue
         flush()
         linked = False
         if tag in VOID:
             continue
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            elements.leave(tag)
         else:
             if stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
-            above = stack[-1][1]
-            hint = _hint(tag, attributes, above)
-            number += 1
-            stack.append((tag, -1 if above == -1 or hint == -1 else hint or above, number))
+                elements.leave(stack[-1][0])
+            elements.enter(tag, attributes)
     flush()
     return found
 
 
-def features(blocks: Sequence[tuple]) -> np.ndarray:
+def features(blocks: Sequence[Block]) -> np.ndarray:
     """What the classifier sees of each block: nothing of what its elements say outright."""
     rows = []
     n = len(blocks)
-    for k, (text, _, _, link_chars, tag) in enumerate(blocks):
+    for k, (text, _, _, _, link_chars, tag) in enumerate(blocks):
         size, words = len(text), text.count(" ") + 1
         ends = sum(map(text.count, ".!?…"))
         rows.append((1.0, min(math.log1p(size), 8) / 8, min(link_chars / size, 1), min(ends / words, 1), text[-1] in ".!?…\"”", tag == "p", tag in ("h1", "h2", "h3", "h4", "h5", "h6"), k / n, any(c in text for c in "©|»·")))
@@ -151,19 +202,18 @@ def features(blocks: Sequence[tuple]) -> np.ndarray:
 PRIOR = (-1.0, 3.0, -4.0, 1.0, 1.0, 1.0, 0.5, 0.0, -2.0)
 
 
-def fitted(pages: Sequence[str], steps: int = 300) -> tuple[float, ...]:
-    """Logistic regression on blocks whose elements say outright what they are; both kinds weigh the same."""
-    x, y = [], []
-    for page in pages:
-        blocks = blocks_of(page)
-        if blocks:
-            f = features(blocks)
-            hint = np.array([b[1] for b in blocks])
-            x.append(f[hint != 0])
-            y.append(hint[hint != 0] > 0)
-    if not y or not 0 < np.concatenate(y).mean() < 1:
+def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the blocks whose elements say what they are, and whether they say content."""
+    blocks = blocks_of(page)
+    hint = np.array([b[1] for b in blocks], int)
+    return features(blocks)[hint != 0], hint[hint != 0] > 0
+
+
+def fitted(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[float, ...]:
+    """Logistic regression; both kinds weigh the same."""
+    y = np.asarray(y, float)
+    if not len(y) or not 0 < y.mean() < 1:
         return PRIOR
-    x, y = np.concatenate(x), np.concatenate(y).astype(float)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -243,33 +293,48 @@ def minimum_cut(content: Sequence[float], boilerplate: Sequence[float], edges: S
     return [bool(x) for x in label]
 
 
+def costs(blocks: Sequence[Block], weights: Sequence[float]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """Capacities to both terminals and the edges."""
+    own = (CLASSIFIER * np.tanh(features(blocks) @ np.array(weights) / 2) + HINT * np.array([b[1] for b in blocks])).tolist()
+    edges, last = [], {}
+
+    def edge(a: int, b: int, weight: float) -> None:
+        edges.append((a, b, weight if blocks[a][2] == blocks[b][2] else weight * ACROSS))
+
+    for k, block in enumerate(blocks):
+        if k:
+            edge(k - 1, k, ADJACENT)
+        if block[3] in last:
+            edge(last[block[3]], k, SIBLING)
+        last[block[3]] = k
+    return [max(x, 0.0) for x in own], [max(-x, 0.0) for x in own], edges
+
+
 def main_text(page: str, weights: Sequence[float]) -> str:
     blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    odds = np.clip(features(blocks) @ np.array(weights), -4, 4).tolist()
-    content = [max(o, 0.0) + OUTRIGHT * (b[1] > 0) for o, b in zip(odds, blocks)]
-    boilerplate = [max(-o, 0.0) + OUTRIGHT * (b[1] < 0) for o, b in zip(odds, blocks)]
-    edges = [(k, k + 1, ADJACENT) for k in range(len(blocks) - 1)]
-    last: dict[int, int] = {}
-    for k, b in enumerate(blocks):
-        if b[2] in last:
-            edges.append((last[b[2]], k, SIBLING))
-        last[b[2]] = k
-    return "\n\n".join(b[0] for b, yes in zip(blocks, minimum_cut(content, boilerplate, edges)) if yes)
+    return "\n\n".join(b[0] for b, yes in zip(blocks, minimum_cut(*costs(blocks, weights))) if yes) if blocks else ""
 
 
 def extracted(pages: DataFrame, most_sample: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``SCHEMA`` of every page; a narrow stage without shuffle.
 
-    The classifier is fitted on ``most_sample`` pages, those with the smallest hashes of their ids, at most 200,000
-    characters of each; where ids repeat, on as many of those.
+    The classifier is fitted on the blocks of ``most_sample`` pages, those with the smallest hashes of their ids, and of
+    their texts where ids repeat. Only the blocks' features reach the driver.
     """
     docs = pages.select(_quoted(id_col).cast("long").alias("page_id"), _quoted(url_col).alias("url"), F.coalesce(_quoted(html_col), F.lit("")).alias("html"))
-    hashed = docs.withColumn("h", F.xxhash64("page_id"))
+    hashed = docs.select("html", F.xxhash64("page_id").alias("h"))
     least = hashed.select("h").distinct().orderBy("h").limit(most_sample).agg(F.max("h")).first()[0]
-    sample = hashed.filter(F.col("h") <= least).select(F.substring("html", 1, 200_000).alias("html")).limit(most_sample).collect() if least is not None else []
-    weights = fitted([r["html"] for r in sample])
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                x, y = labelled(page)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+
+    weights = PRIOR
+    if least is not None:
+        sample = hashed.filter(F.col("h") <= least).orderBy("h", F.xxhash64("html")).limit(most_sample).select("html").mapInArrow(features_of, "x binary, y binary").collect()
+        weights = fitted(np.frombuffer(b"".join(r["x"] for r in sample), float).reshape(-1, len(PRIOR)), np.frombuffer(b"".join(r["y"] for r in sample), bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
