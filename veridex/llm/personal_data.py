@@ -36,9 +36,9 @@ BASE = (
 )
 #: Generator, kind of what it proposes, pattern, test.
 GENERATORS = (
-    ("named", "secret", r"(?i)(?<![a-z0-9])(?:passwords?|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?[^\s\x22']{4,200}", r"[=:]"),
-    ("key", "secret", r"(?<![A-Za-z0-9])[A-Z0-9]{16,64}(?![A-Za-z0-9])", r"[A-Z0-9]{16}"),
-    ("number", "phone", r"(?<![0-9+.])[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,18}(?![0-9])", r"[0-9][^0-9]{0,2}[0-9]{2}"),
+    ("named", "secret", r"(?i)(?<![a-z0-9])(?:passwords?|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?[^\s\x22']{4,}+", r"[=:]"),
+    ("key", "secret", r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])", r"[A-Z0-9]{16}"),
+    ("number", "phone", r"(?<![0-9+.])[(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+(?![0-9])", r"[0-9][^0-9]{0,2}[0-9]{2}"),
 )
 ORDER = ("email", "ip", "card", "phone", "secret")
 PHONE_WORDS = r"(?i)(?:tel|phone|call|fax|mobile|cell|whatsapp|contact)[a-z]*[\x20:.]{0,3}$"
@@ -150,11 +150,15 @@ def training_rows(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
     def digits(salt: int, size: int) -> Column:
         return F.lpad(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10**size)).cast("string"), size, "0")
 
+    def long(x: Column) -> Column:
+        """Some of the values are long ones, up to several hundred characters."""
+        return F.repeat(x, F.when(F.pmod(F.xxhash64("id", F.lit(80)), F.lit(4)) == 0, F.pmod(F.xxhash64("id", F.lit(81)), F.lit(30)) + 1).otherwise(1).cast("int"))
+
     hexa, upper, letters = "0123456789abcdef", "A2BC3DEF4GHJ5KL7", "abcdefghiklmnoprst"[:16]
     templates = (
-        (1, F.concat(pick(1, "password=", "passwd: ", "pwd=", "Password = "), code(2, 18, hexa))),
-        (1, F.concat(pick(3, "token = \"", "secret: '", "api_key=\"", "API-Key: "), code(4, 40, hexa), F.lit("\""))),
-        (1, F.concat(pick(5, "AKIA", "ASIA", ""), code(6, 20, upper))),
+        (1, F.concat(pick(1, "password=", "passwd: ", "pwd=", "Password = "), long(code(2, 18, hexa)))),
+        (1, F.concat(pick(3, "token = \"", "secret: '", "api_key=\"", "API-Key: "), long(code(4, 40, hexa)), F.lit("\""))),
+        (1, F.concat(pick(5, "AKIA", "ASIA", ""), long(code(6, 20, upper)))),
         (1, F.concat(pick(7, "Tel. ", "phone: ", "call ", ""), F.lit("("), digits(8, 3), F.lit(") "), digits(9, 3), F.lit("-"), digits(10, 4))),
         (1, F.concat(pick(11, "phone ", "mobile: ", "fax ", "tel: "), digits(12, 3), pick(13, "-", " ", "."), digits(14, 3), pick(15, "-", " "), digits(16, 4))),
         (1, F.concat(pick(17, "Tel: ", "call "), F.lit("0"), digits(18, 3), pick(19, " ", "/", "-"), digits(20, 7))),
