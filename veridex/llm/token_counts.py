@@ -24,6 +24,10 @@ from veridex.llm.encoders import byte_letters
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 IN_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: Before a space, unless white space is on both of its sides: there no pre-token can go on.
+CUT = re.compile(r"(?<!\s)(?= )|(?= (?!\s|\Z))")
+#: Characters of a piece that is kept for the next texts; longer ones are counted each time.
+LONG = 64
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -47,7 +51,7 @@ class MergeCounter:
         #: The pre-tokenizer's pattern is a fixed value of byte-level BPE files. [\x1c-\x1f] are no white space there.
         self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
         self.limit = limit
-        self.known: dict[str, int] = {}  # tokens of each space-delimited piece
+        self.known: dict[str, int] = {}  # tokens of each short piece
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -96,8 +100,8 @@ class MergeCounter:
                 rank[open_] = self._rank(ids[open_], ids[open_ + 1])
         return counts
 
-    def _count_new(self, pieces: list[str]) -> None:
-        """Adds the pieces' token counts to ``known``."""
+    def _counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of distinct pieces."""
         split: list[list[str]] = []
         special = [0] * len(pieces)
         for k, piece in enumerate(pieces):
@@ -108,18 +112,17 @@ class MergeCounter:
                 split.append(self.pre.findall(piece))
         distinct = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
         counts = self.merge(list(distinct)).tolist() if distinct else []
-        for piece, ws, extra in zip(pieces, split, special):
-            self.known[piece] = extra + sum(counts[distinct[w]] for w in ws)
+        return [extra + sum(counts[distinct[w]] for w in ws) for ws, extra in zip(split, special)]
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each whole text. A text is cut before every space, where pre-tokens never join unless white space
-        is on both sides; with such a space it is one piece."""
+        """Tokens of each whole text. A text is cut before its spaces, where pre-tokens never join unless white space is
+        on both sides."""
         found: list[int] = []
         group: list[list[str]] = []
         size = 0
         for k, t in enumerate(texts):
             if IN_SPACE.search(t):
-                group.append([t])
+                group.append([p for p in CUT.split(t) if p])
             else:
                 head, *rest = t.split(" ")
                 group.append([head, *(" " + p for p in rest)] if rest else [head])
@@ -133,8 +136,10 @@ class MergeCounter:
         used = set().union(*group)
         if len(self.known) > self.limit:
             self.known = {p: self.known[p] for p in used & self.known.keys()}
-        self._count_new([p for p in used if p not in self.known])
-        get = self.known.__getitem__
+        new = [p for p in used if p not in self.known]
+        counts = dict(zip(new, self._counts(new)))
+        self.known.update((p, n) for p, n in counts.items() if len(p) <= LONG)
+        get = (self.known | {p: n for p, n in counts.items() if len(p) > LONG}).__getitem__ if any(len(p) > LONG for p in new) else self.known.__getitem__
         return [sum(map(get, p)) for p in group]
 
 
