@@ -74,6 +74,15 @@ def test_token_counts(spark, docs, texts, edge, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_of_code_are_right_and_kept_pieces_are_short():
+    rng = random.Random(11)
+    lines = ["".join(rng.choice([" ", "    ", "\t", "x", "foo(", ") ", "\n", "\r\n", "\x1c ", "é", "9 "]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    code = ["\n".join(lines[k : k + 40]) for k in range(0, 4000, 40)] + ["a" * 5000, " " * 3000 + "b", "\n " * 900]
+    counter = token_counts.MergeCounter(BYTE)
+    assert counter.count(code) == [len(e.ids) for e in Tokenizer.from_file(BYTE).encode_batch(code, add_special_tokens=False)]
+    assert max(map(len, counter.known)) <= token_counts.LONG
+
+
 def check_pieces(rows, ids, window):
     place = 0
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
@@ -192,7 +201,7 @@ def test_decontamination(spark, docs, texts, edge, empty):
     more = spark.createDataFrame([(10**6, "x one, short y"), (10**6 + 1, "a b c d e f g h i j"), (10**6 + 2, None)], "doc_id long, text string")
     every = docs.select("doc_id", "text").union(more)
     known = texts | {r.doc_id: r.text for r in more.collect()}
-    for block in (10**6, 500):
+    for block in (10**6, 4000):
         for r in decontamination.decontaminated(every, items, block_bytes=block).collect():
             w = low(known[r.doc_id])
             hit, found = [0] * len(w), set()
@@ -241,6 +250,17 @@ def test_personal_data_adds_secrets_and_leaves_prose(spark):
     assert texts[1] == "and <SECRET> then" and texts[3] == "call <PHONE> now" and texts[4].startswith("on 2024")
 
 
+def test_long_secrets_leave_nothing(spark):
+    """Nothing of a long value stays, whatever proposes it."""
+    rng = random.Random(1)
+    value = "".join(rng.choice("0123456789abcdef") for _ in range(400))
+    key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(80))
+    rows = spark.createDataFrame([(1, f'x token="{value}" y'), (2, f"x password={value} y"), (3, f"x {key} y"), (4, f"api_key: {key}{value}")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in personal_data.redacted(rows).collect()}
+    assert texts[1].startswith("x <SECRET>") and texts[2] == "x <SECRET> y" and texts[3] == "x <SECRET> y" and texts[4] == "<SECRET>"
+    assert not any(value[k : k + 20] in t or key[k : k + 20] in t for t in texts.values() for k in range(60))
+
+
 def test_boosting_column_equals_scores(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 9, (300, 3))

@@ -5,8 +5,9 @@ windows of one length m, a block is their last words up to three. The shift tabl
 window, how far the window's end may still be; a block in no window lets the search skip m - 2 words. Where the shift
 is 0 the block's bucket holds the windows that end in it, and comparing all their words confirms an occurrence.
 
-Items are taken in blocks of bounded size (``block_bytes`` of text), each a pass in the same stage, so no table of
-unbounded size reaches a worker. Every document is searched whole.
+Items are sent to the workers in blocks of bounded size (``block_bytes`` of text). More than one block costs a pass each,
+whose result is written before the next block is fetched: the driver and the workers hold one block, however many items
+there are. Every document is searched whole.
 
 Null texts of documents or items have no words. Equal item ids count once; items with a null id mark words as hit but
 aren't listed. Rows with equal or null document ids are searched one by one. Without items nothing is hit.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm._common import id_and_text, table
+from veridex.llm._common import _quoted, id_and_text, table, written
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 #: A-Z lower-cased; ASCII other than letters and digits separates words.
@@ -73,9 +74,10 @@ class WindowSearch:
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
-    """Items one block after another; the driver holds what is in one partition at a time."""
+    """Items one block after another, from a written table, so that they are the same in each pass; the driver holds what
+    is in one of its files at a time."""
     block, size = [], 0
-    for r in id_and_text(items, id_col, text_col).filter("text <> ''").toLocalIterator():
+    for r in written(id_and_text(items, id_col, text_col).filter("text <> ''"), "items").toLocalIterator():
         block.append((r["doc_id"], r["text"]))
         size += len(r["text"])
         if size >= block_bytes:
@@ -89,10 +91,9 @@ _searches: dict[str, WindowSearch] = {}
 
 
 def _search(key: str, items: list, window: int) -> WindowSearch:
-    """The worker's tables for a block; only those of the last few blocks stay."""
+    """The worker's tables for a block; those of one block stay."""
     if key not in _searches:
-        while len(_searches) > 2:
-            _searches.pop(next(iter(_searches)))
+        _searches.clear()
         _searches[key] = WindowSearch(items, window)
     return _searches[key]
 
@@ -100,9 +101,10 @@ def _search(key: str, items: list, window: int) -> WindowSearch:
 def _with_occurrences(df: DataFrame, text_at: int, items: list, window: int) -> DataFrame:
     """Adds to the last two columns the occurrences of a block's windows: ``spans`` (int64 pairs) and ``found``."""
     key = hashlib.sha256(repr((window, items)).encode("utf-8", "replace")).hexdigest()
+    sent = df.sparkSession.sparkContext.broadcast(items)  # of a block's size at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _search(key, items, window)
+        search = _search(key, sent.value, window)
         for batch in batches:
             spans, found = (c.to_pylist() for c in batch.columns[-2:])
             for k, text in enumerate(batch.column(text_at).to_pylist()):
@@ -119,16 +121,16 @@ def occurrences(df: DataFrame, items: DataFrame, text_col: str, window: int, blo
     """``df`` and the columns ``spans`` and ``found``; their names end in underscores where ``df`` has them already."""
     names = []
     for name in ("spans", "found"):
-        while name in df.columns:
+        while name.lower() in map(str.lower, df.columns):
             name += "_"
         names.append(name)
-    out = df.withColumns({names[0]: F.lit(b""), names[1]: F.lit([]).cast("array<bigint>")})
-    for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
-        out = _with_occurrences(out, df.columns.index(text_col), block, window)
+    out = df.select(*map(_quoted, df.columns), F.lit(b"").alias(names[0]), F.lit([]).cast("array<bigint>").alias(names[1]))
+    for k, block in enumerate(item_blocks(items, item_id_col, item_text_col, block_bytes)):
+        out = _with_occurrences(written(out, "occurrences") if k else out, df.columns.index(text_col), block, window)
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``SCHEMA`` of every document; no shuffle. ``n_hit``: words inside any occurrence of any window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, block_by
     return occurrences(id_and_text(docs, id_col, text_col), items, "text", window, block_bytes, item_id_col, item_text_col).mapInArrow(run, SCHEMA)
 
 
-def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 1_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 4_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window occurs."""
     found = occurrences(docs, items, text_col, window, block_bytes, item_id_col, item_text_col)
     spans, ids = found.columns[-2:]
