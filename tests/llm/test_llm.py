@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -461,10 +462,54 @@ def test_sentence_spans(spark, docs, texts, edge, empty):
     assert sentence_spans.without_repeats(edge).filter("n_removed > 0").count() == 0 and sentence_spans.without_repeats(empty).count() == 0
 
 
+def brute_spans(texts, least_words=20, long=12, every=8):
+    """What stays of each text, in order: sentences, those of many words cut on, their runs, and what these cover."""
+    seen, out = {}, []
+    for k, text in enumerate(texts):
+        words = [(m.start(), m[0].lower()) for m in sentence_spans.WORD.finditer(text)]
+        value = [xxhash.xxh3_64_intdigest(w.encode()) | 1 for _, w in words]
+        bounds = [0]
+        for i in range(1, len(words)):
+            if re.search(r"[.!?\n]", text[words[i - 1][0] : words[i][0]]):
+                bounds.append(i)
+        bounds.append(len(words))
+        ends = []
+        for a, b in zip(bounds, bounds[1:]):
+            more = [i + 1 for i in range(a, b - 1) if b - a > long and (value[i] >> 32) % every == 0]
+            for c, d in zip([a, *more], [*more, b]):
+                ends += [i + 1 for i in range(c, d - 1) if d - c > 2 * long and (i + 1 - c) % long == 0] + [d]
+        sentences = list(zip([0, *ends], ends)) if words else []
+        gone = set()
+        for i, (a, _) in enumerate(sentences):
+            j = next((j for j in range(i, len(sentences)) if sentences[j][1] - a >= least_words), None)
+            if j is not None:
+                run = tuple(w for _, w in words[a : sentences[j][1]])
+                if seen.setdefault(run, (k, i)) != (k, i):
+                    gone.update(range(i, j + 1))
+        starts = [words[a][0] for a, _ in sentences] + [len(text)]
+        out.append((len(sentences), len(gone), text[: starts[0]] + "".join(text[starts[i] : starts[i + 1]] for i in range(len(sentences)) if i not in gone) if gone else text))
+    return out
+
+
+@pytest.mark.parametrize("often", [1000, 12])
+def test_sentence_spans_equal_brute_force(spark, monkeypatch, often):
+    """With ``OFTEN`` at 12, frequent runs are looked up and not joined."""
+    monkeypatch.setattr(sentence_spans, "OFTEN", often)
+    rng = random.Random(13)
+    said = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}{rng.choice(['', '', '', '', ',', '.', '!', chr(10)])}" for _ in range(n))
+    passages = [said(60) for _ in range(4)]
+    texts = ["".join(rng.choice([said(15) + " ", rng.choice(passages) + ". ", said(3) + "\n", "one " * 30]) for _ in range(rng.randint(0, 7))) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"row": F.lit("x"), "h": F.lit("y"), "again": F.lit(1)})
+    found = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_spans.without_repeats(rows.repartition(3)).collect()}
+    assert found == dict(enumerate(brute_spans(texts))) and sum(f[1] for f in found.values()) > 200
+
+
 def test_repeats_under_one_id(spark):
     text = " ".join(f"u{i}" + "." * (i % 7 == 6) for i in range(70))
     rows = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
     assert sorted(r.removed_words for r in sentence_spans.without_repeats(rows).collect()) == [0, 70, 70]
+    other = spark.createDataFrame([(7, text), (5, text), (None, text), (9, "x"), (9, "y")], "doc_id long, text string")  # null ids come last
+    assert {r.doc_id: r.removed_words for r in sentence_spans.without_repeats(other).collect()} == {5: 0, 7: 70, None: 70, 9: 0}
 
 
 def test_pipeline(spark, texts):
