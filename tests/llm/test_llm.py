@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import json
 import random
 import re
@@ -289,6 +290,34 @@ def test_url_rules_are_mined(spark):
     labels = pages.filter("page_id < 120").select(F.col("page_id").alias("doc_id"), ((F.col("page_id") % 3 == 0) & (F.col("page_id") % 2 == 1)).cast("int").alias("toxic"))
     found = {r.page_id: r.verdict for r in url_rules.url_verdicts(pages, labels).collect()}
     assert all((found[i] == "block") == (i % 3 == 0 and i % 2 == 1) for i in range(240))  # held-out rows included
+    mined = url_rules.mined_rules(pages.join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select("url", (F.col("toxic") > 0).alias("bad")))
+    assert [r.tokens for r in mined.collect()] == [["h:bad", "p:q"]]  # supersets are implied by it
+
+
+def test_mined_rules_equal_brute_force(spark):
+    """Rules of any length, by counting all token sets; long tokens stay apart."""
+    rng = random.Random(17)
+    words = ["x" * 70 + "a", "x" * 70 + "b", "c", "d", "e"]
+    urls = [f"http://h{rng.randrange(3)}.net/" + "/".join(rng.choice(words) for _ in range(4)) for _ in range(300)]
+    bad = [u.split("/")[2] == "h1.net" and words[0] in u.split("/") or len({"c", "d", "e"} & set(u.split("/"))) == 3 for u in urls]
+    rows = spark.createDataFrame(list(zip(urls, bad)), "url string, bad boolean")
+    sets = [{"h:" + t for t in u.split("/")[2].split(".")} | {"p:" + t for t in u.split("/")[3:]} for u in urls]
+    kept = []
+    for size in range(1, 8):
+        for rule in itertools.combinations(sorted(set().union(*sets)), size):
+            of = [y for s, y in zip(sets, bad) if s >= {*rule}]
+            if sum(of) >= 10 and sum(of) >= 0.8 * len(of) and sum(of) / len(of) >= 1.5 * sum(bad) / len(bad) and not any({*k} <= {*rule} for k in kept):
+                kept.append(rule)
+    assert sorted(tuple(r.tokens) for r in url_rules.mined_rules(rows).collect()) == sorted(kept) and max(map(len, kept)) > 2
+    fired = {r.url for r in url_rules.firing(rows, url_rules.mined_rules(rows)).collect()}
+    assert fired == {u for u, s in zip(urls, sets) if any({*k} <= s for k in kept)}
+
+
+def test_url_rules_edges(spark, empty):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    rows = spark.createDataFrame([(1, "http://a.com/")] * 2 + [(None, "http://a.net/es/x"), (None, None)], "page_id long, url string").withColumns({"bad": F.lit("x"), "tokens": F.lit("y")})
+    assert sorted((r.rule or "", r.verdict) for r in url_rules.url_verdicts(rows, labels).collect()) == [("", "allow"), ("com/", "allow"), ("com/", "allow"), ("net/es/", "block")]
+    assert url_rules.url_verdicts(rows.limit(0), labels).count() == 0
 
 
 def brute_cut(content, boilerplate, edges):

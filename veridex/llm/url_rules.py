@@ -2,9 +2,10 @@
 
 A URL becomes a set of tokens: the labels of its host, its path segments and the names of its query fields, each with
 where it stood; numbers are one token. FP-growth mines token combinations of labelled URLs together with the label;
-rules that predict a bad label with enough confidence and support are kept, at most ``most_rules`` of them. An inverted
-index gives for each token the rules it is part of; a rule fires where all its tokens are found. All of it is DataFrame
-functions and Spark's own FP-growth, and the verdict is a narrow stage: the index is a literal of bounded size.
+rules that predict a bad label with enough confidence, support and lift over the share of bad labels are kept, but for
+those that a kept, shorter rule implies. An inverted index, a table, gives for each token the rules it is part of; a rule
+fires where all its tokens are found. All of it is DataFrame functions and Spark's own FP-growth, and nothing bounds the
+number or the length of rules.
 
 A null URL, or one without ``://``, has an empty host and path and no tokens; it is allowed unless a rule fits. Labels
 with a null id or a null label aren't used; where an id has several, one bad label counts. Without labels, or without
@@ -55,48 +56,42 @@ def tokens_of(url: Column) -> Column:
 
     def named(kind: str, parts: Column) -> Column:
         used = F.filter(parts, lambda x: x != "")
-        return F.transform(used, lambda x: F.concat(F.lit(kind), F.when(x.rlike(r"^[0-9]+(\.[a-z]+)?$"), "#").otherwise(F.substring(x, 1, 64))))
+        return F.transform(used, lambda x: F.concat(F.lit(kind), F.when(x.rlike(r"^[0-9]+(\.[a-z]+)?$"), "#").otherwise(x)))
 
     fields = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(named("h:", F.split(host, r"\.")), named("p:", F.split(F.translate(path, UPPER, LOWER), "/")), named("q:", fields))))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_rows: int = 10, most_tokens: int = 3, most_rules: int = 500, most_rows: int = 200_000) -> list[list[str]]:
-    """Token sets that predict a bad label, the most confident first, from ``url, bad``.
+def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.5, min_rows: int = 10, most_rows: int = 200_000) -> DataFrame | None:
+    """``rule, tokens``: token sets that predict a bad label, from ``url, bad``; None where too few rows are labelled.
 
-    ``min_support`` is the share, ``min_rows`` the number of labelled rows that have the set and a bad label. FP-growth
-    sees at most ``most_rows`` labelled rows, those with the smallest hash of their URL.
+    ``min_support`` is the share, ``min_rows`` the number of labelled rows that have the set and a bad label. The model is
+    fitted on at most ``most_rows`` labelled rows, those with the smallest hash of their URL.
     """
-    rows = labelled.select(F.coalesce(F.col("url"), F.lit("")).alias("url"), "bad").withColumn("h", F.xxhash64("url")).orderBy("h", "url").limit(most_rows)
+    rows = labelled.select(F.coalesce(F.col("url"), F.lit("")).alias("url"), "bad").withColumn("h", F.xxhash64("url")).orderBy("h", "url", "bad").limit(most_rows)
     items = rows.select(F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), BAD)).otherwise(tokens_of(F.col("url"))).alias("items"))
     items = written(items, "url-tokens")
-    n = items.count()
-    support = max(min_support, min_rows / max(n, 1))
+    support = max(min_support, min_rows / max(items.count(), 1))
     if support > 1:
-        return []
+        return None
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= most_tokens))
-    best = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(most_rules).collect()
-    kept: list[list[str]] = []
-    for r in best:  # a rule that a kept one implies adds nothing
-        if not any(set(k) <= set(r["tokens"]) for k in kept):
-            kept.append(list(r["tokens"]))
-    return kept
-
-
-def with_firing(df: DataFrame, rules: Sequence[Sequence[str]]) -> DataFrame:
-    """Adds ``bad``: whether all tokens of any rule are among ``tokens``, by an inverted index from token to rules."""
-    if not rules:
-        return df.withColumn("bad", F.lit(False))
-    index: dict[str, list[int]] = {}
-    for k, rule in enumerate(rules):
-        for t in rule:
-            index.setdefault(t, []).append(k)
-    posting = F.create_map(*(x for t, ks in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ks)))))
-    sizes = F.array(*(F.lit(len(r)) for r in rules))
-    hits = F.flatten(F.filter(F.transform("tokens", lambda t: posting[t]), lambda x: x.isNotNull()))
-    full = F.exists(F.array_distinct("hits"), lambda k: F.size(F.filter("hits", lambda x: x == k)) == sizes[k])
-    return df.withColumn("hits", hits).withColumn("bad", full)
+    found = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift)).select(F.array_sort("antecedent").alias("tokens"))
+    return _not_implied(written(found.select(F.xxhash64("tokens").alias("rule"), "tokens"), "url-rules"))
+
+
+def _not_implied(rules: DataFrame) -> DataFrame:
+    """The rules without those that have all tokens of another: what fires the other says all."""
+    sizes = rules.select(F.col("rule").alias("shorter"), F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    of = rules.select("rule", F.size("tokens").alias("own"), F.explode("tokens").alias("token"))
+    implied = of.join(sizes, "token").filter("size < own").groupBy("rule", "shorter", "size").agg(F.count("*").alias("n")).filter("n = size")
+    return rules.join(implied.select("rule").distinct(), "rule", "left_anti")
+
+
+def firing(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct ``url`` of those (``url``) for which all tokens of any rule are found, by the index of tokens."""
+    index = rules.select("rule", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    words = urls.select("url").distinct().select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
+    return words.join(index, "token").groupBy("url", "rule", "size").agg(F.count("*").alias("n")).filter("n = size").select("url").distinct()
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = LISTED, id_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id", label_col: str = "toxic", **mining) -> DataFrame:
@@ -104,9 +99,13 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     urls = pages.select(_quoted(id_col).cast("long").alias("page_id"), _quoted(url_col).alias("url"))
     known = labels.select(_quoted(label_id_col).cast("long").alias("page_id"), _quoted(label_col).cast("int").alias("label")).dropna().groupBy("page_id").agg(F.max(F.col("label") > 0).alias("bad"))
     mined = mined_rules(urls.join(known, "page_id").select("url", "bad"), **mining)
+    if mined is None or mined.isEmpty():
+        judged = urls.withColumn("bad", F.lit(False))
+    else:
+        judged = urls.join(firing(urls, mined).withColumn("bad", F.lit(True)), "url", "left")
     url = F.col("url")
+    judged = judged.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "bad")
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
-    judged = with_firing(urls.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("tokens")), mined)
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 
