@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veridex.llm import boosting, decontamination, grammar_shards, html_extraction, near_duplicates, packing, personal_data, repetition_quality, sentence_spans, token_counts, url_rules
+from veridex.llm import boosting, decontamination, entry_queries, grammar_shards, html_extraction, near_duplicates, packing, personal_data, repetition_quality, sentence_spans, token_counts, url_rules
 from veridex.llm.encoders import MergeRanks, PieceCache, encoder
 
 SF = "/root/testdata/sf0.001"
@@ -541,6 +542,18 @@ def test_repeats_under_one_id(spark):
     assert {r.doc_id: r.removed_words for r in sentence_spans.without_repeats(other).collect()} == {5: 0, 7: 70, None: 70, 9: 0}
 
 
+@pytest.mark.parametrize("name", sorted(entry_queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = entry_queries.QUERIES[name](spark, SF)
+    names = sorted(df.columns)
+    found = con.execute(entry_queries.ORACLE_SQL[name])
+    at = [[c[0] for c in found.description].index(n) for n in names]
+    assert sorted(repr(tuple(r)) for r in df.select(*names).collect()) == sorted(repr(tuple(r[i] for i in at)) for r in found.fetchall())
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 
