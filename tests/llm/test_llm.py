@@ -574,6 +574,53 @@ def test_pipeline(spark, texts):
     json.dumps(sorted(stage))
 
 
+def test_pipeline_stages_take_odd_tables(spark, edge, empty, tmp_path):
+    """Nulls, ties, repeated rows, clashing names, a very long text, an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    benchmark = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "a b c"), (None, None)], "item_id long, text string").write.parquet(f"{benchmark}/benchmark.parquet")
+    clash = edge.withColumns({n: F.lit("c") for n in ("i", "hash", "doc", "found", "masked", "label", "text_hash", "rule")})
+    odd = clash.union(clash.limit(1).withColumns({"doc_id": F.lit(9).cast("long"), "text": F.lit(long)})).union(clash.limit(1).withColumns({"doc_id": F.lit(10).cast("long"), "text": F.lit(long + " end")}))
+    left = {"quality rules": 2, "near dedup": 4, "decontamination": 8, "personal data": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, clash.limit(0), benchmark)
+        some = stage(spark, odd, benchmark)
+        assert nothing.count() == 0
+        if name == "packing":
+            assert len({(r.doc_id, r.start) for r in some.collect()}) > 100
+        else:
+            assert some.columns == odd.columns and nothing.columns == odd.columns and some.count() == left[name], name
+
+
+def test_long_texts(spark):
+    """A text of 60,000 words beside a short one, in every operator on documents."""
+    rng = random.Random(23)
+    text = " ".join(f"w{rng.randrange(10**4)}{rng.choice(['', '', '.'])}" for _ in range(60_000))
+    rows = spark.createDataFrame([(1, text), (2, text + " more"), (3, "a short one")], "doc_id long, text string")
+    library = Tokenizer.from_file(BYTE)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows).collect()}[1] == len(library.encode(text, add_special_tokens=False).ids)
+    words = Tokenizer.from_file(WORD)
+    assert {r.doc_id: r.n_tokens for r in grammar_shards.read_documents(grammar_shards.shards(rows)).collect()}[1] == 1 + len(words.encode(text, add_special_tokens=False).ids)
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(rows).collect()} == {1: 1, 2: 1, 3: 3}
+    found = {r.doc_id: r for r in sentence_spans.without_repeats(rows).collect()}
+    assert found[1].n_removed == 0 and found[2].removed_words >= 59_900 and found[3].n_removed == 0
+    assert {r.doc_id: r.n_words for r in repetition_quality.repetition_quality(rows).collect()}[2] == 60_001
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from veridex.llm import _common
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        _common.shared_folder(session("spark://host:7077"))
+    assert _common.shared_folder(session("local[4]")).startswith("file:")
+
+
 def test_written_tables_can_be_cleaned(spark, empty):
     from veridex.llm import _common
 

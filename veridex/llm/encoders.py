@@ -112,7 +112,7 @@ class PieceCache:
     LATIN = r"\A[\x00-\x7fÀ-ÖØ-öø-ÿ]*\z"
     NOT_ALONE = r"[.,][!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]|[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f][.,]|<\|"
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -179,7 +179,7 @@ class PieceCache:
         for text in texts:
             group.append(text)
             size += len(text)
-            if size > 12_000_000:
+            if size > 5_000_000:
                 yield from self._group(group)
                 group, size = [], 0
         if group:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm._common import _quoted, id_and_text, table, written
+from veridex.llm._common import _quoted, alone, id_and_text, table, written
 from veridex.llm.components import relabelled
 from veridex.llm.decontamination import words_of
 
@@ -309,7 +309,7 @@ def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in bands.T)], ["doc_id", "text_hash", "key", *names])
 
     rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, "doc_id long, text_hash long, key binary, " + ", ".join(f"{n} long" for n in names)), "signed")
-    labels = _labels(docs, rows, members_of(rows, names), levels, threshold)
+    labels = alone(df.sparkSession, lambda: _labels(docs, rows, members_of(rows, names), levels, threshold), "labels")
     named = rows.select("doc_id", "text_hash", "key").join(labels.withColumnRenamed("component", "label"), "key", "left").select("doc_id", "text_hash", F.coalesce("label", "key").alias("label"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     same = written(named.groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("n_same")), "classes")

@@ -47,7 +47,7 @@ BASE, UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 class Spans:
     """Sentences and runs of texts; keeps word hashes and powers for the next texts."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         self.limit, self.known = limit, {}
         self.up = self.down = np.ones(1, np.uint64)
 
