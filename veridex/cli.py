@@ -1,86 +1,168 @@
-"""Commands: ``fetch``, ``parse``, ``retrieve``, ``evaluate``, ``rank``. Exit 0, 2 without a judge, 3 after a failed call."""
+"""Commands: ``example-patient``, ``fetch``, ``parse``, ``retrieve``, ``evaluate``, ``rank``.
+
+Exit 0, 2 without a judge, 3 after a call that failed for good; what was done by then is kept and a second run goes on.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
-from datetime import date
+import time
+from datetime import date, datetime, timezone
+from pathlib import Path
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.operators import ingest, judging, patient, report, retrieval, scoring
-from veridex.operators.judging import JudgeError, JudgeUnavailable, RulesJudge
 from veridex.functions.text import tokens
+from veridex.operators import ingest, judging, patient, report, retrieval, scoring
+from veridex.operators.judging import Judge, JudgeError, JudgeUnavailable, RulesJudge
 from veridex.sources import readers
 
+PAIR = ("patient_id", "nct_id")
+#: Patients that are held against every trial; more of them need ``--candidates``.
+MOST_PATIENTS = 1000
 
-def candidates(spark: SparkSession, trials: DataFrame, people: DataFrame, top_k: int) -> DataFrame:
-    """The best trials of each patient by words alone; vectors are joined by ``retrieval.search`` where there are any."""
-    docs = ingest.trial_documents(trials).withColumn("doc", F.col("nct_id"))
-    posts = retrieval.postings(docs, "doc", "text")
-    asked = people.select(F.col("patient_id").alias("query"), F.explode(tokens(patient.query())).alias("term"))
-    best = retrieval.ranked(retrieval.bm25(posts, asked)).filter(F.col("rank") <= top_k)
-    return best.select(F.col("query").alias("patient_id"), F.col("doc").alias("nct_id"), F.round("score", 4).alias("retrieval_score"))
 
+def candidates(trials: DataFrame, people: DataFrame, top_k: int, encoder: retrieval.Encoder) -> DataFrame:
+    """The best trials of each patient by words and vectors: ``patient_id, nct_id, retrieval_score, retrieval``."""
+    docs = readers.scratch(ingest.trial_documents(trials).select(F.col("nct_id").alias("doc"), "text"), "trial-texts")
+    posts = readers.scratch(retrieval.postings(docs, "doc", "text"), "postings")
+    asked = people.select(F.col("patient_id").alias("query"), patient.query().alias("text"))
+    vectors, wanted = (readers.scratch(retrieval.encoded(rows, key, "text", encoder, name), "vectors") for rows, key, name in ((docs, "doc", "embedding"), (asked, "query", "vector")))
+    found = retrieval.search(posts, asked.select("query", F.explode(tokens(F.col("text"))).alias("term")), vectors, wanted, top_k, retrieval.corpus_totals(docs, "text"))
+    return found.select(F.col("query").alias("patient_id"), F.col("doc").alias("nct_id"), *decorated())
 
-def done_before(spark: SparkSession, out: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{out}/trials")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+
+def decorated() -> list:
+    """A candidate's score and where it comes from, as rounded for reading."""
+    ranks = [F.col(c).cast("int").alias(c) for c in ("bm25_rank", "dense_rank")]
+    return [F.round("rrf", 6).alias("retrieval_score"), F.struct(*ranks, *(F.round(c, 4).alias(c) for c in ("bm25_score", "dense_score"))).alias("retrieval")]
+
+
+def evaluate(spark: SparkSession, trials: DataFrame, people: DataFrame, as_of: date, judge: Judge, second: Judge | None, out: str, chosen: DataFrame | None = None, version: str = "none") -> DataFrame:
+    """Every criterion of the pairs of patient and trial that aren't done in ``out`` yet; returns their evaluations.
+
+    Without ``chosen`` (candidates) each of a few patients is held against each trial."""
+    began, now = time.monotonic(), {"prompt_version": version, "as_of": as_of.isoformat(), "judge": judging.described(judge), "second": judging.described(second)}
+    if readers.exists(spark, f"{out}/run"):
+        done = json.loads(spark.read.text(f"{out}/run").filter("value <> ''").limit(1).first()["value"])
+        judging.same_run(done, now, ("prompt_version", "as_of", "judge", "second"))
+    judge.ready()
+    if chosen is None:
+        if people.limit(MOST_PATIENTS + 1).count() > MOST_PATIENTS:
+            raise ValueError(f"more than {MOST_PATIENTS} patients: give their candidates")
+        chosen = trials.select("nct_id").crossJoin(F.broadcast(people.select("patient_id"))).withColumn("retrieval_score", F.lit(None).cast("double"))  # at most MOST_PATIENTS
+    if readers.exists(spark, f"{out}/trials"):
+        chosen = judging.still_to_do(chosen, spark.read.parquet(f"{out}/trials"), PAIR)
+    chosen = readers.scratch(chosen.select(*PAIR, "retrieval_score"), "pairs")
+    rows = judging.evaluate(chosen, ingest.criteria_rows(trials), people.select("patient_id", patient.summary(as_of).alias("profile")), judge, second, readers.scratch)
+    rows = readers.scratch(rows.withColumns({"reasoning": F.col("final.reasoning"), "evidence": F.col("final.patient_feature")}), "verdicts")
+    readers.append_log(judging.call_log(rows, version), f"{out}/log")
+    rows.write.mode("append").parquet(f"{out}/verdicts")
+    about = chosen.join(trials.select("nct_id", "title", "phase", F.transform("interventions", lambda i: i["name"]).alias("interventions")), "nct_id")
+    found = readers.scratch(scoring.evaluated(about, rows, PAIR, details=("kind", "text", "reasoning", "evidence")), "evaluated")
+    found.write.mode("append").parquet(f"{out}/trials")
+    spark.createDataFrame([(json.dumps(now | {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "wall_time_s": round(time.monotonic() - began, 1), "runtime": judging.runtime()}),)], "value string").write.mode("append").text(f"{out}/run")
+    return found
 
 
-def evaluate(spark: SparkSession, trials: DataFrame, people: DataFrame, as_of: date, judge, out: str) -> DataFrame:
-    """Every criterion of the trials not yet done in ``out`` against every patient; verdicts are written before they
-    are summed up."""
-    done = done_before(spark, out)
-    trials = trials if done is None else judging.still_to_do(trials, done, "nct_id")
-    criteria = ingest.criteria_rows(trials).crossJoin(F.broadcast(people.select("patient_id", patient.summary(as_of).alias("profile"))))  # a few stated patients
-    judging.judged(criteria, judge, "profile", "text", "local").write.mode("overwrite").parquet(f"{out}/calls")
-    rows = judging.verdicts(judging.cascade(spark.read.parquet(f"{out}/calls"), None, []))
-    return scoring.evaluated(trials.select("nct_id", "title", F.lit(None).cast("double").alias("retrieval_score")), rows, "nct_id", details=("kind", "text"))
+def summary(spark: SparkSession, out: str, patient_id: str | None = None) -> dict:
+    """The run's headline numbers, of one patient or of all; wall time is summed up over resumed runs."""
+    trials, rows = spark.read.parquet(f"{out}/trials"), spark.read.parquet(f"{out}/verdicts")
+    if patient_id is not None:
+        trials, rows = (t.filter(F.col("patient_id") == patient_id) for t in (trials, rows))
+    runs = [json.loads(r["value"]) for r in spark.read.text(f"{out}/run").filter("value <> ''").collect()]  # one small row a run
+    last = max(runs, key=lambda r: r["generated_at"])
+    model = lambda d: d and d["model"]
+    return scoring.run_summary(trials, rows).first().asDict() | {"patient_id": patient_id, "generated_at": last["generated_at"], "prompt_version": last["prompt_version"], "as_of": last["as_of"], "local": model(last["judge"]), "api": model(last["second"]), "wall_time_s": round(sum(r["wall_time_s"] for r in runs), 1), "models": scoring.models(rows).first()["models"]}
+
+
+def write_reports(spark: SparkSession, evaluated: str, people: DataFrame, out: str, top: int) -> list[str]:
+    """A markdown report for each of a few patients; returns their paths."""
+    trials, rows = spark.read.parquet(f"{evaluated}/trials").withColumn("position", F.col("nct_id")), spark.read.parquet(f"{evaluated}/verdicts")
+    ids = [r["patient_id"] for r in trials.select("patient_id").distinct().orderBy("patient_id").limit(MOST_PATIENTS + 1).collect()]
+    if len(ids) > MOST_PATIENTS:
+        raise ValueError(f"more than {MOST_PATIENTS} patients: read the tables instead")
+    Path(out).mkdir(parents=True, exist_ok=True)
+    paths = []
+    for k, name in enumerate(ids):
+        run = summary(spark, evaluated, name)
+        profile = people.filter(F.col("patient_id") == name).select(patient.summary(date.fromisoformat(run["as_of"])).alias("x")).first()
+        own = lambda t: t.filter(F.col("patient_id") == name)  # noqa: B023, E731
+        paths.append(f"{out}/{k:04d}.md")
+        Path(paths[-1]).write_text(report.markdown(own(trials), own(rows), run, profile["x"] if profile else "", top), encoding="utf-8")
+        report.best(own(trials), "position", top).select("rank", "nct_id", "status", F.format_string("%.3f", "score").alias("score"), F.concat_ws("/", "n_pass", "n_fail", "n_unknown").alias("pass/fail/unknown"), F.substring("title", 1, 60).alias("title")).orderBy("rank").show(top, False)
+    return paths
+
+
+def first_trials(trials: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` in the order of the file (0: all)."""
+    return trials.orderBy("position").limit(most) if most else trials
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veridex")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, options in {"parse": ("--studies", "--out"), "retrieve": ("--trials", "--patients", "--out"), "evaluate": ("--trials", "--patients", "--out"), "rank": ("--evaluated", "--out"), "fetch": ("--url", "--condition", "--status", "--out")}.items():
+    for name, options in {"example-patient": ("--out",), "parse": ("--studies", "--out"), "retrieve": ("--trials", "--patients", "--out"), "evaluate": ("--trials", "--patients", "--out"), "rank": ("--evaluated", "--patients", "--out"), "fetch": ("--url", "--condition", "--status", "--out")}.items():
         sub = commands.add_parser(name)
         for o in options:
             sub.add_argument(o, required=True)
         sub.add_argument("--top", type=int, default=50 if name == "retrieve" else 10)
         sub.add_argument("--as-of", type=date.fromisoformat, default=date.today())
         sub.add_argument("--max-trials", type=int, default=0)
+        sub.add_argument("--candidates")
+        sub.add_argument("--server")
+        sub.add_argument("--model")
+        sub.add_argument("--prompt", help="JSON file: system, example")
+        sub.add_argument("--hosted-url")
+        sub.add_argument("--hosted-model")
     a = parser.parse_args(argv)
     if a.max_trials < 0:
         parser.error("--max-trials must not be negative")
     spark = SparkSession.builder.appName("veridex").getOrCreate()
     try:
-        if a.command == "fetch":
+        if a.command == "example-patient":
+            readers.write_json(readers.patients(spark, "example"), a.out)
+        elif a.command == "fetch":
             spark.dataSource.register(readers.StudySource)
             spark.read.format("studies").options(url=a.url, condition=a.condition, status=a.status, limit=str(a.top)).load().write.mode("overwrite").text(a.out)
         elif a.command == "parse":
-            ingest.parsed_trials(readers.studies(spark, a.studies)).write.mode("overwrite").parquet(a.out)
+            ingest.parsed_trials(readers.studies(spark, a.studies)).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(a.out)
         elif a.command == "retrieve":
-            candidates(spark, spark.read.parquet(a.trials), readers.patients(spark, a.patients), a.top).write.mode("overwrite").parquet(a.out)
+            candidates(spark.read.parquet(a.trials), readers.patients(spark, a.patients), a.top, retrieval.HashedWords()).write.mode("overwrite").parquet(a.out)
         elif a.command == "evaluate":
-            trials = spark.read.parquet(a.trials)
-            trials = trials.limit(a.max_trials) if a.max_trials else trials
-            evaluate(spark, trials, readers.patients(spark, a.patients), a.as_of, RulesJudge(()), a.out).write.mode("append").parquet(f"{a.out}/trials")
+            judge, second, version = judges(a)
+            chosen = spark.read.parquet(a.candidates) if a.candidates else None
+            evaluate(spark, first_trials(spark.read.parquet(a.trials), a.max_trials), readers.patients(spark, a.patients), a.as_of, judge, second, a.out, chosen, version)
+            print(json.dumps(summary(spark, a.out), indent=2))
         else:
-            ranked = report.ranked(spark.read.parquet(a.evaluated).withColumn("position", F.col("nct_id")), "position")
-            ranked.orderBy("rank").limit(a.top).write.mode("overwrite").json(a.out)
+            print("\n".join(write_reports(spark, a.evaluated, readers.patients(spark, a.patients), a.out, a.top)))
     except JudgeUnavailable as e:
         print(e, file=sys.stderr)
         return 2
     except JudgeError as e:
         print(e, file=sys.stderr)
         return 3
+    except PythonException as e:  # a worker's exception comes as its text
+        if "JudgeError" not in str(e):
+            raise
+        print(str(e).strip().splitlines()[-1], file=sys.stderr)
+        return 3
     return 0
 
 
+def judges(a: argparse.Namespace) -> tuple[Judge, Judge | None, str]:
+    """The judges that the options name; without a model, rules without any rule, which leave all open."""
+    if not a.model:
+        return RulesJudge(()), None, "none"
+    spec = json.loads(Path(a.prompt).read_text(encoding="utf-8"))
+    prompt = judging.Prompt(spec["system"], tuple(spec["example"]))
+    second = judging.HostedJudge.from_environment(prompt, a.hosted_model, a.hosted_url) if a.hosted_model else None
+    return judging.ServerJudge(prompt, a.model, judging.server_url(a.server, None)), second, prompt.version
+
+
 if __name__ == "__main__":
     sys.exit(main())

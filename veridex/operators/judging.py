@@ -6,10 +6,18 @@ in ``mapInArrow`` with retries inside the call, and only rows in the band reach
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import platform
 import random
+import subprocess
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 from typing import Protocol, TypeVar
 
 import pyarrow as pa
@@ -53,12 +61,113 @@ class Judge(Protocol):
     def complete(self, profile: str, criterion: str) -> Completion: ...
 
 
-def server_url(given: str | None, from_environment: str | None, default: str = "http://localhost:11434") -> str:
+#: Where a server of one's own is by default, and the schema of a verdict.
+SERVER = "http://localhost:11434"
+VERDICT_SCHEMA = {
+    "type": "object", "required": ["eligible", "confidence", "reasoning", "patient_feature"],
+    "properties": {"eligible": {"type": ["boolean", "null"]}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "reasoning": {"type": "string"}, "patient_feature": {"type": "string"}},
+}
+
+
+def server_url(given: str | None, from_environment: str | None, default: str = SERVER) -> str:
     """The first that is given, with a scheme and without slashes at the end."""
     url = (given or from_environment or default).strip().rstrip("/")
     return url if url.startswith(("http://", "https://")) else f"http://{url}"
 
 
+@cache
+def runtime() -> dict:
+    """The machine: its platform, and its graphics processor if it has one."""
+    try:
+        gpu = subprocess.run(["nvidia-smi", "--query-gpu=name", "--format=csv,noheader"], capture_output=True, text=True, timeout=10).stdout.strip() or None  # noqa: S603, S607
+    except (OSError, subprocess.SubprocessError):
+        gpu = None
+    return {"platform": platform.platform(), "gpu": gpu}
+
+
+@dataclass(frozen=True)
+class Prompt:
+    """What a model is told: the rules, a worked example (profile, criterion, answer), then the question."""
+
+    system: str
+    example: tuple[str, str, str]
+
+    @property
+    def version(self) -> str:
+        return hashlib.sha256("\x1f".join((self.system, *self.example)).encode()).hexdigest()[:12]
+
+    def turns(self, profile: str, criterion: str) -> list[dict]:
+        ask = lambda p, c: {"role": "user", "content": f"{p}\n\nCRITERION\n{c.strip()}"}
+        return [ask(*self.example[:2]), {"role": "assistant", "content": self.example[2]}, ask(profile, criterion)]
+
+
+def post(url: str, body: dict | None, headers: dict, timeout: float = 300) -> dict:
+    """A JSON answer; what may pass is transient: no connection, too many requests, a server's own fault."""
+    request = urllib.request.Request(url, None if body is None else json.dumps(body).encode(), {"content-type": "application/json", **headers})  # noqa: S310
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+            return json.load(answer)
+    except urllib.error.HTTPError as e:
+        kind = TransientJudgeError if e.code in (408, 409, 429) or e.code >= 500 else JudgeError
+        raise kind(f"{url}: {e.code}") from e
+    except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+        raise TransientJudgeError(f"{url}: {e}") from e
+
+
+@dataclass(frozen=True)
+class ServerJudge:
+    """A model on a server of one's own, held to the schema of a verdict, at temperature 0 and a fixed seed."""
+
+    prompt: Prompt
+    model: str
+    url: str = SERVER
+    backend: str = "local"
+    call: Callable[..., dict] = post
+
+    def ready(self) -> None:
+        """The server answers and has the model, by its full name or the one before the colon."""
+        try:
+            names = {m["name"] for m in self.call(f"{self.url}/api/tags", None, {}, 10).get("models", [])}
+        except JudgeError as e:
+            raise JudgeUnavailable(str(e)) from e
+        if self.model not in names | {n.split(":")[0] for n in names}:
+            raise JudgeUnavailable(f"{self.url} doesn't have {self.model}")
+
+    def complete(self, profile: str, criterion: str) -> Completion:
+        messages = [{"role": "system", "content": self.prompt.system}, *self.prompt.turns(profile, criterion)]
+        said = self.call(f"{self.url}/api/chat", {"model": self.model, "messages": messages, "stream": False, "format": VERDICT_SCHEMA, "options": {"temperature": 0, "seed": 0}}, {})
+        return Completion(said["message"]["content"], said.get("prompt_eval_count"), said.get("eval_count"))
+
+
+@dataclass(frozen=True)
+class HostedJudge:
+    """A hosted model behind a messages endpoint, asked only for verdicts in the band."""
+
+    prompt: Prompt
+    model: str
+    key: str
+    url: str
+    backend: str = "api"
+    call: Callable[..., dict] = post
+
+    @classmethod
+    def from_environment(cls, prompt: Prompt, model: str, url: str, name: str = "JUDGE_API_KEY") -> HostedJudge | None:
+        """None without a key: verdicts in the band then stay as they are."""
+        return cls(prompt, model, os.environ[name], url) if os.environ.get(name) else None
+
+    def ready(self) -> None: ...
+
+    def complete(self, profile: str, criterion: str) -> Completion:
+        body = {"model": self.model, "max_tokens": 500, "temperature": 0, "system": self.prompt.system, "messages": self.prompt.turns(profile, criterion)}
+        said = self.call(self.url, body, {"x-api-key": self.key})
+        usage = said.get("usage", {})
+        return Completion("".join(x.get("text", "") for x in said["content"]), usage.get("input_tokens"), usage.get("output_tokens"))
+
+
+def described(judge: Judge | None) -> dict | None:
+    return judge and {"backend": judge.backend, "model": judge.model}
+
+
 def with_retries(call: Callable[[], T], most: int = 4, base: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[T, int]:
     """The result and the number of attempts; only transient failures are tried again, after growing pauses."""
     for attempt in range(1, most + 1):
@@ -164,10 +273,32 @@ def same_run(done: dict, now: dict, keys: Sequence[str] = ("patient_id", "prompt
         raise ValueError(f"cannot resume: {', '.join(other)} differ")
 
 
-def still_to_do(trials: DataFrame, done: DataFrame, key: str) -> DataFrame:
+def still_to_do(trials: DataFrame, done: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows of ``trials`` whose key isn't done; a null key equals a null key, and duplicates stay."""
-    return trials.join(done.select(F.col(key).alias("_done")).distinct(), F.col(key).eqNullSafe(F.col("_done")), "left_anti")
+    keys = [key] if isinstance(key, str) else list(key)
+    done = done.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return trials.join(done, on, "left_anti")
 
 
 def resumed(done: DataFrame, new: DataFrame) -> DataFrame:
     return done.unionByName(new, allowMissingColumns=True)
+
+
+def evaluate(pairs: DataFrame, criteria: DataFrame, profiles: DataFrame, judge: Judge, second: Judge | None, keep: Callable[[DataFrame, str], DataFrame], keys: Sequence[str] = ("patient_id", "nct_id")) -> DataFrame:
+    """Verdicts of every criterion of every pair of patient and trial (``pairs``).
+
+    ``criteria`` has ``nct_id, pos, kind, idx, text, features``, ``profiles`` ``patient_id, profile``. ``keep`` writes a
+    table and reads it back: each judge's answers are written before they are used, and the second judge is asked for
+    verdicts in the band alone."""
+    rows = pairs.select(*keys).join(criteria, "nct_id").join(profiles, "patient_id")
+    if second is not None:
+        second.ready()
+    local = keep(judged(rows, judge, "profile", "text", "local"), "local")
+    asked = None
+    if second is not None:
+        band = local.filter(scoring.in_band(F.col("local.confidence"))).select(*keys, "pos", "profile", "text")
+        asked = keep(judged(band, second, "profile", "text", "api").select(*keys, "pos", "api"), "api")
+    return verdicts(cascade(local.drop("profile"), asked, [*keys, "pos"]))

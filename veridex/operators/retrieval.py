@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import re
+import zlib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,30 +20,49 @@ K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 NO_TOKEN = "_empty_"
 
 
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``doc, term, tf, dl``; a document without tokens has one stand-in term."""
+#: Queries that are scored against the whole corpus at once; more are taken in blocks.
+QUERY_BLOCK = 1000
+#: Rows that ``fingerprint`` takes; it puts them in order in one place.
+MOST_ORDERED = 10_000
+
+
+def _words(text: str) -> Column:
     words = tokens(F.col(text))
-    words = docs.select(F.col(doc).alias("doc"), F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(NO_TOKEN))).alias("words"))
+    return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(NO_TOKEN)))
+
+
+def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, term, tf, dl``; a document without tokens has one stand-in term. To be written where it is read often."""
+    words = docs.select(F.col(doc).alias("doc"), _words(text).alias("words"))
     return words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "dl")
 
 
-def term_statistics(posts: DataFrame) -> DataFrame:
+def corpus_totals(docs: DataFrame, text: str) -> DataFrame:
+    """One row, ``n, avgdl``: documents and their mean number of tokens, before any is exploded."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.size(_words(text))).alias("avgdl"))
+
+
+def _totals(posts: DataFrame) -> DataFrame:
+    return posts.groupBy("doc").agg(F.min("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def term_statistics(posts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """``term, df, idf``: negative weights become a share of the mean weight of all terms."""
-    n = posts.agg(F.count_distinct("doc").alias("n"))
-    counted = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    totals = _totals(posts) if totals is None else totals
+    counted = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n")))  # one row
     raw = counted.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(posts: DataFrame, query_terms: DataFrame) -> DataFrame:
+def bm25(posts: DataFrame, query_terms: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """``query, doc, score`` of documents that share a term; ``query_terms`` (``query, term``) keeps repeated tokens."""
+    totals = _totals(posts) if totals is None else totals
     asked = query_terms.groupBy("query", "term").agg(F.count("*").alias("times"))
-    length = posts.select("doc", "dl").distinct().agg(F.avg("dl").alias("avgdl"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    hits = posts.join(asked, "term").join(term_statistics(posts), "term").crossJoin(F.broadcast(length))
-    return hits.groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    weights = asked.join(term_statistics(posts, totals), "term").crossJoin(F.broadcast(totals.select("avgdl")))  # one row
+    return posts.join(weights, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,16 +74,70 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: (x / F.nullif(norm, F.lit(0.0))).cast("float"))
 
 
+class Encoder(Protocol):
+    """Texts to vectors of one length, on a worker."""
+
+    def encode(self, texts: list[str]) -> list[list[float]]: ...
+
+
+@dataclass(frozen=True)
+class HashedWords:
+    """An encoder without a model: each word adds a sign to one of the places, both by its hash."""
+
+    size: int = 256
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            vector = [0.0] * self.size
+            for word in re.findall("[a-z0-9]+", text.lower()):
+                h = zlib.crc32(word.encode())
+                vector[h % self.size] += 1.0 if h >> 31 else -1.0
+            out.append(vector)
+        return out
+
+
+def encoded(rows: DataFrame, key: str, text: str, encoder: Encoder, name: str = "embedding") -> DataFrame:
+    """``key`` and the normalised vector of each text, in Arrow batches; the encoder is made once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode([t or "" for t in batch.column(1).to_pylist()]), pa.list_(pa.float32()))], [key, name])
+
+    kind = rows.schema[key].dataType.simpleString()
+    made = rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{name}` array<float>")
+    return made.select(key, normalised(F.col(name)).alias(name))
+
+
+def blocks(queries: DataFrame, key: str = "query") -> Iterator[DataFrame]:
+    """``queries`` in parts of at most ``QUERY_BLOCK`` keys, each small enough to be broadcast."""
+    n = queries.select(key).distinct().count()
+    parts = -(-n // QUERY_BLOCK)
+    if parts <= 1:
+        yield queries
+        return
+    keys = queries.select(key).distinct().withColumn("_part", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / QUERY_BLOCK))
+    for k in range(parts):
+        yield queries.join(keys.filter(F.col("_part") == k).select(key), key, "left_semi")
+
+
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, doc, score`` of every vector for a stated, small set of queries (``query, vector``)."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query", "doc", dot(F.col("embedding"), F.col("vector")).alias("score"))
+    """``query, doc, score`` of every vector for every query (``query, vector``), a block of queries at a time."""
+    score = dot(F.col("embedding"), F.col("vector")).alias("score")
+    return reduce(DataFrame.union, (vectors.crossJoin(F.broadcast(q)).select("query", "doc", score) for q in blocks(queries)))  # a block at most
 
 
 def ranked(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Adds ``rank`` from 1 in each query; ties go to the smaller document."""
+    """Adds ``rank`` from 1 in each query; ties go to the smaller document. All of a query's rows are sorted in one task,
+    but where only the first ranks are asked for (``best``)."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col(score).desc(), F.col("doc").asc())))
 
 
+def best(scores: DataFrame, most: int, score: str = "score") -> DataFrame:
+    """The first ``most`` ranks of each query: each task sends so many rows at most."""
+    return ranked(scores, score).filter(F.col("rank") <= most)
+
+
 def fused(rankings: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     """``query, doc, rrf`` from lists of ``query, doc, rank``; a list without a document adds nothing to it."""
     every = rankings[0].select("query", "doc", "rank")
@@ -67,29 +146,64 @@ def fused(rankings: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     return every.groupBy("query", "doc").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
 
 
-def search(posts: DataFrame, query_terms: DataFrame, vectors: DataFrame, query_vectors: DataFrame, top_k: int) -> DataFrame:
-    """The ``top_k`` documents of each query by both rankings of the whole corpus; ties go to the better BM25 rank."""
-    docs = posts.select("doc").distinct()
-    queries = query_terms.select("query").distinct()
-    lexical = docs.crossJoin(F.broadcast(queries)).join(bm25(posts, query_terms), ["query", "doc"], "left").fillna(0.0, ["score"])
-    lexical = ranked(lexical).select("query", "doc", F.col("score").alias("bm25_score"), F.col("rank").alias("bm25_rank"))
-    dense = ranked(cosine(vectors, query_vectors)).select("query", "doc", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
-    both = lexical.join(dense, ["query", "doc"]).withColumn("rrf", 1.0 / (RRF_K + F.col("bm25_rank")) + 1.0 / (RRF_K + F.col("dense_rank")))
-    order = Window.partitionBy("query").orderBy(F.col("rrf").desc(), F.col("bm25_rank").asc())
-    return both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).drop("place")
+def ranks_of(scores: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """``query, doc, score, name`` of ``some`` (``query, doc``), few for each query: their ranks among all ``scores``.
+
+    No query's scores are sorted: each row is placed among the few by its score and document, rows are counted by place,
+    and a rank is the sum of the counts up to it."""
+    order = F.struct((-F.col("score")).alias("s"), F.col("doc").alias("d"))
+    few = scores.join(some, ["query", "doc"]).select("query", order.alias("o"))
+    few = few.groupBy("query").agg(F.sort_array(F.collect_list("o")).alias("few"))
+    place = F.size(F.filter("few", lambda t: t < order))
+    counts = scores.join(F.broadcast(few), "query").groupBy("query", place.alias("place")).agg(F.count("*").alias("n"))  # a block's queries with a few rows each
+    upto = counts.withColumn("rank", F.sum("n").over(Window.partitionBy("query").orderBy("place")))
+    ends = few.select("query", F.posexplode("few").alias("at", "o"))
+    found = ends.join(upto.select("query", "place", "rank"), "query").filter("place <= at").groupBy("query", "at", "o").agg(F.max("rank").alias(name))
+    return found.select("query", F.col("o.d").alias("doc"), (-F.col("o.s")).alias("score"), name)
+
+
+def search(posts: DataFrame, query_terms: DataFrame, vectors: DataFrame, query_vectors: DataFrame, top_k: int, totals: DataFrame | None = None, digits: int = 9) -> DataFrame:
+    """The ``top_k`` documents of each query by both rankings of the whole corpus; ties go to the better BM25 rank.
+
+    ``query, doc, bm25_score, bm25_rank, dense_score, dense_rank, rrf``; the corpus is what has postings and a vector. A document that is beyond rank 2 k + 59 in both
+    lists has a smaller sum than any of the first k of either has by one list alone (2 / (61 + 2 k + 59) = 1 / (60 + k)),
+    so only these few are fused; their ranks are those among all documents. Scores count to ``digits``."""
+    few = 2 * top_k + RRF_K - 1
+    vectors = vectors.join(posts.select("doc").distinct(), "doc", "left_semi")
+    out = []
+    for asked in blocks(query_terms.join(query_vectors, "query", "left_semi")):
+        queries = asked.select("query").distinct()
+        hits = bm25(posts, asked, totals)
+        lexical = vectors.select("doc").crossJoin(F.broadcast(queries)).join(hits, ["query", "doc"], "left")  # a block of queries
+        lexical = lexical.select("query", "doc", F.round(F.coalesce("score", F.lit(0.0)), digits).alias("score"))
+        dense = cosine(vectors, query_vectors.join(queries, "query", "left_semi")).withColumn("score", F.round("score", digits))
+        some = best(lexical, few).select("query", "doc").union(best(dense, few).select("query", "doc")).distinct()
+        both = ranks_of(lexical, some, "bm25_rank").withColumnRenamed("score", "bm25_score").join(ranks_of(dense, some, "dense_rank").withColumnRenamed("score", "dense_score"), ["query", "doc"])
+        both = both.withColumn("rrf", 1.0 / (RRF_K + F.col("bm25_rank")) + 1.0 / (RRF_K + F.col("dense_rank")))
+        order = Window.partitionBy("query").orderBy(F.col("rrf").desc(), F.col("bm25_rank").asc())
+        out.append(both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).drop("place"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def fingerprint(model: str, docs: DataFrame, position: str, key: str, text: str) -> DataFrame:
-    """One row: a hash of the model and of keys and texts in order, for corpora that fit one row."""
-    line = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("None")), F.lit("\x1f"), F.col(text), F.lit("\x1e"))
+    """One row: a hash of the model and of keys and texts in order, for corpora of ``MOST_ORDERED`` rows at most."""
+    if docs.limit(MOST_ORDERED + 1).count() > MOST_ORDERED:
+        raise ValueError(f"more than {MOST_ORDERED} documents: use large_fingerprint")
+    line = _line(key, text)
     lines = docs.agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), line.alias("x")))).alias("lines"))
     return lines.select(F.substring(F.sha2(F.concat(F.lit(model), F.array_join(F.transform("lines", lambda l: l["x"]), "")), 256), 1, 16).alias("fingerprint"))
 
 
+def _line(key: str, text: str) -> Column:
+    return F.concat(F.coalesce(F.col(key).cast("string"), F.lit("None")), F.lit("\x1f"), F.coalesce(F.col(text), F.lit("")), F.lit("\x1e"))
+
+
 def large_fingerprint(model: str, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for corpora of any size: sums of 64-bit hashes of each row, which no order or partition changes."""
-    row = F.xxhash64(key, text).cast("decimal(38,0)")
-    return docs.agg(F.sum(row).alias("a"), F.sum(F.xxhash64(text, key).cast("decimal(38,0)")).alias("b"), F.count("*").alias("n")).select(F.substring(F.sha2(F.concat_ws("|", F.lit(model), "a", "b", "n"), 256), 1, 16).alias("fingerprint"))
+    """One row for corpora of any size: sums of two parts of each row's hash, which no order or partition changes."""
+    hashed = docs.select(F.sha2(_line(key, text), 256).alias("h"))
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,0)")).cast("string")
+    return hashed.agg(zero(part(1)).alias("a"), zero(part(16)).alias("b"), F.count("*").alias("n")).select(F.substring(F.sha2(F.concat_ws("|", F.lit(model), "a", "b", "n"), 256), 1, 16).alias("fingerprint"))
 
 
 def load_or_build(docs: DataFrame, model: str, folder: str, doc: str, text: str) -> tuple[DataFrame, bool]:

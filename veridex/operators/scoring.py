@@ -7,6 +7,7 @@ would be wrong for most rules here.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,16 +44,18 @@ def route(confidence: Column, has_second: Column) -> Column:
     return F.when(~in_band(confidence), "local").when(has_second, "api").otherwise("api_unavailable")
 
 
-def evaluated(trials: DataFrame, verdicts: DataFrame, key: str, position: Sequence[str] = ("kind_order", "idx"), digits: int = 4, details: Sequence[str] = ()) -> DataFrame:
+def evaluated(trials: DataFrame, verdicts: DataFrame, key: str | Sequence[str], position: Sequence[str] = ("kind_order", "idx"), digits: int = 4, details: Sequence[str] = ()) -> DataFrame:
     """Status, score and counts of each trial from verdicts with ``passes, confidence, weight, pass_confidence, route``.
 
+    ``key`` is one column or several, such as patient and trial; nulls in it equal each other.
     Trials without verdicts are unresolved with score 0 and a note. Sums are partial before the shuffle. With
     ``details`` (columns of ``verdicts``) also ``blocking``, the blockers in the order of ``position``.
     """
     confident = F.col("confidence") > DECISIVE
     blocks = ~F.col("passes") & confident
     blocking = [F.sort_array(F.collect_list(F.when(blocks, F.struct(*position, *details)))).alias("blocking")] if details else []
-    sums = verdicts.groupBy(key).agg(
+    keys = [key] if isinstance(key, str) else list(key)
+    sums = verdicts.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(
         F.max(F.coalesce(blocks, F.lit(False))).alias("blocked"), F.min(F.coalesce(F.col("passes") & confident, F.lit(False))).alias("all_pass"),
         F.sum(F.col("weight") * F.col("pass_confidence")).alias("total"), F.sum("weight").alias("weights"),
         F.count_if("passes").alias("n_pass"), F.count_if(~F.col("passes")).alias("n_fail"), F.count_if(F.col("passes").isNull()).alias("n_unknown"),
@@ -60,7 +63,8 @@ def evaluated(trials: DataFrame, verdicts: DataFrame, key: str, position: Sequen
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     counts = ("n_pass", "n_fail", "n_unknown", "n_criteria", "n_routed_api", "n_api_unavailable")
-    return trials.join(sums, key, "left").select(
+    on = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return trials.join(sums, on, "left").select(
         *trials.columns,
         F.when(F.col("blocked"), "ineligible").when(F.col("all_pass"), "eligible").otherwise("unresolved").alias("status"),
         F.coalesce(F.round(F.col("total") / F.col("weights"), digits), F.lit(0.0)).alias("score"), *map(zero, counts),
@@ -92,3 +96,9 @@ def run_summary(trials: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
     of_trials = trials.agg(F.count("*").alias("n_trials"), *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES))
     return of_trials.crossJoin(of_verdicts)  # one row each
+
+
+def models(verdicts: DataFrame) -> DataFrame:
+    """One row: the distinct models that judged, in order."""
+    names = F.array_distinct(F.flatten(F.collect_set(F.filter(F.array("local.model", "api.model"), lambda m: m.isNotNull()))))
+    return verdicts.agg(F.array_sort(names).alias("models"))

@@ -2,18 +2,19 @@
 
 An order stands for a trial and its line items for criteria: the line status is the kind, the return flag the verdict
 (A true, R false, N unknown), ten times the discount the confidence, a quantity from 25 on a biomarker, the total price
-the retrieval score. All queries run over whole tables.
+the retrieval score. All queries run over whole tables; searches take every row whose id is divisible by 50 as a query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridex.functions import text as tx
-from veridex.operators import judging, judgment, patient, report, retrieval, scoring
+from veridex.operators import ingest, judging, judgment, patient, report, retrieval, scoring
+from veridex.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,40 +160,47 @@ p AS (SELECT doc_id, term, dl, count(*) AS tf FROM x GROUP BY ALL), r AS (SELECT
 i0 AS (SELECT term, df, ln(n-df+0.5)-ln(df+0.5) AS raw FROM r, n), i AS (SELECT term, df, CASE WHEN raw<0 THEN 0.25*(SELECT avg(raw) FROM i0) ELSE raw END AS idf FROM i0)"""
 
 
+def _postings(spark, sf_dir):
+    """Postings, written once, and the corpus totals."""
+    docs = _t(spark, sf_dir, "documents")
+    return readers.scratch(retrieval.postings(docs, "doc_id", "text"), "postings"), retrieval.corpus_totals(docs, "text")
+
+
 @query(f"WITH {P} SELECT term, df, round(idf,6) AS idf FROM i")
 def bm25_corpus_stats(spark, sf_dir):
-    return retrieval.term_statistics(retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.term_statistics(*_postings(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-#: Search words of the benchmark's first items stand for patients' queries.
 def _queries(spark, sf_dir):
-    items = _t(spark, sf_dir, "benchmark").filter("item_id < 5")
+    """Search words of benchmark items stand for patients' queries."""
+    items = _t(spark, sf_dir, "benchmark").filter("item_id % 50 = 0")
     return items.select(F.col("item_id").alias("query"), F.explode(tx.tokens(F.col("text"))).alias("term"))
 
 
-Q = f"q AS (SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text),'[a-z0-9]+'), lambda x: length(x)>1 AND x NOT IN {STOP})) AS term FROM benchmark WHERE item_id<5) GROUP BY ALL)"
+Q = f"q AS (SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text),'[a-z0-9]+'), lambda x: length(x)>1 AND x NOT IN {STOP})) AS term FROM benchmark WHERE item_id%50=0) GROUP BY ALL)"
 BM = f"""{P}, {Q}, a AS (SELECT avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM p)),
 b AS (SELECT query, doc_id AS doc, sum(times*idf*tf*2.5/(tf+1.5*(0.25+0.75*dl/avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term), a GROUP BY ALL)"""
 
 
 @query(f"WITH {BM} SELECT query, doc, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS rank FROM b) WHERE rank<=10")
 def bm25_topk(spark, sf_dir):
-    scores = retrieval.bm25(retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text"), _queries(spark, sf_dir))
-    top = retrieval.ranked(scores.withColumn("s", F.round("score", 9)), "s").filter("rank <= 10")
+    posts, totals = _postings(spark, sf_dir)
+    scores = retrieval.bm25(posts, _queries(spark, sf_dir), totals)
+    top = retrieval.best(scores.withColumn("s", F.round("score", 9)), 10, "s")
     return top.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _vectors(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
-    return v, v.filter("doc < 5").select(F.col("doc").alias("query"), F.col("embedding").alias("vector"))
+    return v, v.filter("doc % 50 = 0").select(F.col("doc").alias("query"), F.col("embedding").alias("vector"))
 
 
-D = "d AS (SELECT q.vec_id AS query, e.vec_id AS doc, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id<5)"
+D = "d AS (SELECT q.vec_id AS query, e.vec_id AS doc, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id%50=0)"
 
 
 @query(f"WITH {D} SELECT query, doc, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS rank FROM d) WHERE rank<=10")
 def dense_topk(spark, sf_dir):
-    top = retrieval.ranked(retrieval.cosine(*_vectors(spark, sf_dir)).withColumn("s", F.round("score", 9)), "s").filter("rank <= 10")
+    top = retrieval.best(retrieval.cosine(*_vectors(spark, sf_dir)).withColumn("s", F.round("score", 9)), 10, "s")
     return top.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -200,22 +208,25 @@ def dense_topk(spark, sf_dir):
 den AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS r FROM d), u AS (SELECT * FROM lex UNION ALL SELECT * FROM den)
 SELECT query, doc, round(sum(1.0::DOUBLE/(60+r)),9) AS rrf FROM u GROUP BY ALL""")
 def rrf_hybrid(spark, sf_dir):
-    """Lists that rank different documents, fused."""
-    lexical = retrieval.bm25(retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text"), _queries(spark, sf_dir))
+    """Whole lists that rank different documents, fused."""
+    posts, totals = _postings(spark, sf_dir)
+    lexical = retrieval.bm25(posts, _queries(spark, sf_dir), totals)
     lists = [retrieval.ranked(s.withColumn("s", F.round("score", 9)), "s") for s in (lexical, retrieval.cosine(*_vectors(spark, sf_dir)))]
     return retrieval.fused(lists).select("query", "doc", F.round("rrf", 9).alias("rrf"))
 
 
-@query(f"""WITH {BM}, {D}, ids AS (SELECT DISTINCT doc_id AS doc FROM p), qs AS (SELECT DISTINCT query FROM q), al AS (SELECT query, doc, coalesce(score,0.0) AS score FROM (SELECT * FROM ids, qs) LEFT JOIN b USING (query, doc)),
-lex AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS br FROM al), den AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS dr FROM d)
-SELECT query, doc, br AS bm25_rank, dr AS dense_rank, round(1.0::DOUBLE/(60+br)+1.0::DOUBLE/(60+dr),9) AS rrf FROM lex JOIN den USING (query, doc)
-QUALIFY row_number() OVER (PARTITION BY query ORDER BY 1.0::DOUBLE/(60+br)+1.0::DOUBLE/(60+dr) DESC, br) <= 10""")
+@query(f"""WITH {BM}, {D}, ids AS (SELECT DISTINCT doc_id AS doc FROM p SEMI JOIN embeddings ON vec_id=doc_id), qs AS (SELECT DISTINCT query FROM q SEMI JOIN d USING (query)), al AS (SELECT query, doc, coalesce(score,0.0) AS score FROM (SELECT * FROM ids, qs) LEFT JOIN b USING (query, doc)),
+lex AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS br FROM al), den AS (SELECT query, doc, d.score AS ds, row_number() OVER (PARTITION BY query ORDER BY round(d.score,9) DESC, doc) AS dr FROM d SEMI JOIN ids USING (doc)),
+h AS (SELECT query, doc, br, dr, score, ds, 1.0::DOUBLE/(60+br)+1.0::DOUBLE/(60+dr) AS s FROM lex JOIN den USING (query, doc))
+SELECT query, doc, round(s,6) AS retrieval_score, br::INT AS bm25_rank, dr::INT AS dense_rank, round(score,4) AS bm25_score, round(ds,4) AS dense_score FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, br) <= 10""")
 def hybrid_search(spark, sf_dir):
-    """Both rankings of the whole corpus and the best ten of each query."""
+    """The best ten of each query by both rankings of the whole corpus, as candidates."""
+    from veridex.cli import decorated
+
     vectors, asked = _vectors(spark, sf_dir)
-    posts = retrieval.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")
-    found = retrieval.search(posts, _queries(spark, sf_dir), vectors, asked, 10)
-    return found.select("query", "doc", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("dense_rank").cast("long").alias("dense_rank"), F.round("rrf", 9).alias("rrf"))
+    posts, totals = _postings(spark, sf_dir)
+    found = retrieval.search(posts, _queries(spark, sf_dir), vectors, asked, 10, totals)
+    return found.select("query", "doc", *decorated()).select("query", "doc", "retrieval_score", "retrieval.*")
 
 
 @query("SELECT p_partkey, array_to_string(list_filter([p_name, CASE WHEN p_size>25 THEN p_brand ELSE '' END, p_type, p_brand], lambda x: x IS NOT NULL AND x<>''),' . ') AS doc FROM part")
@@ -302,14 +313,107 @@ def cross_patient(spark, sf_dir):
     return _t(spark, sf_dir, "part").crossJoin(F.broadcast(_t(spark, sf_dir, "region"))).select("r_regionkey", "p_partkey", F.concat_ws(" / ", "r_name", "p_brand").alias("pair"))
 
 
+@query(f"""WITH {V}, x AS (SELECT r_regionkey, v.*, CASE WHEN (l_partkey+r_regionkey)%3=0 THEN NULL ELSE passes END AS p FROM v, region),
+y AS (SELECT *, CASE WHEN p IS NULL THEN 0.5::DOUBLE WHEN p THEN confidence ELSE 1.0::DOUBLE-confidence END AS pc FROM x),
+z AS (SELECT r_regionkey, l_orderkey, bool_or(coalesce(NOT p AND confidence>0.5,FALSE)) AS blocked, bool_and(coalesce(p AND confidence>0.5,FALSE)) AS all_pass, sum(weight*pc)/sum(weight) AS raw, count(*) AS n_criteria, count(*) FILTER (p IS NULL) AS n_unknown FROM y GROUP BY 1, 2)
+SELECT r.r_regionkey, o_orderkey, CASE WHEN blocked THEN 'ineligible' WHEN all_pass THEN 'eligible' ELSE 'unresolved' END AS status, coalesce(round(raw,6),0.0) AS score, coalesce(n_criteria,0) AS n_criteria, coalesce(n_unknown,0) AS n_unknown
+FROM orders CROSS JOIN region r LEFT JOIN z ON z.l_orderkey=o_orderkey AND z.r_regionkey=r.r_regionkey""")
+def several_patients(spark, sf_dir):
+    """Several patients against all trials: evaluations are by patient and trial."""
+    people = _t(spark, sf_dir, "region").select("r_regionkey")
+    pairs = _t(spark, sf_dir, "orders").select("o_orderkey").crossJoin(F.broadcast(people))  # a table of fixed size
+    unsure = F.when((F.col("l_partkey") + F.col("r_regionkey")) % 3 != 0, F.col("passes"))
+    rows = _verdicts(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey").crossJoin(F.broadcast(people)).withColumn("passes", unsure)
+    rows = rows.withColumn("pass_confidence", scoring.pass_confidence(F.col("passes"), F.col("confidence")))
+    return scoring.evaluated(pairs, rows, ("r_regionkey", "o_orderkey"), digits=6).select("r_regionkey", "o_orderkey", "status", "score", "n_criteria", "n_unknown")
+
+
+def _eligibility(p: DataFrame) -> Column:
+    """A text with headers, bullets and blank lines, of a part's fields; some parts lack one of the sections."""
+    inclusion = F.concat(F.lit("About this\nInclusion  Criteria:\n\n* "), "p_name", F.lit("  and   more\n • "), "p_type", F.lit("\n"))
+    exclusion = F.concat(F.lit("EXCLUSION criteria\n* "), "p_brand", F.lit("\n* size "), F.col("p_size").cast("string"))
+    return F.when(p["p_partkey"] % 4 == 0, exclusion).when(p["p_partkey"] % 4 == 1, inclusion).when(p["p_partkey"] % 4 == 2, F.concat("p_name", F.lit("\n \n"), "p_type")).otherwise(F.concat(inclusion, exclusion))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey%4 AS m, trim(regexp_replace(p_name,'\\s+',' ','g')) AS name, trim(regexp_replace(p_type,'\\s+',' ','g')) AS type, p_brand, p_size FROM part)
+SELECT p_partkey, 'inclusion' AS kind, 0 AS idx, CASE WHEN m=2 THEN name ELSE name || ' and more' END AS text FROM k WHERE m<>0 UNION ALL SELECT p_partkey, 'inclusion', 1, type FROM k WHERE m<>0
+UNION ALL SELECT p_partkey, 'exclusion', 0, p_brand FROM k WHERE m IN (0,3) UNION ALL SELECT p_partkey, 'exclusion', 1, 'size ' || p_size FROM k WHERE m IN (0,3)""")
+def criteria_of_texts(spark, sf_dir):
+    """Eligibility texts cut into sections and bullets, each numbered in its kind."""
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", F.explode(tx.criteria(_eligibility(p))).alias("c")).select("p_partkey", "c.kind", "c.idx", "c.text")
+
+
+@query("""SELECT event_id, CASE user_id%6 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN FALSE END AS eligible, CASE WHEN user_id%6 IN (4,5) THEN 0.0::DOUBLE ELSE round(k/100.0,6)::DOUBLE END AS confidence,
+CASE WHEN user_id%6 IN (4,5) THEN '' ELSE event_type END AS reasoning, user_id%6 IN (1,2,3) AS repaired, user_id%6 IN (4,5) AS failed FROM (SELECT event_id, user_id, event_type, event_id%98+2 AS k FROM events)""")
+def judgments_of_texts(spark, sf_dir):
+    """Model texts of six kinds: as asked, fenced, in prose with a word for null, aliased and broken, no object, no verdict."""
+    e = _t(spark, sf_dir, "events").withColumn("k", (F.col("event_id") % 98 + 2).cast("string"))
+    kinds = (
+        ('{"eligible": true, "confidence": ', ', "reasoning": "', '"}'), ('Well:\n```json\n{"eligible": "no", "confidence": "', '%", "reasoning": "', '"}\n```'), ('I think it is {"eligible": unknown, "confidence": ', ', "reasoning": "', '",} or so'),
+        ('{"verdict": False, "confidence": ', ', "rationale": "', '"}'), ("none ", " of ", " here"), ('{"eligible": "maybe", "confidence": ', ', "reasoning": "', '"}'),
+    )
+    raw = F.lit("")
+    for n, (a, b, c) in enumerate(kinds):
+        raw = F.when(F.col("user_id") % 6 == n, F.concat(F.lit(a), "k", F.lit(b), "event_type", F.lit(c))).otherwise(raw)
+    j = e.select("event_id", judgment.parse_judgment(raw).alias("j"))
+    return j.select("event_id", "j.eligible", F.round("j.confidence", 6).alias("confidence"), "j.reasoning", "j.repaired", F.col("j.parse_error").isNotNull().alias("failed"))
+
+
+@query(f"""WITH {V} SELECT l_orderkey, l_partkey, '| ' || substr(kind,1,3) || ' | ' || l_partkey || ' | a\\|' || l_extendedprice::DECIMAL(18,2) || ' | ' || CASE WHEN eligible THEN 'met' WHEN NOT eligible THEN 'not met' ELSE 'unknown' END || ' | ' || printf('%.2f',confidence) || ' | ' ||
+CASE WHEN passes THEN '✓' WHEN NOT passes THEN '✗' ELSE '?' END || ' | ' || route || ' | none |' AS line FROM v""")
+def evidence_lines(spark, sf_dir):
+    """The report's line for every criterion."""
+    c = F.col
+    text = F.concat(F.lit("a|"), c("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    return _verdicts(spark, sf_dir).select("l_orderkey", "l_partkey", report.verdict_line(c("kind"), c("l_partkey"), text, c("eligible"), c("confidence"), c("passes"), c("route"), F.lit("none")).alias("line"))
+
+
+@query("""SELECT c_custkey, 'PATIENT PROFILE (as of 2026-09-30)' || chr(10) || 'Diagnosis: ' || c_name || ', stage ' || c_nationkey || CASE WHEN c_custkey%3=0 THEN ' (histology: ' || c_mktsegment || ')' ELSE '' END || chr(10) ||
+'Age ' || c_nationkey || ', ' || lower(c_mktsegment) || '. ECOG 1. Smoking: ' || CASE WHEN c_custkey%2=0 THEN 'former' ELSE 'not recorded' END || '. Brain metastases: ' || CASE c_custkey%3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'not recorded' END || '. Prior malignancy: not recorded.' || chr(10) ||
+'Mutations: ' || CASE WHEN c_custkey%2=0 THEN 'none reported' ELSE 'G' || c_nationkey || ' p.A1B (hotspot); H p.C2D' END || chr(10) || 'TMB ' || (c_custkey%50) || CASE WHEN c_custkey%2=0 THEN '.5' ELSE '' END || ' mut/Mb; PD-L1 TPS not recorded; MSI: MSS' || chr(10) || 'Treatment history (complete):' || chr(10) ||
+CASE WHEN c_custkey%4=0 THEN '  none (treatment-naive)' ELSE '  Line 1: ' || c_name || ', 2025 to 2026, best response PD' || chr(10) || '  Line 2: x, 2026 to ongoing' END || chr(10) || 'Next line of therapy: ' || CASE WHEN c_custkey%4=0 THEN '1' ELSE '3' END AS profile FROM customer""")
+def profile_texts(spark, sf_dir):
+    """The profile of each customer as the text that judges read."""
+    from datetime import date
+
+    c = _t(spark, sf_dir, "customer")
+    key, text, null = F.col("c_custkey"), lambda x: F.lit(x).cast("string"), F.lit(None).cast("string")
+    mutation = lambda gene, change, hot: F.struct(gene.alias("gene"), F.lit(change).alias("protein_change"), F.lit(hot).alias("is_hotspot"))
+    event = lambda line, drug, start, end, best: F.struct(F.lit(line).alias("line"), drug.alias("drug"), F.lit(start).alias("start_date"), end.alias("end_date"), best.alias("best_response"), null.alias("discontinuation_reason"))
+    history = F.array(event(2, text("x"), "2026", null, null), event(1, F.col("c_name"), "2025", text("2026"), text("PD")))
+    mutations = F.array(mutation(F.concat(F.lit("G"), F.col("c_nationkey").cast("string")), "p.A1B", True), mutation(text("H"), "p.C2D", False))
+    p = c.select(
+        "c_custkey", F.col("c_name").alias("diagnosis"), F.col("c_nationkey").cast("string").alias("stage"), F.when(key % 3 == 0, F.col("c_mktsegment")).alias("histology"), F.col("c_nationkey").alias("age_years"), F.col("c_mktsegment").alias("sex"), F.lit(1).alias("ecog"),
+        F.when(key % 2 == 0, "former").alias("smoking_status"), F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("brain_metastases"), null.alias("prior_malignancy"), F.when(key % 2 == 1, mutations).otherwise(F.slice(mutations, 1, 0)).alias("mutations"),
+        (key % 50 + F.when(key % 2 == 0, 0.5).otherwise(0.0)).alias("tmb"), F.lit(None).cast("double").alias("pd_l1_tps"), text("MSS").alias("msi_status"), F.when(key % 4 != 0, history).otherwise(F.slice(history, 1, 0)).alias("treatment_history"),
+    )
+    return p.select("c_custkey", patient.summary(date(2026, 9, 30)).alias("profile"))
+
+
+@query("""SELECT o_orderkey, sum(CASE WHEN l_linestatus='O' THEN 1 ELSE 0 END)::INT AS n_inclusion, sum(CASE WHEN l_linestatus='F' THEN 1 ELSE 0 END)::INT AS n_exclusion, coalesce(array_to_string(list_sort(list_distinct(list(l_returnflag))),','),'') AS genes,
+coalesce(bool_or(l_returnflag='R'),FALSE) AS any_biomarker FROM orders JOIN lineitem ON l_orderkey=o_orderkey GROUP BY 1""")
+def breakdown_of_trials(spark, sf_dir):
+    """Criteria of each kind and distinct genes of a trial; a criterion has a biomarker where its features name one."""
+    empty = F.array().cast("array<string>")
+    features = F.struct(F.array("l_returnflag").alias("biomarkers"), empty.alias("mutations"))
+    flagged = F.struct(F.when(F.col("l_returnflag") == "R", F.array("l_returnflag")).otherwise(empty).alias("biomarkers"), F.lit(None).cast("array<string>").alias("mutations"))
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("nct_id"), F.struct(F.when(F.col("l_linestatus") == "O", "inclusion").otherwise("exclusion").alias("kind"), features.alias("features")).alias("c"), scoring.is_biomarker(flagged).alias("b"))
+    trials = li.groupBy("nct_id").agg(F.collect_list("c").alias("criteria"), F.max("b").alias("any_biomarker"))
+    return ingest.breakdown(trials).join(trials.select("nct_id", "any_biomarker"), "nct_id").select(F.col("nct_id").alias("o_orderkey"), "n_inclusion", "n_exclusion", F.array_join("genes", ",").alias("genes"), "any_biomarker")
+
+
 @query("SELECT event_type, count(*) AS n, round(avg(value),6) AS mean, round(median(value),6) AS median, round(quantile_cont(value,0.95),6) AS p95, max(value) AS max FROM events GROUP BY 1")
 def latency_stats(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.max("value").alias("max"))
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE event_type='click' AND (props IS NOT NULL AND props<>'')")
+@query("SELECT event_id, 'local' AS backend, value FROM events WHERE event_type='click' AND user_id%7<>0")
 def log_filter(spark, sf_dir):
-    return _t(spark, sf_dir, "events").filter((F.col("event_type") == "click") & (F.coalesce("props", F.lit("")) != "")).select("event_id", "user_id", "value")
+    """Calls of the local judge without an error; an empty text is none."""
+    error = F.when(F.col("user_id") % 7 == 0, "failed").when(F.col("user_id") % 2 == 0, "")
+    log = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "local").otherwise("api").alias("backend"), "value", error.alias("error"))
+    return readers.successful_local_calls(log).drop("error")
 
 
 @query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))),'; ') AS priorities, count(DISTINCT o_orderstatus) AS n_status FROM orders GROUP BY 1")
@@ -317,11 +421,11 @@ def distinct_sorted(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("priorities"), F.count_distinct("o_orderstatus").alias("n_status"))
 
 
-@query("SELECT substr(sha256('model' || string_agg(doc_id || chr(31) || text || chr(30), '' ORDER BY doc_id)),1,16) AS fingerprint FROM documents WHERE n_chars < 2000 AND source='src1'")
+@query("""WITH h AS (SELECT sha256(doc_id || chr(31) || text || chr(30)) AS h FROM documents), p AS (SELECT sum(('0x' || substr(h,1,15))::BIGINT::HUGEINT) AS a, sum(('0x' || substr(h,16,15))::BIGINT::HUGEINT) AS b, count(*) AS n FROM h)
+SELECT substr(sha256('model|' || a || '|' || b || '|' || n),1,16) AS fingerprint FROM p""")
 def fingerprint(spark, sf_dir):
-    """The ordered hash of a small corpus: one source's short documents."""
-    d = _t(spark, sf_dir, "documents").filter("n_chars < 2000 and source = 'src1'")
-    return retrieval.fingerprint("model", d, "doc_id", "doc_id", "text")
+    """The fingerprint of the whole corpus, whatever its order."""
+    return retrieval.large_fingerprint("model", _t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(rf"""WITH {E} SELECT o_orderkey, '| ' || rank || ' | ' || o_orderkey || ' | ' || status || ' | ' || printf('%.6f',score) || ' | ' || printf('%.4f',retrieval_score) || ' | ' || n_pass || '/' || n_fail || '/' || n_unknown || ' | t\|' || o_custkey || ' |' AS line

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +63,7 @@ def _nested(ddl: str) -> str:
 def first_existing(spark: SparkSession, *paths: str) -> str:
     """The first path that Spark can list; earlier ones take precedence."""
     for path in paths:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if exists(spark, path):
             return path
     raise FileNotFoundError(", ".join(paths))
 
@@ -146,7 +147,33 @@ def to_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+#: Rows of an envelope, which is one row itself.
+MOST_IN_ENVELOPE = 10_000
+
+
 def envelope(rows: DataFrame, name: str, **header: str) -> DataFrame:
-    """One row: the header's fields and all (few) rows as an array under ``name``."""
+    """One row: the header's fields and all rows as an array under ``name``. Refuses more than ``MOST_IN_ENVELOPE``: such
+    tables are written as they are, beside a table of one row for the header."""
+    if rows.limit(MOST_IN_ENVELOPE + 1).count() > MOST_IN_ENVELOPE:
+        raise ValueError(f"more than {MOST_IN_ENVELOPE} rows don't go into one envelope")
     collected = rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name))
     return collected.select(*(F.lit(v).alias(k) for k, v in header.items()), name)
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back, where it is used several times: into ``spark.checkpoint.dir``, or, on one machine
+    that has none, a temporary folder."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="veridex-")
+    path = f"{root.rstrip('/')}/veridex-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return of.getFileSystem(spark._jsc.hadoopConfiguration()).exists(of)
