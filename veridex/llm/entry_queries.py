@@ -13,7 +13,9 @@ from veridex.llm.grammar_shards import op8_grammar_shards
 from veridex.llm.html_extraction import op10_html_extraction
 from veridex.llm.near_duplicates import op6_near_duplicates
 from veridex.llm.packing import op3_packing
+from veridex.llm.periodic_runs import op12_periodic_runs
 from veridex.llm.personal_data import op1_personal_data, personal_data
+from veridex.llm.prefix_bpe import op11_prefix_bpe
 from veridex.llm.repetition_quality import op4_repetition_quality
 from veridex.llm.sentence_spans import op5_sentence_spans
 from veridex.llm.token_counts import op2_token_counts
@@ -36,10 +38,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grammar_shards": op8_grammar_shards,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
     "personal_data_base": personal_data_base,
 }
 
-#: Tokens, trees, samples, cuts and spans of sentences are beyond SQL: tests hold these against brute force.
+#: Tokens, trees, samples, cuts, refinements and spans of sentences are beyond SQL: tests hold these against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_repetition_quality": oracle_sql.quality(),
     "op7_url_rules": oracle_sql.url_rules(),
