@@ -160,16 +160,27 @@ def envelope(rows: DataFrame, name: str, **header: str) -> DataFrame:
     return collected.select(*(F.lit(v).alias(k) for k, v in header.items()), name)
 
 
+_own_root: str | None = None
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; on one machine that has none, one temporary
+    folder for the whole session."""
+    global _own_root
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if _own_root is None:
+        _own_root = "file://" + tempfile.mkdtemp(prefix="veridex-")
+    return _own_root
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read back, where it is used several times: into ``spark.checkpoint.dir``, or, on one machine
-    that has none, a temporary folder."""
+    """``df`` written to a folder of its own below ``shared_root`` and read back, where it is used several times."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="veridex-")
-    path = f"{root.rstrip('/')}/veridex-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/veridex-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
