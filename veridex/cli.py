@@ -1,6 +1,6 @@
 """Commands: ``example-patient``, ``fetch``, ``parse``, ``retrieve``, ``evaluate``, ``rank``.
 
-Exit 0, 2 without a judge, 3 after a call that failed for good; what was done by then is kept and a second run goes on.
+Exit 0, 2 without a judge, 3 where a call failed for good; every other call's answer is kept, and a second run asks for the rest.
 """
 
 from __future__ import annotations
@@ -9,15 +9,15 @@ import argparse
 import json
 import sys
 import time
+import uuid
 from datetime import date, datetime, timezone
 from pathlib import Path
 
-from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridex.functions.text import tokens
-from veridex.operators import ingest, judging, patient, report, retrieval, scoring
+from veridex.operators import answers, ingest, judging, patient, report, retrieval, scoring
 from veridex.operators.judging import Judge, JudgeError, JudgeUnavailable, RulesJudge
 from veridex.sources import readers
 
@@ -45,12 +45,15 @@ def decorated() -> list:
 def evaluate(spark: SparkSession, trials: DataFrame, people: DataFrame, as_of: date, judge: Judge, second: Judge | None, out: str, chosen: DataFrame | None = None, version: str = "none") -> DataFrame:
     """Every criterion of the pairs of patient and trial that aren't done in ``out`` yet; returns their evaluations.
 
-    Without ``chosen`` (candidates) each of a few patients is held against each trial."""
-    began, now = time.monotonic(), {"prompt_version": version, "as_of": as_of.isoformat(), "judge": judging.described(judge), "second": judging.described(second)}
-    if readers.exists(spark, f"{out}/run"):
-        done = json.loads(spark.read.text(f"{out}/run").filter("value <> ''").limit(1).first()["value"])
-        judging.same_run(done, now, ("prompt_version", "as_of", "judge", "second"))
+    Without ``chosen`` (candidates) each of a few patients is held against each trial. Answers are kept as they come; a pair
+    with a failed call is left for the next run, which asks for that call alone, and JudgeError is raised once all else is
+    written. ``verdicts`` and ``trials`` have the run's name: verdicts count where ``trials``, written last, has their run."""
+    began, name = time.monotonic(), uuid.uuid4().hex
+    now = {"prompt_version": version, "as_of": as_of.isoformat(), "judge": judging.described(judge), "second": judging.described(second)}
     judge.ready()
+    if readers.exists(spark, f"{out}/settings"):
+        done = json.loads(spark.read.text(f"{out}/settings").filter("value <> ''").first()["value"])
+        judging.same_run(done, now, ("prompt_version", "as_of", "judge", "second"))
     if chosen is None:
         if people.limit(MOST_PATIENTS + 1).count() > MOST_PATIENTS:
             raise ValueError(f"more than {MOST_PATIENTS} patients: give their candidates")
@@ -58,20 +61,41 @@ def evaluate(spark: SparkSession, trials: DataFrame, people: DataFrame, as_of: d
     if readers.exists(spark, f"{out}/trials"):
         chosen = judging.still_to_do(chosen, spark.read.parquet(f"{out}/trials"), PAIR)
     chosen = readers.scratch(chosen.select(*PAIR, "retrieval_score"), "pairs")
-    rows = judging.evaluate(chosen, ingest.criteria_rows(trials), people.select("patient_id", patient.summary(as_of).alias("profile")), judge, second, readers.scratch)
+    if not readers.exists(spark, f"{out}/settings"):
+        spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.text(f"{out}/settings")
+    rows, missing = answers.evaluate(chosen, ingest.criteria_rows(trials), people.select("patient_id", patient.summary(as_of).alias("profile")), judge, second, f"{out}/answers")
     rows = readers.scratch(rows.withColumns({"reasoning": F.col("final.reasoning"), "evidence": F.col("final.patient_feature")}), "verdicts")
-    readers.append_log(judging.call_log(rows, version), f"{out}/log")
-    rows.write.mode("append").parquet(f"{out}/verdicts")
-    about = chosen.join(trials.select("nct_id", "title", "phase", F.transform("interventions", lambda i: i["name"]).alias("interventions")), "nct_id")
+    write_log(spark, trials, out, version)
+    about = judging.still_to_do(chosen, missing, PAIR).join(trials.select("nct_id", "title", "phase", F.transform("interventions", lambda i: i["name"]).alias("interventions")), "nct_id")
     found = readers.scratch(scoring.evaluated(about, rows, PAIR, details=("kind", "text", "reasoning", "evidence")), "evaluated")
-    found.write.mode("append").parquet(f"{out}/trials")
+    for table, what in (("verdicts", rows), ("trials", found)):
+        if table == "verdicts" or not what.isEmpty():
+            what.withColumn("run", F.lit(name)).write.mode("append").partitionBy("run").parquet(f"{out}/{table}")
     spark.createDataFrame([(json.dumps(now | {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "wall_time_s": round(time.monotonic() - began, 1), "runtime": judging.runtime()}),)], "value string").write.mode("append").text(f"{out}/run")
+    if (first := missing.limit(1).collect()):
+        raise JudgeError(f"{missing.count()} calls failed; all else is in {out}. One of them: {first[0]['error']}")
     return found
 
 
+def write_log(spark: SparkSession, trials: DataFrame, out: str, version: str) -> None:
+    """Appends the calls of those chunks of answers to the log that it doesn't have yet, whichever run made them."""
+    made = answers.kept(spark, f"{out}/answers", {"patient_id": "string", "nct_id": "string", "pos": "int"})
+    if readers.exists(spark, f"{out}/log"):
+        made = made.join(spark.read.schema("chunk STRING").json(f"{out}/log").distinct(), "chunk", "left_anti")
+    criteria = ingest.criteria_rows(trials).select("nct_id", "pos", "kind", "idx")
+    rows = judging.call_log(made.join(criteria, ["nct_id", "pos"]), version, "chunk")
+    rows.write.mode("append").partitionBy("chunk").json(f"{out}/log")
+
+
+def finished(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Trials and their verdicts; those of a run that broke off before its trials were written aren't among them."""
+    trials = spark.read.parquet(f"{out}/trials")
+    return trials, spark.read.parquet(f"{out}/verdicts").join(trials.select("run").distinct(), "run", "left_semi")
+
+
 def summary(spark: SparkSession, out: str, patient_id: str | None = None) -> dict:
     """The run's headline numbers, of one patient or of all; wall time is summed up over resumed runs."""
-    trials, rows = spark.read.parquet(f"{out}/trials"), spark.read.parquet(f"{out}/verdicts")
+    trials, rows = finished(spark, out)
     if patient_id is not None:
         trials, rows = (t.filter(F.col("patient_id") == patient_id) for t in (trials, rows))
     runs = [json.loads(r["value"]) for r in spark.read.text(f"{out}/run").filter("value <> ''").collect()]  # one small row a run
@@ -82,7 +106,8 @@ def summary(spark: SparkSession, out: str, patient_id: str | None = None) -> dic
 
 def write_reports(spark: SparkSession, evaluated: str, people: DataFrame, out: str, top: int) -> list[str]:
     """A markdown report for each of a few patients; returns their paths."""
-    trials, rows = spark.read.parquet(f"{evaluated}/trials").withColumn("position", F.col("nct_id")), spark.read.parquet(f"{evaluated}/verdicts")
+    trials, rows = finished(spark, evaluated)
+    trials = trials.withColumn("position", F.col("nct_id"))
     ids = [r["patient_id"] for r in trials.select("patient_id").distinct().orderBy("patient_id").limit(MOST_PATIENTS + 1).collect()]
     if len(ids) > MOST_PATIENTS:
         raise ValueError(f"more than {MOST_PATIENTS} patients: read the tables instead")
@@ -146,11 +171,6 @@ def main(argv: list[str] | None = None) -> int:
     except JudgeError as e:
         print(e, file=sys.stderr)
         return 3
-    except PythonException as e:  # a worker's exception comes as its text
-        if "JudgeError" not in str(e):
-            raise
-        print(str(e).strip().splitlines()[-1], file=sys.stderr)
-        return 3
     return 0
 
 

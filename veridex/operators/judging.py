@@ -1,7 +1,8 @@
 """Judges as plug-ins, and the cascade: a cheap judge for all, a second one for uncertain verdicts.
 
-A judge's calls are costly and not repeatable, so their results are written before anything reads them twice; they run
-in ``mapInArrow`` with retries inside the call, and only rows in the band reach the second judge.
+A judge's calls are costly and not repeatable, so their results are written before anything reads them twice (``answers``);
+they run in ``mapInArrow`` with retries inside the call, a failed call is a row, and only rows in the band reach the second
+judge.
 """
 
 from __future__ import annotations
@@ -173,8 +174,9 @@ def with_retries(call: Callable[[], T], most: int = 4, base: float = 1.0, sleep:
     for attempt in range(1, most + 1):
         try:
             return call(), attempt
-        except TransientJudgeError:
-            if attempt == most:
+        except JudgeError as e:
+            if attempt == most or not isinstance(e, TransientJudgeError):
+                e.attempts = attempt
                 raise
             sleep(base * 2 ** (attempt - 1) * (1 + random.uniform(0, 0.25)))
     raise AssertionError
@@ -209,23 +211,34 @@ def rules_column(criterion: Column, rules: Sequence[tuple[Sequence[str], bool |
     return out
 
 
-def judged(rows: DataFrame, judge: Judge, profile: str, criterion: str, name: str, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``rows`` and the struct column ``name`` of a judge's results. To be written before it is read twice."""
+def judged(rows: DataFrame, judge: Judge, profile: str, criterion: str, name: str, sleep: Callable[[float], None] = time.sleep, give_up: int = 20) -> DataFrame:
+    """``rows`` and the struct column ``name`` of a judge's results. To be written before it is read twice.
+
+    A call that fails for good has its ``error`` and nothing else. A task whose calls fail ``give_up`` times in a row makes no
+    more: the rest are errors with no attempt."""
     judge.ready()
     kind = rows.sparkSession.createDataFrame([], f"x {RESULT}").schema["x"]
     schema = StructType([*rows.schema.fields, StructField(name, kind.dataType)])
     at = [rows.columns.index(c) for c in (profile, criterion)]
+    nothing = dict.fromkeys(kind.dataType.names) | {"backend": judge.backend, "model": judge.model}
 
     def one(about: str, text: str) -> dict:
         began = time.monotonic()
-        done, attempts = with_retries(lambda: judge.complete(about, text), sleep=sleep)
-        return parsed_or_error(done.text) | {"backend": judge.backend, "model": judge.model, "latency_s": round(time.monotonic() - began, 3), "input_tokens": done.input_tokens, "output_tokens": done.output_tokens, "attempts": attempts, "raw_output": done.text}
+        try:
+            done, attempts = with_retries(lambda: judge.complete(about, text), sleep=sleep)
+        except JudgeError as e:
+            return nothing | {"latency_s": round(time.monotonic() - began, 3), "attempts": getattr(e, "attempts", 1), "error": f"{type(e).__name__}: {e}"}
+        return nothing | parsed_or_error(done.text) | {"latency_s": round(time.monotonic() - began, 3), "input_tokens": done.input_tokens, "output_tokens": done.output_tokens, "attempts": attempts, "raw_output": done.text}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        failed = 0
         for batch in batches:
-            found = [one(p or "", t or "") for p, t in zip(*(batch.column(k).to_pylist() for k in at))]
+            found = []
+            for p, t in zip(*(batch.column(k).to_pylist() for k in at)):
+                found.append(one(p or "", t or "") if failed < give_up else nothing | {"attempts": 0, "error": f"not asked after {failed} failures in a row"})
+                failed = failed + (found[-1]["attempts"] > 0) if found[-1]["error"] else 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, to_arrow_type(kind.dataType))], [*batch.schema.names, name])
 
     return rows.mapInArrow(run, schema)
@@ -253,18 +266,18 @@ def verdicts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pass_confidence", scoring.pass_confidence(F.col("passes"), F.col("confidence")))
 
 
-def call_log(rows: DataFrame, version: str) -> DataFrame:
-    """A log row for each call of written verdicts, to be appended as JSON lines."""
-    from functools import reduce
+def call_log(rows: DataFrame, version: str, *more: str) -> DataFrame:
+    """A log row for each call that was made, to be appended as JSON lines: of ``answer``, the struct of one call, or of
+    ``local`` and ``api``."""
 
     def of(side: str) -> DataFrame:
         s = F.col(side)
-        return rows.filter(s.isNotNull()).select(
+        return rows.filter(s.isNotNull() & (F.coalesce(s["attempts"], F.lit(1)) > 0)).select(
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ts"), s["backend"].alias("backend"), s["model"].alias("model"), F.lit(version).alias("prompt_version"), F.lit(0.0).alias("temperature"),
-            "patient_id", "nct_id", F.col("kind").alias("criterion_kind"), F.col("idx").alias("criterion_idx"), *(s[c].alias(c) for c in ("latency_s", "attempts", "input_tokens", "output_tokens", "eligible", "confidence", "repaired", "parse_error", "raw_output")),
+            "patient_id", "nct_id", F.col("kind").alias("criterion_kind"), F.col("idx").alias("criterion_idx"), *(s[c].alias(c) for c in ("latency_s", "attempts", "error", "input_tokens", "output_tokens", "eligible", "confidence", "repaired", "parse_error", "raw_output")), *more,
         )
 
-    return reduce(DataFrame.unionByName, map(of, ("local", "api")))
+    return of("answer") if "answer" in rows.columns else of("local").unionByName(of("api"))
 
 
 def same_run(done: dict, now: dict, keys: Sequence[str] = ("patient_id", "prompt_version", "as_of", "judge")) -> None:
@@ -285,20 +298,3 @@ def still_to_do(trials: DataFrame, done: DataFrame, key: str | Sequence[str]) ->
 
 def resumed(done: DataFrame, new: DataFrame) -> DataFrame:
     return done.unionByName(new, allowMissingColumns=True)
-
-
-def evaluate(pairs: DataFrame, criteria: DataFrame, profiles: DataFrame, judge: Judge, second: Judge | None, keep: Callable[[DataFrame, str], DataFrame], keys: Sequence[str] = ("patient_id", "nct_id")) -> DataFrame:
-    """Verdicts of every criterion of every pair of patient and trial (``pairs``).
-
-    ``criteria`` has ``nct_id, pos, kind, idx, text, features``, ``profiles`` ``patient_id, profile``. ``keep`` writes a
-    table and reads it back: each judge's answers are written before they are used, and the second judge is asked for
-    verdicts in the band alone."""
-    rows = pairs.select(*keys).join(criteria, "nct_id").join(profiles, "patient_id")
-    if second is not None:
-        second.ready()
-    local = keep(judged(rows, judge, "profile", "text", "local"), "local")
-    asked = None
-    if second is not None:
-        band = local.filter(scoring.in_band(F.col("local.confidence"))).select(*keys, "pos", "profile", "text")
-        asked = keep(judged(band, second, "profile", "text", "api").select(*keys, "pos", "api"), "api")
-    return verdicts(cascade(local.drop("profile"), asked, [*keys, "pos"]))

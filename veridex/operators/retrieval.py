@@ -1,17 +1,24 @@
-"""Hybrid retrieval: BM25 over postings, cosine over vectors, fused by reciprocal rank."""
+"""Hybrid retrieval: BM25 over postings, cosine over vectors, fused by reciprocal rank.
+
+No table has a row for each pair of a document and a query. A document without a word of a query has score 0, and its rank
+follows from counts; vectors are scored a batch at a time by one matrix product, of which each task keeps the best rows of
+each query; and ranks of a few documents among all come from counting, not from sorting."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from veridex.functions.text import tokens
 
@@ -20,8 +27,11 @@ K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 NO_TOKEN = "_empty_"
 
 
-#: Queries that are scored against the whole corpus at once; more are taken in blocks.
-QUERY_BLOCK = 1000
+#: Queries that are scored against the whole corpus at once, and places in all their lists that tasks get to know; more
+#: queries are taken in blocks.
+QUERY_BLOCK, MOST_PLACES = 1000, 200_000
+#: Documents of a block of postings, on average.
+POSTING_BLOCK = 16
 #: Rows that ``fingerprint`` takes; it puts them in order in one place.
 MOST_ORDERED = 10_000
 
@@ -37,6 +47,17 @@ def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "dl")
 
 
+def indexed(docs: DataFrame, doc: str, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, int, int]:
+    """Postings, written, and the number of documents and of their tokens, counted on the way: texts are read once."""
+    seen = Observation()
+    words = docs.select(F.col(doc).alias("doc"), _words(text).alias("words")).select("doc", "words", F.size("words").alias("dl")).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("length"))
+    posts = keep(words.select("doc", "dl", F.explode("words").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).select("doc", "term", "tf", "dl"), "postings")
+    try:
+        return posts, seen.get["n"], seen.get["length"] or 0
+    except Py4JJavaError:  # an empty plan was left out, and what observes it
+        return posts, 0, 0
+
+
 def corpus_totals(docs: DataFrame, text: str) -> DataFrame:
     """One row, ``n, avgdl``: documents and their mean number of tokens, before any is exploded."""
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(_words(text))).alias("avgdl"))
@@ -46,23 +67,71 @@ def _totals(posts: DataFrame) -> DataFrame:
     return posts.groupBy("doc").agg(F.min("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_statistics(posts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """``term, df, idf``: negative weights become a share of the mean weight of all terms."""
-    totals = _totals(posts) if totals is None else totals
-    counted = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n")))  # one row
-    raw = counted.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """``term, df`` straight from the texts: one shuffle, of partial counts."""
+    return docs.select(F.explode(F.array_distinct(_words(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def weighed(counted: DataFrame, totals: DataFrame) -> DataFrame:
+    """``term, df, idf`` from ``term, df`` and the number ``n`` of documents: negative weights become a share of the mean
+    weight of all terms."""
+    raw = counted.crossJoin(F.broadcast(totals.select("n")))  # one row
+    raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_statistics(posts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """``term, df, idf`` of all terms of the postings."""
+    return weighed(posts.groupBy("term").agg(F.count("*").alias("df")), _totals(posts) if totals is None else totals)
+
+
+def saturation(avgdl: Column) -> Column:
+    """What a posting adds to a score for each unit of its term's weight."""
+    tf, dl = F.col("tf"), F.col("dl")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _weights(query_terms: DataFrame, statistics: DataFrame) -> DataFrame:
+    asked = query_terms.groupBy("query", "term").agg(F.count("*").alias("times"))
+    return asked.join(statistics, "term").select("query", "term", (F.col("times") * F.col("idf")).alias("w"))
+
+
 def bm25(posts: DataFrame, query_terms: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """``query, doc, score`` of documents that share a term; ``query_terms`` (``query, term``) keeps repeated tokens."""
     totals = _totals(posts) if totals is None else totals
-    asked = query_terms.groupBy("query", "term").agg(F.count("*").alias("times"))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    weights = asked.join(term_statistics(posts, totals), "term").crossJoin(F.broadcast(totals.select("avgdl")))  # one row
-    return posts.join(weights, "term").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    weights = _weights(query_terms, term_statistics(posts, totals)).crossJoin(F.broadcast(totals.select("avgdl")))  # one row
+    return posts.join(weights, "term").groupBy("query", "doc").agg(F.sum(F.col("w") * saturation(F.col("avgdl"))).alias("score"))
+
+
+def blocked(posts: DataFrame, totals: DataFrame, size: int = POSTING_BLOCK) -> DataFrame:
+    """Postings by term and block of some ``size`` documents: ``term, block, most, n, entries``. ``most`` is the largest
+    ``saturation`` of the block's ``n`` postings, ``entries`` each one's ``doc`` and own. To be written; in order of terms, so
+    that a reader of a few terms skips the rest."""
+    rows = posts.crossJoin(F.broadcast(totals)).select("term", "doc", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / size)).alias("block"), saturation(F.col("avgdl")).alias("s"))  # one row
+    return rows.groupBy("term", "block").agg(F.max("s").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc", "s")).alias("entries")).sortWithinPartitions("term")
+
+
+def bm25_best(blocks: DataFrame, query_terms: DataFrame, totals: DataFrame, most: int, keep: Callable[[DataFrame, str], DataFrame], digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` best documents of each query (``query, doc, score, rank``), exactly, and the blocks that were read for it
+    (``query, block, bound``); ``blocks`` are ``blocked`` postings, written.
+
+    A block's bound is the sum over a query's terms of weight times ``most``. The blocks with the largest bounds are read
+    first; a block whose bound is below the last of the best documents in these can't have a better one and isn't read."""
+    statistics = weighed(blocks.groupBy("term").agg(F.sum("n").alias("df")), totals)
+    weights = keep(_weights(query_terms, statistics), "weights")
+    bound = F.sum(F.greatest(F.col("w") * F.col("most"), F.lit(0.0))).alias("bound")
+    bounds = keep(blocks.select("term", "block", "most").join(weights, "term").groupBy("query", "block").agg(bound), "bounds")
+
+    def top(some: DataFrame) -> DataFrame:
+        hits = blocks.select("term", "block", "entries").join(weights, "term").join(some.select("query", "block"), ["query", "block"])
+        hits = hits.select("query", "w", F.explode("entries").alias("e")).groupBy("query", F.col("e.doc").alias("doc")).agg(F.round(F.sum(F.col("w") * F.col("e.s")), digits).alias("score"))
+        return best(hits, most)
+
+    first = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block"))).filter(F.col("place") <= most)
+    last = top(first).filter(F.col("rank") == most).select("query", (F.col("score") - 10.0 ** (1 - digits)).alias("least"))
+    read = keep(bounds.join(last, "query", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).drop("least"), "read")
+    return top(read), read
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -109,20 +178,81 @@ def encoded(rows: DataFrame, key: str, text: str, encoder: Encoder, name: str =
     return made.select(key, normalised(F.col(name)).alias(name))
 
 
-def blocks(queries: DataFrame, key: str = "query") -> Iterator[DataFrame]:
-    """``queries`` in parts of at most ``QUERY_BLOCK`` keys, each small enough to be broadcast."""
+def blocks(queries: DataFrame, key: str = "query", most: int | None = None) -> Iterator[DataFrame]:
+    """``queries`` in parts of at most ``most`` keys (``QUERY_BLOCK``), dealt by the keys' hashes."""
+    most = most or QUERY_BLOCK
     n = queries.select(key).distinct().count()
-    parts = -(-n // QUERY_BLOCK)
-    if parts <= 1:
+    if n <= most:
         yield queries
         return
-    keys = queries.select(key).distinct().withColumn("_part", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / QUERY_BLOCK))
-    for k in range(parts):
-        yield queries.join(keys.filter(F.col("_part") == k).select(key), key, "left_semi")
+    parts = -(-n // most)
+    while True:
+        part = F.pmod(F.xxhash64(key), F.lit(parts))
+        sizes = {r["p"]: r["count"] for r in queries.select(key).distinct().groupBy(part.alias("p")).count().collect()}  # a row a block
+        if max(sizes.values()) <= most:
+            break
+        parts *= 2
+    for k in sorted(sizes):
+        yield queries.filter(part == k)
+
+
+def _matrix(queries: DataFrame) -> tuple[list, np.ndarray]:
+    """Keys and vectors of a block of queries, one column each; at most ``QUERY_BLOCK`` rows reach the driver."""
+    rows = queries.select("query", F.col("vector").cast("array<double>").alias("vector")).toArrow()
+    if len(rows) > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries in a block")
+    return rows.column("query").to_pylist(), np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(rows), -1).T
+
+
+def _products(batch: pa.RecordBatch, matrix: np.ndarray, digits: int) -> np.ndarray:
+    """Scores of a batch (``doc, embedding``) by query."""
+    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+    return np.round(flat.reshape(len(batch), -1).astype(np.float64) @ matrix, digits)
+
+
+def _array(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def cosine_best(vectors: DataFrame, queries: DataFrame, most: int, digits: int = 9) -> DataFrame:
+    """The ``most`` best of ``doc, embedding`` for each query of a block (``query, vector``): ``query, doc, score, rank``.
+
+    One matrix product for each Arrow batch; a task keeps and sends ``most`` rows of each query. Vectors have one length, and
+    neither null vectors nor null documents are taken."""
+    keys, matrix = _matrix(queries)
+    kinds = {c: t.dataType.simpleString() for c, t in (("query", queries.schema["query"]), ("doc", vectors.schema["doc"]))}
+    key_type, doc_type = (DataType.fromDDL(k) for k in kinds.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, object))] * len(keys)
+        for batch in batches:
+            if not len(batch):
+                continue
+            docs, scores = _array(batch.column(0)), _products(batch, matrix, digits)
+            least = np.partition(scores, -most, axis=0)[-most] if len(batch) > most else np.full(len(keys), -np.inf)
+            for q in range(len(keys)):
+                if len(held[q][0]) == most and least[q] < held[q][0][-1]:
+                    good = scores[:, q] >= held[q][0][-1]
+                else:
+                    good = scores[:, q] >= least[q]
+                s, d = np.concatenate([held[q][0], scores[good, q]]), np.concatenate([held[q][1], docs[good].astype(object)])
+                by = sorted(range(len(s)), key=lambda i: (-s[i], d[i]))[:most]
+                held[q] = s[by], d[by]
+        n = [len(s) for s, _ in held]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, c in zip(keys, n) for _ in range(c)], to_arrow_type(key_type)), pa.array([x for _, d in held for x in d], to_arrow_type(doc_type)), pa.array(np.concatenate([s for s, _ in held]))], ["query", "doc", "score"]
+            )
+
+    some = vectors.select("doc", "embedding").filter("doc is not null and embedding is not null")
+    return best(some.mapInArrow(run, f"query {kinds['query']}, doc {kinds['doc']}, score double"), most)
 
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, doc, score`` of every vector for every query (``query, vector``), a block of queries at a time."""
+    """``query, doc, score`` of every vector for every query (``query, vector``), for those who want whole lists: a row for
+    each pair, a block of queries at a time."""
     score = dot(F.col("embedding"), F.col("vector")).alias("score")
     return reduce(DataFrame.union, (vectors.crossJoin(F.broadcast(q)).select("query", "doc", score) for q in blocks(queries)))  # a block at most
 
@@ -146,42 +276,140 @@ def fused(rankings: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
     return every.groupBy("query", "doc").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
 
 
+def _places(scores: np.ndarray, docs: np.ndarray, some: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each row, how many of ``some`` (by score falling, then document) don't come after it."""
+    wanted, names = some
+    left, right = np.searchsorted(-wanted, -scores, "left"), np.searchsorted(-wanted, -scores, "right")
+    for at in np.unique(left[left < right]):
+        rows = np.flatnonzero((left == at) & (left < right))
+        right[rows] = at + np.searchsorted(names[at : right[rows[0]]], docs[rows], "right")
+    return right
+
+
+Lists = dict[object, tuple[np.ndarray, np.ndarray]]
+
+
+def _lists(some: DataFrame) -> Lists:
+    """``query, doc, score`` as sorted arrays by query; ``MOST_PLACES`` rows at most reach the driver."""
+    rows = some.select("query", "doc", "score").limit(MOST_PLACES + 1).toArrow()
+    if len(rows) > MOST_PLACES:
+        raise ValueError(f"more than {MOST_PLACES} places in a block")
+    query, doc, score = (rows.column(c).to_pylist() for c in ("query", "doc", "score"))
+    out: dict[object, list] = {}
+    for q, d, s in zip(query, doc, score):
+        out.setdefault(q, []).append((-s, d))
+    return {q: (np.array([-s for s, _ in sorted(x)]), np.array([d for _, d in sorted(x)])) for q, x in out.items()}
+
+
+def _counted(counts: dict[object, np.ndarray], kind: DataType) -> Iterator[pa.RecordBatch]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    at = [(q, k, int(n)) for q, c in counts.items() for k, n in enumerate(c) if n]
+    if at:
+        q, k, n = zip(*at)
+        yield pa.RecordBatch.from_arrays([pa.array(q, to_arrow_type(kind)), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["query", "place", "n"])
+
+
+def _ranks(counts: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """``some`` with its ranks, from the numbers of rows by place: those before the k-th of the list have places up to k."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    at = some.withColumn("at", F.row_number().over(order) - 1)
+    rows = at.select("query", F.col("at").alias("place"), F.lit(0).cast("long").alias("n"), "doc", "score").unionByName(counts.groupBy("query", "place").agg(F.sum("n").alias("n")), allowMissingColumns=True)
+    upto = F.sum("n").over(Window.partitionBy("query").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn(name, upto + 1).filter("doc is not null").select("query", "doc", "score", name)
+
+
 def ranks_of(scores: DataFrame, some: DataFrame, name: str) -> DataFrame:
-    """``query, doc, score, name`` of ``some`` (``query, doc``), few for each query: their ranks among all ``scores``.
-
-    No query's scores are sorted: each row is placed among the few by its score and document, rows are counted by place,
-    and a rank is the sum of the counts up to it."""
-    order = F.struct((-F.col("score")).alias("s"), F.col("doc").alias("d"))
-    few = scores.join(some, ["query", "doc"]).select("query", order.alias("o"))
-    few = few.groupBy("query").agg(F.sort_array(F.collect_list("o")).alias("few"))
-    place = F.size(F.filter("few", lambda t: t < order))
-    counts = scores.join(F.broadcast(few), "query").groupBy("query", place.alias("place")).agg(F.count("*").alias("n"))  # a block's queries with a few rows each
-    upto = counts.withColumn("rank", F.sum("n").over(Window.partitionBy("query").orderBy("place")))
-    ends = few.select("query", F.posexplode("few").alias("at", "o"))
-    found = ends.join(upto.select("query", "place", "rank"), "query").filter("place <= at").groupBy("query", "at", "o").agg(F.max("rank").alias(name))
-    return found.select("query", F.col("o.d").alias("doc"), (-F.col("o.s")).alias("score"), name)
-
-
-def search(posts: DataFrame, query_terms: DataFrame, vectors: DataFrame, query_vectors: DataFrame, top_k: int, totals: DataFrame | None = None, digits: int = 9) -> DataFrame:
+    """``query, doc, score, name`` of ``some`` (``query, doc, score``; at most ``MOST_PLACES``): how many rows of ``scores``
+    come before each, and one more.
+
+    No query's scores are sorted: each task finds the place of its rows in the query's short list by halving, and counts
+    rows by place."""
+    lists, kind = _lists(some), scores.schema["query"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {q: np.zeros(len(x[0]) + 1, np.int64) for q, x in lists.items()}
+        for batch in batches:
+            named = batch.column(0).dictionary_encode()
+            query, doc, score = _array(named.indices), _array(batch.column(1)), _array(batch.column(2))
+            for k, q in enumerate(named.dictionary.to_pylist()):
+                if q in lists:
+                    rows = query == k
+                    counts[q] += np.bincount(_places(score[rows], doc[rows], lists[q]), minlength=len(counts[q]))
+        yield from _counted(counts, kind)
+
+    counts = scores.select("query", "doc", F.col("score").cast("double").alias("score")).mapInArrow(run, f"query {kind.simpleString()}, place long, n long")
+    return _ranks(counts, some, name)
+
+
+def cosine_ranks(vectors: DataFrame, queries: DataFrame, some: DataFrame, name: str, digits: int = 9) -> DataFrame:
+    """``ranks_of`` among the scores of all vectors, which are counted as they are made."""
+    keys, matrix = _matrix(queries)
+    lists, kind = _lists(some), queries.schema["query"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {q: np.zeros(len(x[0]) + 1, np.int64) for q, x in lists.items()}
+        for batch in batches:
+            if len(batch):
+                docs, scores = _array(batch.column(0)), _products(batch, matrix, digits)
+                for k, q in enumerate(keys):
+                    if q in lists:
+                        counts[q] += np.bincount(_places(scores[:, k], docs, lists[q]), minlength=len(counts[q]))
+        yield from _counted(counts, kind)
+
+    counts = vectors.select("doc", "embedding").filter("doc is not null and embedding is not null").mapInArrow(run, f"query {kind.simpleString()}, place long, n long")
+    return _ranks(counts, some, name)
+
+
+def lexical_ranks(hits: DataFrame, docs: DataFrame, some: DataFrame, name: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``query, doc, score, name`` of ``some`` (``query, doc``) among all ``docs``, where ``hits`` (``query, doc, score``) are
+    those with a score other than 0 and all others follow each other by document.
+
+    Of the documents with score 0 those before one are all that are smaller, less the smaller hits."""
+    scored = keep(some.join(hits, ["query", "doc"], "left").select("query", "doc", F.coalesce("score", F.lit(0.0)).alias("score")), "few")
+    zero, other = scored.filter("score = 0"), scored.filter("score <> 0")
+    numbers = hits.groupBy("query").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("hits"))
+    flat = lambda rows: rows.withColumn("score", F.lit(0.0))
+    all_smaller = ranks_of(docs.select(F.lit(0).alias("query"), "doc", F.lit(0.0).alias("score")), zero.select(F.lit(0).alias("query"), "doc", "score").distinct(), "all").select("doc", "all")
+    hit_smaller = ranks_of(flat(hits), zero, "hit").select("query", "doc", "hit")
+    below = zero.join(all_smaller, "doc").join(hit_smaller, ["query", "doc"]).join(numbers, "query", "left")
+    below = below.select("query", "doc", "score", (F.coalesce("above", F.lit(0)) + F.col("all") - F.col("hit") + 1).alias(name))
+    n = docs.agg(F.count("*").alias("n"))
+    above = ranks_of(hits, other, name).join(numbers, "query").crossJoin(F.broadcast(n))  # one row
+    above = above.select("query", "doc", "score", F.when(F.col("score") > 0, F.col(name)).otherwise(F.col(name) + F.col("n") - F.col("hits")).alias(name))
+    return above.unionByName(below)
+
+
+def search(posts: DataFrame, query_terms: DataFrame, vectors: DataFrame, query_vectors: DataFrame, top_k: int, totals: DataFrame | None = None, digits: int = 9, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The ``top_k`` documents of each query by both rankings of the whole corpus; ties go to the better BM25 rank.
 
-    ``query, doc, bm25_score, bm25_rank, dense_score, dense_rank, rrf``; the corpus is what has postings and a vector. A document that is beyond rank 2 k + 59 in both
-    lists has a smaller sum than any of the first k of either has by one list alone (2 / (61 + 2 k + 59) = 1 / (60 + k)),
-    so only these few are fused; their ranks are those among all documents. Scores count to ``digits``."""
+    ``query, doc, bm25_score, bm25_rank, dense_score, dense_rank, rrf``; the corpus is what has postings and a vector. A document
+    that is beyond rank 2 k + 59 in both lists has a smaller sum than any of the first k of either has by one list alone
+    (2 / (61 + 2 k + 59) = 1 / (60 + k)), so only these few are fused; their ranks are those among all documents. Scores
+    count to ``digits``. ``keep`` writes a table and reads it back (default: ``readers.scratch``)."""
+    if keep is None:
+        from veridex.sources.readers import scratch as keep
     few = 2 * top_k + RRF_K - 1
-    vectors = vectors.join(posts.select("doc").distinct(), "doc", "left_semi")
+    docs = keep(vectors.select("doc").join(posts.select("doc").distinct(), "doc", "left_semi"), "docs")
+    vectors = vectors.join(docs, "doc", "left_semi")
+    head = docs.orderBy("doc").limit(2 * few)
     out = []
-    for asked in blocks(query_terms.join(query_vectors, "query", "left_semi")):
-        queries = asked.select("query").distinct()
-        hits = bm25(posts, asked, totals)
-        lexical = vectors.select("doc").crossJoin(F.broadcast(queries)).join(hits, ["query", "doc"], "left")  # a block of queries
-        lexical = lexical.select("query", "doc", F.round(F.coalesce("score", F.lit(0.0)), digits).alias("score"))
-        dense = cosine(vectors, query_vectors.join(queries, "query", "left_semi")).withColumn("score", F.round("score", digits))
-        some = best(lexical, few).select("query", "doc").union(best(dense, few).select("query", "doc")).distinct()
-        both = ranks_of(lexical, some, "bm25_rank").withColumnRenamed("score", "bm25_score").join(ranks_of(dense, some, "dense_rank").withColumnRenamed("score", "dense_score"), ["query", "doc"])
+    for asked in blocks(query_terms.join(query_vectors, "query", "left_semi"), most=max(1, min(QUERY_BLOCK, MOST_PLACES // (2 * few)))):
+        queries = keep(query_vectors.join(asked.select("query").distinct(), "query", "left_semi"), "queries")
+        hits = bm25(posts, asked, totals).join(docs, "doc", "left_semi").select("query", "doc", F.round("score", digits).alias("score"))
+        hits = keep(hits.filter("score <> 0"), "hits")
+        # where fewer hits than wanted are above 0, the list goes on with the smallest other documents
+        short = queries.select("query").join(hits.filter("score > 0").groupBy("query").count().filter(F.col("count") >= few), "query", "left_anti")
+        rest = head.crossJoin(F.broadcast(short)).join(hits, ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))  # 2 * few rows, a block of queries
+        lexical = best(hits.select("query", "doc", "score").unionByName(rest.select("query", "doc", "score")), few)
+        dense = cosine_best(vectors, queries, few, digits)
+        some = keep(lexical.select("query", "doc").union(dense.select("query", "doc")).distinct(), "some")
+        own = F.round(dot(F.col("embedding"), F.col("vector")), digits).alias("score")
+        scored = keep(vectors.join(some, "doc").join(queries, "query").select("query", "doc", own), "scored")
+        both = lexical_ranks(hits, docs, some, "bm25_rank", keep).withColumnRenamed("score", "bm25_score").join(cosine_ranks(vectors, queries, scored, "dense_rank", digits).withColumnRenamed("score", "dense_score"), ["query", "doc"])
         both = both.withColumn("rrf", 1.0 / (RRF_K + F.col("bm25_rank")) + 1.0 / (RRF_K + F.col("dense_rank")))
         order = Window.partitionBy("query").orderBy(F.col("rrf").desc(), F.col("bm25_rank").asc())
-        out.append(both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).drop("place"))
+        out.append(keep(both.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).drop("place"), "found"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -7,13 +7,16 @@ the retrieval score. All queries run over whole tables; searches take every row
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridex.functions import text as tx
-from veridex.operators import ingest, judging, judgment, patient, report, retrieval, scoring
+from veridex.operators import answers, ingest, judging, judgment, patient, report, retrieval, scoring
 from veridex.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,14 +164,15 @@ i0 AS (SELECT term, df, ln(n-df+0.5)-ln(df+0.5) AS raw FROM r, n), i AS (SELECT
 
 
 def _postings(spark, sf_dir):
-    """Postings, written once, and the corpus totals."""
-    docs = _t(spark, sf_dir, "documents")
-    return readers.scratch(retrieval.postings(docs, "doc_id", "text"), "postings"), retrieval.corpus_totals(docs, "text")
+    """Postings, written once, and the corpus totals, counted while they are written."""
+    posts, n, length = retrieval.indexed(_t(spark, sf_dir, "documents"), "doc_id", "text", readers.scratch)
+    return posts, spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(length / max(n, 1)).alias("avgdl"))
 
 
 @query(f"WITH {P} SELECT term, df, round(idf,6) AS idf FROM i")
 def bm25_corpus_stats(spark, sf_dir):
-    return retrieval.term_statistics(*_postings(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = _t(spark, sf_dir, "documents")
+    return retrieval.weighed(retrieval.document_frequencies(docs, "text"), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _queries(spark, sf_dir):
@@ -185,8 +189,8 @@ b AS (SELECT query, doc_id AS doc, sum(times*idf*tf*2.5/(tf+1.5*(0.25+0.75*dl/av
 @query(f"WITH {BM} SELECT query, doc, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS rank FROM b) WHERE rank<=10")
 def bm25_topk(spark, sf_dir):
     posts, totals = _postings(spark, sf_dir)
-    scores = retrieval.bm25(posts, _queries(spark, sf_dir), totals)
-    top = retrieval.best(scores.withColumn("s", F.round("score", 9)), 10, "s")
+    blocks = readers.scratch(retrieval.blocked(posts, totals), "blocks")
+    top, _ = retrieval.bm25_best(blocks, _queries(spark, sf_dir), totals, 10, readers.scratch)
     return top.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -200,7 +204,8 @@ D = "d AS (SELECT q.vec_id AS query, e.vec_id AS doc, list_dot_product(e.embeddi
 
 @query(f"WITH {D} SELECT query, doc, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score,9) DESC, doc) AS rank FROM d) WHERE rank<=10")
 def dense_topk(spark, sf_dir):
-    top = retrieval.best(retrieval.cosine(*_vectors(spark, sf_dir)).withColumn("s", F.round("score", 9)), 10, "s")
+    vectors, asked = _vectors(spark, sf_dir)
+    top = reduce(DataFrame.union, (retrieval.cosine_best(vectors, some, 10) for some in retrieval.blocks(asked)))
     return top.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -416,6 +421,30 @@ def log_filter(spark, sf_dir):
     return readers.successful_local_calls(log).drop("error")
 
 
+@dataclass(frozen=True)
+class _Failing(judging.RulesJudge):
+    """Rules that have no answer where a text has the word ``without``."""
+
+    without: str = ""
+
+    def complete(self, profile, criterion):
+        if self.without in criterion.split():
+            raise judging.JudgeError("no answer")
+        return super().complete(profile, criterion)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN TRUE WHEN 'error' THEN FALSE END AS eligible, CASE WHEN event_type IN ('click','error') THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
+CASE WHEN event_id%7=3 THEN 2 ELSE 1 END AS n_calls, CASE WHEN event_id%7=3 THEN 1 ELSE 0 END AS n_failed FROM events""")
+def failed_calls(spark, sf_dir):
+    """A judge fails on each seventh event; a second run asks it for these alone."""
+    calls = _t(spark, sf_dir, "events").select("event_id", F.lit("p").alias("profile"), F.concat_ws(" ", "event_type", (F.col("event_id") % 7).cast("string")).alias("text"))
+    rules, path = ((("click",), True, 0.8), (("error",), False, 0.8)), f"{readers.shared_root(spark)}/answers-{uuid.uuid4().hex}"
+    for judge in (_Failing(rules, without="3"), judging.RulesJudge(rules)):
+        every = answers.asked(calls, judge, path, "local", ["event_id"], give_up=2**31)
+    ok = F.col("answer.error").isNull()
+    return every.groupBy("event_id").agg(F.bool_and(F.when(ok, F.col("answer.eligible"))).alias("eligible"), F.max(F.when(ok, F.col("answer.confidence"))).alias("confidence"), F.count("*").alias("n_calls"), F.count_if(~ok).alias("n_failed"))
+
+
 @query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))),'; ') AS priorities, count(DISTINCT o_orderstatus) AS n_status FROM orders GROUP BY 1")
 def distinct_sorted(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("priorities"), F.count_distinct("o_orderstatus").alias("n_status"))

@@ -20,7 +20,7 @@ PATIENT = """patient_id STRING, diagnosis STRING, stage STRING, age_years INT, s
   tmb DOUBLE, pd_l1_tps DOUBLE, msi_status STRING,
   treatment_history ARRAY<STRUCT<line: INT, drug: STRING, start_date: STRING, end_date: STRING, best_response: STRING, discontinuation_reason: STRING>>"""
 JUDGMENT = "eligible BOOLEAN, confidence DOUBLE, reasoning STRING, patient_feature STRING, repaired BOOLEAN, parse_error STRING"
-RESULT = f"STRUCT<eligible: BOOLEAN, confidence: DOUBLE, reasoning: STRING, patient_feature: STRING, backend: STRING, model: STRING, latency_s: DOUBLE, input_tokens: INT, output_tokens: INT, attempts: INT, repaired: BOOLEAN, parse_error: STRING, raw_output: STRING>"
+RESULT = f"STRUCT<eligible: BOOLEAN, confidence: DOUBLE, reasoning: STRING, patient_feature: STRING, backend: STRING, model: STRING, latency_s: DOUBLE, input_tokens: INT, output_tokens: INT, attempts: INT, repaired: BOOLEAN, parse_error: STRING, raw_output: STRING, error: STRING>"
 CALL_LOG = """ts STRING, backend STRING, model STRING, prompt_version STRING, temperature DOUBLE, patient_id STRING, nct_id STRING, criterion_kind STRING,
   criterion_idx INT, latency_s DOUBLE, attempts INT, error STRING, input_tokens INT, output_tokens INT, eligible BOOLEAN, confidence DOUBLE,
   repaired BOOLEAN, parse_error STRING, raw_output STRING"""

@@ -177,11 +177,12 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a folder of its own below ``shared_root`` and read back, where it is used several times."""
+def scratch(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written to a folder of its own below ``shared_root`` and read back, where it is used several times; in a
+    partition for each value of the columns ``by``, if parts of it are read alone."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/veridex-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
