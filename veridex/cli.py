@@ -153,7 +153,7 @@ def main(argv: list[str] | None = None) -> int:
             readers.write_json(readers.patients(spark, "example"), a.out)
         elif a.command == "fetch":
             spark.dataSource.register(readers.StudySource)
-            spark.read.format("studies").options(url=a.url, condition=a.condition, status=a.status, limit=str(a.top)).load().write.mode("overwrite").text(a.out)
+            spark.read.format("studies").options(url=a.url, condition=a.condition, status=a.status, limit=str(a.top)).load().select("study").write.mode("overwrite").text(a.out)
         elif a.command == "parse":
             ingest.parsed_trials(readers.studies(spark, a.studies)).withColumn("position", F.monotonically_increasing_id()).write.mode("overwrite").parquet(a.out)
         elif a.command == "retrieve":

@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from veridex.schemas import CALL_LOG, PATIENT, RETRIEVAL, STUDY, TRIAL
 
@@ -84,9 +86,14 @@ def successful_local_calls(log: DataFrame) -> DataFrame:
     return log.filter((F.col("backend") == "local") & (F.coalesce(F.col("error"), F.lit("")) == ""))
 
 
-def append_log(rows: DataFrame, path: str | None) -> None:
-    if path:
-        rows.write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str, batch: str) -> None:
+    """Adds a batch's rows to a log of JSON lines, in a partition of its own; a batch that comes again replaces itself."""
+    rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(path)
+
+
+def log_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream's present rows to a log, each once: what a failure makes Spark do again has the same batch."""
+    return rows.writeStream.foreachBatch(lambda some, k: append_log(some, path, str(k))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -99,14 +106,23 @@ def http_get(url: str) -> dict:
         return json.load(answer)
 
 
+def _page(url: str, condition: str, status: str, fields: Sequence[str], size: int, token: str | None, get: Callable[[str], dict]) -> dict:
+    asked = {"query.cond": condition, "pageSize": size, "fields": ",".join(fields), "filter.overallStatus": status} | ({"pageToken": token} if token else {})
+    return get(f"{url}?{urllib.parse.urlencode(asked)}")
+
+
+def _status(name: str) -> str:
+    if name not in STATUSES:
+        raise ValueError(f"status must be one of {STATUSES}")
+    return name
+
+
 def study_pages(url: str, condition: str, status: str, fields: Sequence[str], limit: int, get: Callable[[str], dict] = http_get, pause: float = 0.3) -> Iterator[dict]:
     """Raw studies page by page until a page is empty, has no token, or the limit is reached."""
-    if status not in STATUSES:
-        raise ValueError(f"status must be one of {STATUSES}")
+    _status(status)
     token, seen = None, 0
     while seen < limit:
-        asked = {"query.cond": condition, "pageSize": min(100, limit - seen), "fields": ",".join(fields)} | {"filter.overallStatus": status} | ({"pageToken": token} if token else {})
-        page = get(f"{url}?{urllib.parse.urlencode(asked)}")
+        page = _page(url, condition, status, fields, min(100, limit - seen), token, get)
         found = page.get("studies", [])
         yield from found[: limit - seen]
         seen, token = seen + len(found), page.get("nextPageToken")
@@ -115,31 +131,127 @@ def study_pages(url: str, condition: str, status: str, fields: Sequence[str], li
         time.sleep(pause)
 
 
+#: What the source calls the fields of the columns, and where a raw study has them.
+STUDY_COLUMNS = {
+    "nct_id": ("NCTId", ("identificationModule", "nctId")), "title": ("BriefTitle", ("identificationModule", "briefTitle")), "official_title": ("OfficialTitle", ("identificationModule", "officialTitle")),
+    "status": ("OverallStatus", ("statusModule", "overallStatus")), "study_type": ("StudyType", ("designModule", "studyType")), "sex": ("Sex", ("eligibilityModule", "sex")), "criteria": ("EligibilityCriteria", ("eligibilityModule", "eligibilityCriteria")),
+}
+
+
 class StudySource(DataSource):
-    """``spark.read.format("studies")`` over a paged HTTP source; one partition, since each page names the next."""
+    """``spark.read`` and ``spark.readStream.format("studies")`` over a paged HTTP source.
+
+    Columns: ``study`` (the raw study as JSON, with the fields of the option ``fields`` or all) and those of ``STUDY_COLUMNS``;
+    a schema of some of them makes the source send no other fields. Options: ``url, condition, status, fields, pause``, and
+    for batches ``limit`` and ``pushdown`` (``true``: a filter of the status is the source's own; the session needs
+    ``spark.sql.python.filterPushdown.enabled`` for that)."""
 
     @classmethod
     def name(cls) -> str:
         return "studies"
 
     def schema(self) -> str:
-        return "study string"
+        return "study string, nct_id string, status string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return (_PushedReader if self.options.get("pushdown") == "true" else _StudyReader)(_Asked(self.options, schema.names))
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _StudyStream(_Asked(self.options, schema.names))
+
+
+class _Asked:
+    """What a reader asks the source for."""
 
-    def reader(self, schema) -> DataSourceReader:
-        return _StudyReader(self.options)
+    def __init__(self, options: dict, columns: Sequence[str]):
+        if unknown := set(columns) - {"study", *STUDY_COLUMNS}:
+            raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
+        self.columns, self.url, self.condition = list(columns), options["url"], options.get("condition", "")
+        self.status = _status(options.get("status", "RECRUITING"))
+        self.limit, self.pause = int(options.get("limit", "100")), float(options.get("pause", "0.3"))
+        self.fields = [f for f in options.get("fields", "").split(",") if f]
+        if "study" not in columns or self.fields:
+            self.fields = list(dict.fromkeys([*self.fields, *(STUDY_COLUMNS[c][0] for c in columns if c != "study")]))
+
+    def row(self, study: dict) -> tuple:
+        return tuple(json.dumps(study, ensure_ascii=False) if c == "study" else self._value(study, STUDY_COLUMNS[c][1]) for c in self.columns)
+
+    @staticmethod
+    def _value(study: dict, path: tuple[str, str]) -> str | None:
+        return study.get("protocolSection", {}).get(path[0], {}).get(path[1])
+
+    def page(self, token: str | None, fields: Sequence[str] | None = None) -> dict:
+        return _page(self.url, self.condition, self.status, self.fields if fields is None else fields, 100, token, http_get)
 
 
 class _StudyReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+    """One partition, since each page names the next."""
 
-    def partitions(self) -> Sequence[InputPartition]:
-        return [InputPartition(0)]
+    def __init__(self, asked: _Asked):
+        self.asked, self.nothing = asked, False
 
-    def read(self, partition) -> Iterator[tuple[str]]:
-        o = self.options
-        for study in study_pages(o["url"], o.get("condition", ""), o.get("status", "RECRUITING"), [f for f in o.get("fields", "").split(",") if f], int(o.get("limit", "100"))):
-            yield (json.dumps(study, ensure_ascii=False),)
+    def partitions(self) -> Sequence[InputPartition]:
+        return [] if self.nothing else [InputPartition(0)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        a = self.asked
+        yield from map(a.row, study_pages(a.url, a.condition, a.status, a.fields, a.limit, pause=a.pause))
+
+
+class _PushedReader(_StudyReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        wanted = None
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("status",) and f.value in STATUSES:
+                self.nothing |= wanted not in (None, f.value)
+                self.asked.status = wanted = f.value
+            else:
+                yield f
+
+
+class _Page(InputPartition):
+    def __init__(self, token: str, begin: int, end: int | None):
+        self.token, self.begin, self.end = token, begin, end
+
+
+class _StudyStream(DataSourceStreamReader):
+    """Pages as they come to be. An offset is a page's number and token, and how many of its studies are taken; the driver
+    follows the tokens alone (it asks for ids), and each page is a task's. A page that has grown since goes on from there."""
+
+    def __init__(self, asked: _Asked):
+        self.asked, self.at = asked, self.initialOffset()
+
+    def initialOffset(self) -> dict:
+        return {"page": 0, "token": "", "taken": 0}
+
+    def _after(self, at: dict) -> tuple[dict, int]:
+        """The next page's offset, or the end of this one; and the number of this page's studies."""
+        found = self.asked.page(at["token"], [STUDY_COLUMNS["nct_id"][0]])
+        n, token = len(found.get("studies", [])), found.get("nextPageToken")
+        return ({"page": at["page"] + 1, "token": token, "taken": 0} if token and n else at | {"taken": max(n, at["taken"])}), n
+
+    def latestOffset(self) -> dict:
+        while True:
+            at = self.at
+            self.at, _ = self._after(at)
+            if self.at["page"] == at["page"]:
+                return self.at
+            time.sleep(self.asked.pause)
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        pages, at = [], start
+        while at["page"] < end["page"]:
+            following, n = self._after(at)
+            pages.append(_Page(at["token"], at["taken"], n))
+            if following["page"] == at["page"]:
+                raise ValueError(f"page {at['page']} of the source was followed by others before")
+            at = following
+        pages.append(_Page(at["token"], at["taken"], end["taken"]))
+        self.at = max(self.at, end, key=lambda o: (o["page"], o["taken"]))
+        return [p for p in pages if p.begin < p.end]
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        yield from map(self.asked.row, self.asked.page(partition.token).get("studies", [])[partition.begin : partition.end])
 
 
 def to_json(rows: DataFrame) -> DataFrame:
