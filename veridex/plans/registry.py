@@ -247,21 +247,31 @@ def section_split(spark, sf_dir):
     return d.select("doc_id", F.col("idx").cast("long").alias("idx"), F.trim(F.regexp_replace("x", "[ \t]+", " ")).alias("line"))
 
 
-SAMPLES = ("(1,'Histologically confirmed NSCLC with KRAS G12C mutation'),(2,'ECOG performance status of 0 to 1'),(3,'Aged at least 18 years'),(4,'Prior treatment with a KRAS inhibitor'),"
-  "(5,'No brain metastases'),(6,'EGFR exon 19 deletion or L858R; T790M allowed'),(7,'Adequate organ function'),(8,'ECOG <= 2'),(9,'ALK fusion or ROS1 rearrangement, previously on systemic therapy')")
-
-
-@query(rf"""SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(t),'\b({tx.BIOMARKERS})\b',1))),',') AS biomarkers,
-array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t,'(?i)\b({tx.MUTATIONS})\b',1), lambda x: upper(x)))),',') AS mutations,
-TRY_CAST(nullif(regexp_extract(t,'(?i)(?:age|aged)\s*(?:>=|≥|at least|of)\s*(\d+)\s*years?',1),'') AS INTEGER) AS min_age_years,
-regexp_matches(t,'(?i)\bbrain\s+metasta[sc]e[sd]?\b|CNS metasta') AS brain,
-regexp_matches(t,'(?i)\b(prior|previous|previously)\b.{{0,50}}?\b(treatment|therapy|line|systemic|chemotherapy|TKI|immunotherapy|inhibitor)\b') AS prior,
-TRY_CAST(nullif(greatest(regexp_extract(t,'(?i)ECOG.{{0,40}}?(?:performance status\s*)?(?:of\s*)?(?:<=|≤|less than or equal to|of at most)?\s*(\d)(?:\s*(?:to|-|or)\s*(\d))?',1),
- regexp_extract(t,'(?i)ECOG.{{0,40}}?(?:performance status\s*)?(?:of\s*)?(?:<=|≤|less than or equal to|of at most)?\s*(\d)(?:\s*(?:to|-|or)\s*(\d))?',2)),'') AS INTEGER) AS ecog_max
-FROM (VALUES {SAMPLES}) x(id,t)""")
+GENES = ("KRAS", "EGFR", "BRAF", "ALK", "ROS1", "MET", "RET", "HER2", "ERBB2", "STK11")
+_list = lambda words: "[" + ",".join(f"'{w}'" for w in words) + "]"
+
+
+def _nth(words, n: Column) -> Column:
+    return F.get(F.array(*map(F.lit, words)), n.cast("int"))
+
+
+@query(f"""WITH k AS (SELECT *, p_partkey%8 AS m, {_list(GENES)}[p_partkey%10+1] AS g, {_list(GENES)}[(p_partkey*7+3)%10+1] AS g2 FROM part)
+SELECT p_partkey, CASE WHEN m IN (0,3) THEN g WHEN m=5 THEN array_to_string(list_sort(list_distinct([g,g2])),',') ELSE '' END AS biomarkers,
+CASE m WHEN 0 THEN 'G' || p_size || 'C' WHEN 5 THEN 'AMPLIFICATION,EXON ' || p_size || ' DELETION' ELSE '' END AS mutations,
+(CASE WHEN m=2 THEN p_size END)::INT AS min_age_years, m=4 AS brain, m=3 AS prior, (CASE WHEN m IN (1,7) THEN p_size%5 END)::INT AS ecog_max FROM k""")
 def feature_extract(spark, sf_dir):
-    f = spark.sql(f"SELECT * FROM VALUES {SAMPLES} AS x(id,t)").select("id", tx.features(F.col("t")).alias("f"))
-    return f.select("id", F.coalesce(F.array_join("f.biomarkers", ","), F.lit("")).alias("biomarkers"), F.coalesce(F.array_join("f.mutations", ","), F.lit("")).alias("mutations"), "f.min_age_years", F.coalesce("f.mentions_brain_mets", F.lit(False)).alias("brain"), F.coalesce("f.prior_therapy_relevant", F.lit(False)).alias("prior"), "f.ecog_max")
+    """Criteria that say one thing each, in a part's own terms: what the features find is what was said."""
+    p, key, size = _t(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size").cast("string")
+    gene, other, grade = _nth(GENES, key % 10), _nth(GENES, (key * 7 + 3) % 10), (F.col("p_size") % 5).cast("string")
+    said = (
+        ("Histologically confirmed NSCLC with ", gene, " g", size, "c mutation"), ("ECOG performance status of 0 to ", grade), ("Patients aged at least ", size, " years"), ("Previously on systemic treatment with a ", gene, " inhibitor"), ("No known Brain  metastases",),
+        (gene, " Exon ", size, " deletion; ", other, " amplification allowed"), ("Adequate organ function",), ("ecog <= ", grade),
+    )
+    text = F.lit("")
+    for n, parts in enumerate(said):
+        text = F.when(key % 8 == n, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise(text)
+    f = p.select("p_partkey", tx.features(text).alias("f"))
+    return f.select("p_partkey", F.coalesce(F.array_join("f.biomarkers", ","), F.lit("")).alias("biomarkers"), F.coalesce(F.array_join("f.mutations", ","), F.lit("")).alias("mutations"), "f.min_age_years", F.coalesce("f.mentions_brain_mets", F.lit(False)).alias("brain"), F.coalesce("f.prior_therapy_relevant", F.lit(False)).alias("prior"), "f.ecog_max")
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text,'[ \t\n\r]+',' ','g')) AS clean, replace(replace(text,'|','\|'),chr(10),' ') AS escaped FROM documents")
@@ -274,31 +284,38 @@ def json_props(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-WORDS = "(1,'Yes'),(2,' eligible '),(3,'not met'),(4,'N'),(5,'unknown'),(6,''),(7,'perhaps'),(8,'MEETS'),(9,'ineligible'),(10,'n/a')"
-_in = lambda words: "(" + ",".join(f"'{w}'" for w in words) + ")"
+VERDICTS = (*judgment.TRUE_WORDS, *judgment.FALSE_WORDS, *judgment.NULL_WORDS, "perhaps", "ineligible?")
+_true, _known = len(judgment.TRUE_WORDS), len(VERDICTS) - 2
+_false = _true + len(judgment.FALSE_WORDS)
 
 
-@query(f"""SELECT id, CASE WHEN lower(trim(w)) IN {_in(judgment.TRUE_WORDS)} THEN TRUE WHEN lower(trim(w)) IN {_in(judgment.FALSE_WORDS)} THEN FALSE END AS eligible,
-lower(trim(w)) IN {_in(judgment.TRUE_WORDS + judgment.FALSE_WORDS + judgment.NULL_WORDS)} AS known FROM (VALUES {WORDS}) x(id,w)""")
+@query(f"SELECT event_id, CASE WHEN w<{_true} THEN TRUE WHEN w<{_false} THEN FALSE END AS eligible, w<{_known} AS known FROM (SELECT event_id, event_id%{len(VERDICTS)} AS w FROM events)")
 def coerce_verdict(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM VALUES {WORDS} AS x(id,w)").select("id", judgment.verdict(F.col("w")).alias("eligible"), judgment.is_verdict(F.col("w")).alias("known"))
+    """Every word for a verdict and two for none, in either case and with blanks around."""
+    word = _nth(VERDICTS, F.col("event_id") % len(VERDICTS))
+    word = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("  "), F.upper(word), F.lit(" "))).otherwise(word)
+    return _t(spark, sf_dir, "events").select("event_id", judgment.verdict(word).alias("eligible"), judgment.is_verdict(word).alias("known"))
 
 
-NUMBERS = "(1,'85%'),(2,'0.85'),(3,'95'),(4,'150%'),(5,'250'),(6,'-1'),(7,'high'),(8,' 50 %'),(9,'1'),(10,'1.5')"
-
-
-@query(f"""SELECT id, round(least(greatest(CASE WHEN n>1 THEN n/100 ELSE n END,0.0),1.0),6) AS confidence FROM
-(SELECT id, TRY_CAST(trim(rtrim(trim(c),'%')) AS DOUBLE)/(CASE WHEN trim(c) LIKE '%\\%' ESCAPE '\\' THEN 100 ELSE 1 END) AS n FROM (VALUES {NUMBERS}) x(id,c)) WHERE n IS NOT NULL""".replace("\\\\", "\\"))
+@query("""SELECT event_id, round(CASE m WHEN 0 THEN k/100.0 WHEN 1 THEN k/100.0 WHEN 2 THEN CASE WHEN k>1 THEN least(k/100.0,1.0) ELSE k END WHEN 3 THEN (k+101)/10000.0 ELSE 0.0 END,6)::DOUBLE AS confidence
+FROM (SELECT event_id, event_id%101 AS k, user_id%6 AS m FROM events) WHERE m<5""")
 def coerce_confidence(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM VALUES {NUMBERS} AS x(id,c)").select("id", F.round(judgment.confidence(F.col("c")), 6).alias("confidence")).filter("confidence is not null")
-
-
-BROKEN = """(1,'{"a": True, "b": [1,2,],}'),(2,'{"e": unknown, "c": None}'),(3,'{"e": False}'),(4,'{"x": Undetermined }'),(5,'{"ok": 1}')"""
+    """A share as a percentage, a fraction, a number of hundredths; a percentage above 100, which counts as hundredths of one; below nothing; and a word."""
+    k, m = F.col("event_id") % 101, F.col("user_id") % 6
+    n = k.cast("string")
+    said = F.when(m == 0, F.concat(F.lit(" "), n, F.lit(" %"))).when(m == 1, (k / 100).cast("string")).when(m == 2, n).when(m == 3, F.concat((k + 101).cast("string"), F.lit("%"))).when(m == 4, F.concat(F.lit("-"), (k + 1).cast("string"))).otherwise("high")
+    return _t(spark, sf_dir, "events").select("event_id", F.round(judgment.confidence(said), 6).alias("confidence")).filter("confidence is not null")
 
 
-@query(rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,',\s*([}}\]])','\1','g'),'\bTrue\b','true','g'),'\bFalse\b','false','g'),'\bNone\b','null','g'),'(?i)(:\s*)(?:unknown|undetermined)\b','\1null','g') AS fixed FROM (VALUES {BROKEN}) x(id,s)""")
+@query("""SELECT event_id, CASE user_id%5 WHEN 0 THEN '{"a": true, "b": [' || event_id || ',2]}' WHEN 1 THEN '{"e": null, "c": null, "k": ' || event_id || '}' WHEN 2 THEN '{"e": false, "k": ' || event_id || '}'
+WHEN 3 THEN '{"x": null , "k": ' || event_id || '}' ELSE '{"ok": ' || event_id || '}' END AS fixed FROM events""")
 def repair_json(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM VALUES {BROKEN} AS x(id,s)").select("id", judgment.repaired_json(F.col("s")).alias("fixed"))
+    """Objects with commas too many and with words of another language, and one that is right."""
+    broken = (('{"a": True, "b": [', ",2, ],}"), ('{"e": unknown, "c": None, "k": ', "}"), ('{"e": False, "k": ', "}"), ('{"x": Undetermined , "k": ', ",\n}"), ('{"ok": ', "}"))
+    text = F.lit("")
+    for n, (a, b) in enumerate(broken):
+        text = F.when(F.col("user_id") % 5 == n, F.concat(F.lit(a), F.col("event_id").cast("string"), F.lit(b))).otherwise(text)
+    return _t(spark, sf_dir, "events").select("event_id", judgment.repaired_json(text).alias("fixed"))
 
 
 @query("""SELECT o_custkey, bool_or(upper(o_orderpriority)='1-URGENT' AND o_orderstatus='F') AS has_member, arg_max(o_orderpriority, o_orderkey) FILTER (contains(lower(o_orderpriority),'high')) AS last_match,
