@@ -106,14 +106,20 @@ def test_scoring(spark):
 
 
 def test_rank_order(spark):
-    rows = spark.createDataFrame([("a", "ineligible", 0.99), ("b", "unresolved", 0.6), ("c", "eligible", 0.7), ("d", "unresolved", 0.8)], "k string, s string, x double")
-    assert [r.k for r in rows.orderBy(*scoring.rank_order(F.col("s"), F.col("x"), F.lit(None).cast("double"), F.col("k"))).collect()] == ["c", "d", "b", "a"]
-
-
-def test_rrf(spark):
-    lists = [spark.createDataFrame([(0, d, r + 1) for r, d in enumerate(x)], "query int, doc int, rank int") for x in ([0, 1, 2], [1, 2, 0])]
-    found = {r.doc: r.rrf for r in retrieval.fused(lists).collect()}
-    assert found[0] == pytest.approx(1 / 61 + 1 / 63, abs=1e-12) and found[1] == pytest.approx(1 / 62 + 1 / 61, abs=1e-12)
+    """By status, then score, then retrieval score, then key; nulls count as 0, a status of another name comes last."""
+    statuses = ("eligible", "unresolved", "ineligible", "other")
+    rows = [(f"k{n:02}", statuses[n * 7 % 4], (None, 0.0, 0.25, 0.5)[n * 5 % 4], (None, 0.0, 0.1)[n % 3]) for n in range(40)]
+    df = spark.createDataFrame(rows, "k string, s string, x double, r double")
+    want = sorted(rows, key=lambda r: (statuses.index(r[1]), -(r[2] or 0), -(r[3] or 0), r[0]))
+    assert [tuple(r) for r in df.orderBy(*scoring.rank_order(F.col("s"), F.col("x"), F.col("r"), F.col("k"))).collect()] == want
+
+
+def test_fused_lists_are_sums_over_the_lists_that_have_a_document(spark):
+    lists = [["d", "a", "f"], ["a"], ["b", "f", "c", "a"]]
+    tables = [spark.createDataFrame([(7, d, n) for n, d in enumerate(x, 1)] + [(8, "only", 5)], "query int, doc string, rank int") for x in lists]
+    found = {(r.query, r.doc): r.rrf for r in retrieval.fused(tables, 10).collect()}
+    want = {(7, d): pytest.approx(sum(1 / (11 + x.index(d)) for x in lists if d in x)) for d in "abcdf"}
+    assert found == want | {(8, "only"): pytest.approx(3 / 15)}
 
 
 def test_index_is_built_once(spark, tmp_path):

@@ -171,6 +171,8 @@ def main(argv: list[str] | None = None) -> int:
     except JudgeError as e:
         print(e, file=sys.stderr)
         return 3
+    finally:
+        readers.clean(spark)
     return 0
 
 

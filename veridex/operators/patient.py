@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 
 from veridex.functions.text import shown, shown_number, stripped
 
+#: The lines of a profile's text, and what is said where nothing is known.
+TITLE = "PATIENT PROFILE (as of %s)"
+DIAGNOSIS, STAGE, HISTOLOGY = "Diagnosis: ", ", stage ", (" (histology: ", ")")
+AGE, ECOG, SMOKING, BRAIN, MALIGNANCY, END = "Age ", ". ECOG ", ". Smoking: ", ". Brain metastases: ", ". Prior malignancy: ", "."
+MUTATIONS, HOTSPOT, NO_MUTATIONS = "Mutations: ", " (hotspot)", "none reported"
+TMB, PER_MB, PD_L1, MSI = "TMB ", " mut/Mb", "; PD-L1 TPS ", "; MSI: "
+HISTORY, NO_HISTORY = "Treatment history (complete):", "  none (treatment-naive)"
+LINE, TO, ONGOING, RESPONSE, STOPPED = "  Line ", " to ", "ongoing", ", best response ", ", stopped for "
+NEXT = "Next line of therapy: "
+UNKNOWN = "not recorded"
+
 
 def has_mutation(mutations: Column, gene: str, change: str | None = None) -> Column:
     """By gene in any case and, if given, by protein change without its ``p.`` prefixes."""
@@ -47,25 +58,23 @@ def query(p: str = "") -> Column:
 
 def summary(as_of: date) -> Column:
     """The profile as text; what is not known is said outright."""
-    c = F.col
-    given = lambda x: F.coalesce(x, F.lit("")) != ""
-    mutations = F.array_join(F.transform("mutations", lambda m: F.concat(m["gene"], F.lit(" "), m["protein_change"], F.when(m["is_hotspot"], " (hotspot)").otherwise(""))), "; ")
+    c, said = F.col, F.lit
+    given = lambda x: F.coalesce(x, said("")) != ""
+    text = lambda n: c(n).cast("string")
+    part = lambda before, x: F.when(given(x), F.concat(said(before), x)).otherwise("")
+    mutations = F.array_join(F.transform("mutations", lambda m: F.concat(m["gene"], said(" "), m["protein_change"], F.when(m["is_hotspot"], HOTSPOT).otherwise(""))), "; ")
     history = F.array_sort(F.transform("treatment_history", lambda t, i: F.struct(t["line"].alias("line"), i.alias("i"), t.alias("t"))))
-    line = lambda t: F.concat(
-        F.lit("  Line "), t["line"].cast("string"), F.lit(": "), t["drug"], F.lit(", "), t["start_date"], F.lit(" to "), F.coalesce(F.nullif(t["end_date"], F.lit("")), F.lit("ongoing")),
-        F.when(given(t["best_response"]), F.concat(F.lit(", best response "), t["best_response"])).otherwise(""),
-        F.when(given(t["discontinuation_reason"]), F.concat(F.lit(", stopped for "), t["discontinuation_reason"])).otherwise(""),
-    )
-    lines = F.transform(history, lambda h: line(h["t"]))
+    span = lambda t: F.concat(t["start_date"], said(TO), F.coalesce(F.nullif(t["end_date"], said("")), said(ONGOING)))
+    line = lambda t: F.concat(said(LINE), t["line"].cast("string"), said(": "), t["drug"], said(", "), span(t), part(RESPONSE, t["best_response"]), part(STOPPED, t["discontinuation_reason"]))
+    brain = F.when(c("brain_metastases"), "yes").when(~c("brain_metastases"), "no").otherwise(UNKNOWN)
     return F.concat_ws(
-        "\n", F.lit(f"PATIENT PROFILE (as of {as_of.isoformat()})"),
-        F.concat(F.lit("Diagnosis: "), c("diagnosis"), F.lit(", stage "), c("stage"), F.when(given(c("histology")), F.concat(F.lit(" (histology: "), c("histology"), F.lit(")"))).otherwise("")),
-        F.concat(F.lit("Age "), c("age_years").cast("string"), F.lit(", "), F.lower("sex"), F.lit(". ECOG "), c("ecog").cast("string"), F.lit(". Smoking: "), shown(c("smoking_status")), F.lit(". Brain metastases: "), F.when(c("brain_metastases"), "yes").when(~c("brain_metastases"), "no").otherwise("not recorded"), F.lit(". Prior malignancy: "), shown(c("prior_malignancy")), F.lit(".")),
-        F.concat(F.lit("Mutations: "), F.coalesce(F.nullif(mutations, F.lit("")), F.lit("none reported"))),
-        F.concat(F.lit("TMB "), shown_number(c("tmb"), " mut/Mb"), F.lit("; PD-L1 TPS "), shown_number(c("pd_l1_tps"), "%"), F.lit("; MSI: "), shown(c("msi_status"))),
-        F.lit("Treatment history (complete):"),
-        F.when(F.coalesce(F.size("treatment_history"), F.lit(0)) == 0, "  none (treatment-naive)").otherwise(F.array_join(lines, "\n")),
-        F.concat(F.lit("Next line of therapy: "), current_line(c("treatment_history")).cast("string")),
+        "\n", said(TITLE % as_of.isoformat()),
+        F.concat(said(DIAGNOSIS), c("diagnosis"), said(STAGE), c("stage"), F.when(given(c("histology")), F.concat(said(HISTOLOGY[0]), c("histology"), said(HISTOLOGY[1]))).otherwise("")),
+        F.concat(said(AGE), text("age_years"), said(", "), F.lower("sex"), said(ECOG), text("ecog"), said(SMOKING), shown(c("smoking_status"), missing=UNKNOWN), said(BRAIN), brain, said(MALIGNANCY), shown(c("prior_malignancy"), missing=UNKNOWN), said(END)),
+        F.concat(said(MUTATIONS), F.coalesce(F.nullif(mutations, said("")), said(NO_MUTATIONS))),
+        F.concat(said(TMB), shown_number(c("tmb"), PER_MB, UNKNOWN), said(PD_L1), shown_number(c("pd_l1_tps"), "%", UNKNOWN), said(MSI), shown(c("msi_status"), missing=UNKNOWN)),
+        said(HISTORY), F.when(F.coalesce(F.size("treatment_history"), said(0)) == 0, NO_HISTORY).otherwise(F.array_join(F.transform(history, lambda h: line(h["t"])), "\n")),
+        F.concat(said(NEXT), current_line(c("treatment_history")).cast("string")),
     )
 
 

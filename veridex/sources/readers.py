@@ -298,6 +298,12 @@ def scratch(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes what ``scratch`` has written for this application, once no table made of it is read any more."""
+    of = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/veridex-{spark.sparkContext.applicationId}")
+    of.getFileSystem(spark._jsc.hadoopConfiguration()).delete(of, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     of = spark._jvm.org.apache.hadoop.fs.Path(path)
     return of.getFileSystem(spark._jsc.hadoopConfiguration()).exists(of)
