@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date
 
 import pytest
@@ -57,6 +58,25 @@ def test_parse_udf(spark):
     assert [r.eligible for r in rows] == [True, None, None] and rows[1].parse_error
 
 
+def test_answers_as_asked_are_read_without_python_and_alike(spark):
+    rng = random.Random(8)
+    pick = rng.choice
+    texts = [None, "", "no", '{"eligible": true, "confidence": 1, "reasoning": ""} {"b": 2}', '```json\n{"eligible": true, "confidence": 1, "reasoning": ""}\n```']
+    for _ in range(1500):
+        string = lambda: '"' + "".join(pick(["a", " ", "é", "\\n", '\\"', "\\\\", "{", "}", "```", "\n", "\\u0041", "'", "None"]) for _ in range(pick([0, 0, 1, 3]))) + '"'
+        texts.append(
+            pick(["", "", " ", "\n"]) + '{"eligible": ' + pick(["true", "false", "null", '"yes"', "True", "1"]) + pick([", ", ",", " ,\n"]) + '"confidence": ' + pick(["0.95", "1", "85", "-2", "100.5", "0", '"80%"', "1e2", "01", "0.12345678901234567", "null"])
+            + pick([', "reasoning": ' + string()] * 4 + ["", ', "rationale": "x"']) + pick([', "patient_feature": ' + string(), "", ', "other": 1', ","]) + "}" + pick(["", "", " ", "\n", " so"])
+        )
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, raw string")
+    found = judgment.answers(rows, "raw", "j")
+    assert {r.k: r.j.asDict() for r in found.collect()} == {k: judgment.parsed_or_error(t) for k, t in enumerate(texts)}
+    asked = rows.filter(judgment.as_asked(F.col("raw")))
+    assert 50 < asked.count() < 1000
+    plan = asked.select(judgment.read_as_asked(F.col("raw")).alias("j"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_retries():
     calls, pauses = [], []
 

@@ -7,6 +7,7 @@ each query; and ranks of a few documents among all come from counting, not from
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -445,3 +446,43 @@ def load_or_build(docs: DataFrame, model: str, folder: str, doc: str, text: str)
             raise
     postings(docs, doc, text).write.parquet(path)
     return spark.read.parquet(path), True
+
+
+def grown(docs: DataFrame, folder: str, doc: str, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, int]:
+    """Postings of ``docs`` from an index that grows, and the number of documents that were tokenised for it.
+
+    A document is known by its key and its text's hash. Those that the index in ``folder`` doesn't have become a segment of
+    it, postings first and then the list of its documents: postings of a segment without a list, which a broken run left,
+    don't count. Documents that are gone or have another text by now are left out as postings are read, until ``merged``."""
+    spark = docs.sparkSession
+    kind = docs.schema[doc].dataType.simpleString()
+    now = docs.select(F.col(doc).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
+    listed, posted = f"{folder}/documents", f"{folder}/postings"
+    known = _segments(spark, listed, f"doc {kind}, hash LONG, segment STRING")
+    new = now if known is None else now.join(known, ["doc", "hash"], "left_anti")
+    new = keep(new.dropDuplicates(["doc", "hash"]), "new")
+    if n := new.count():
+        segment = F.lit(uuid.uuid4().hex).alias("segment")
+        postings(new, "doc", "text").join(new.select("doc", "hash"), "doc").select("doc", "hash", "term", "tf", "dl", segment).write.mode("append").partitionBy("segment").parquet(posted)
+        new.select("doc", "hash", segment).write.mode("append").partitionBy("segment").parquet(listed)
+    known = _segments(spark, listed, f"doc {kind}, hash LONG, segment STRING")
+    if known is None:
+        return postings(now, "doc", "text"), 0
+    live = known.join(now.select("doc", "hash").distinct(), ["doc", "hash"], "left_semi")
+    rows = spark.read.schema(f"doc {kind}, hash LONG, term STRING, tf LONG, dl INT, segment STRING").parquet(posted)
+    return rows.join(live, ["doc", "hash", "segment"], "left_semi").select("doc", "term", "tf", "dl"), n
+
+
+def _segments(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    from veridex.sources.readers import exists
+
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else None
+
+
+def merged(docs: DataFrame, folder: str, into: str, doc: str, text: str, keep: Callable[[DataFrame, str], DataFrame]) -> None:
+    """An index of one segment in a new folder, of the documents as they are now, made of what ``folder`` has."""
+    posts, _ = grown(docs, folder, doc, text, keep)
+    listed = docs.select(F.col(doc).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash")).distinct()
+    segment = F.lit(uuid.uuid4().hex).alias("segment")
+    posts.join(listed, "doc").select("doc", "hash", "term", "tf", "dl", segment).write.partitionBy("segment").parquet(f"{into}/postings")
+    listed.select("doc", "hash", segment).write.partitionBy("segment").parquet(f"{into}/documents")

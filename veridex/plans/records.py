@@ -154,6 +154,20 @@ def kept_index(spark, sf_dir):
     return built[1][0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"), F.lit(once).alias("built_once"))
 
 
+@query(f"""WITH w AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name || CASE WHEN p_partkey%10=0 THEN ' changed' ELSE '' END),'[a-z0-9]+'), lambda x: length(x)>1 AND x NOT IN {STOP}) AS words FROM part WHERE p_partkey%7<>0),
+x AS (SELECT unnest(CASE WHEN len(words)=0 THEN ['_empty_'] ELSE words END) AS term, p_partkey FROM w), n AS (SELECT count(*) FILTER (p_partkey%7<>0 AND (p_partkey%2<>0 OR p_partkey%10=0)) AS n FROM part)
+SELECT term, count(DISTINCT p_partkey) AS df, count(*)::BIGINT AS tf, n AS n_new FROM x, n GROUP BY term, n""")
+def grown_index(spark, sf_dir):
+    """An index of half the documents; then some texts change, some documents go and the other half comes. Only new texts
+    are tokenised, and the postings are those of the documents as they are."""
+    folder, key = _folder(spark, "index"), F.col("p_partkey")
+    docs = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
+    retrieval.grown(docs.filter(key % 2 == 0), folder, "p_partkey", "text", readers.scratch)
+    now = docs.filter(key % 7 != 0).withColumn("text", F.when(key % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    posts, n = retrieval.grown(now, folder, "p_partkey", "text", readers.scratch)
+    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"), F.lit(n).cast("long").alias("n_new"))
+
+
 @query("SELECT event_id, event_type, value FROM events")
 def logged_stream(spark, sf_dir):
     """A stream written to a log of JSON lines, twice over one checkpoint: the second run has nothing to add."""

@@ -378,7 +378,7 @@ def judgments_of_texts(spark, sf_dir):
     raw = F.lit("")
     for n, (a, b, c) in enumerate(kinds):
         raw = F.when(F.col("user_id") % 6 == n, F.concat(F.lit(a), "k", F.lit(b), "event_type", F.lit(c))).otherwise(raw)
-    j = e.select("event_id", judgment.parse_judgment(raw).alias("j"))
+    j = judgment.answers(e.select("event_id", raw.alias("raw")), "raw", "j")
     return j.select("event_id", "j.eligible", F.round("j.confidence", 6).alias("confidence"), "j.reasoning", "j.repaired", F.col("j.parse_error").isNotNull().alias("failed"))
 
 
