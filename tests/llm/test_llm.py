@@ -7,6 +7,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -314,6 +315,17 @@ def test_mined_rules_equal_brute_force(spark):
     assert fired == {u for u, s in zip(urls, sets) if any({*k} <= s for k in kept)}
 
 
+def test_copies_of_long_urls_are_mined_at_once(spark):
+    """Subsets of tokens that always come together aren't tried: 40 equal URLs of 30 tokens, and others that share half."""
+    long = "http://a.net/" + "/".join(f"t{k:02}" for k in range(28))
+    half = "http://a.net/" + "/".join(f"t{k:02}" for k in range(14))
+    rows = spark.createDataFrame([(long, True)] * 40 + [(half, k < 20) for k in range(40)] + [(f"http://a.net/o/{k}", False) for k in range(100)], "url string, bad boolean")
+    began = time.monotonic()
+    rules = url_rules.mined_rules(rows)
+    assert sorted(r.tokens for r in rules.collect()) == [[f"p:t{k:02}"] for k in range(14, 28)] and time.monotonic() - began < 120
+    assert {r.url for r in url_rules.firing(rows, rules).collect()} == {long}
+
+
 def test_url_rules_edges(spark, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     rows = spark.createDataFrame([(1, "http://a.com/")] * 2 + [(None, "http://a.net/es/x"), (None, None)], "page_id long, url string").withColumns({"bad": F.lit("x"), "tokens": F.lit("y")})
