@@ -49,6 +49,13 @@ LEVELS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that few texts or sets are Python's at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -59,7 +66,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle hashes of texts, in order; a word's hash is kept for the next texts."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 150_000):
         self.limit, self.known = limit, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
@@ -134,7 +141,7 @@ def document_bitmaps(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, part, seen = np.zeros(COUNTERS, np.uint32), 0, False
-        for batch in batches:
+        for batch in _parts(batches):
             for text in batch.column(0).to_pylist():
                 h = _shingler.hashes(words_of(text))
                 if len(h):
@@ -269,7 +276,7 @@ def _linked(rows: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs)], ["a", "b"])
 
-        for batch in batches:
+        for batch in _parts(batches):
             columns = [c.to_pylist() for c in batch.columns]
             for key, *row in zip(zip(*columns[: len(by)]), *columns[len(by) :]):
                 if key != known:
@@ -299,7 +306,7 @@ def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler()
-        for batch in batches:
+        for batch in _parts(batches):
             keys, bands = [], np.zeros((len(batch), BANDS), np.int64)
             for k, text in enumerate(batch.column(2).to_pylist()):
                 key, *shingles = profile(text, levels.value)
@@ -332,7 +339,7 @@ def _sets(docs: DataFrame, rows: DataFrame, members: DataFrame, levels) -> DataF
     wanted = wanted.select(F.coalesce("x.doc_id", F.lit(0)).alias("i"), F.col("x.text_hash").alias("text_hash"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = []
             for text in batch.column(0).to_pylist():
                 key, *shingles = profile(text, levels.value)
