@@ -147,5 +147,6 @@ def test_evaluated_trials_are_not_read_again(spark, tmp_path):
     run()
     run()
     assert seen == [["a", "b"], ["c"]] and spark.conf.get(STATE_STORE) == before
+    assert list((tmp_path / "check" / "state").glob("**/*.zip")) or list((tmp_path / "check" / "state").glob("**/*.changelog"))  # on disk
     run("other")
     assert sorted(r.nct_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"] and seen[-1] == []
