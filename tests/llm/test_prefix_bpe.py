@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -119,6 +120,17 @@ def test_odd_rows(spark, library):
     assert prefix_bpe.decoded(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().decoded == b""
 
 
+def test_ids_are_decoded_in_parts_and_unknown_ones_refused(own, library, monkeypatch):
+    monkeypatch.setattr(prefix_bpe, "DECODED", 7)
+    rng = random.Random(9)
+    for _ in range(300):
+        ids = np.array([rng.randrange(own.size) for _ in range(rng.randint(0, 30))], np.int32)
+        assert own.decode(ids) == library.decode_bytes(ids.tolist())
+    for bad in (-1, own.size):
+        with pytest.raises(ValueError, match="vocabulary"):
+            own.decode(np.array([1, bad]))
+
+
 def test_edits_of_rows(spark, library):
     df = spark.createDataFrame([(1, "one two three", 4, 7, "2"), (2, None, 0, 0, "new"), (3, "the end", 10**9, 10**9, "ing of it"), (4, "cut me", 3, 6, None)], "doc_id long, text string, start long, stop long, new string")
     first = prefix_bpe.tables(df).select("doc_id", "text", "ends", "last")

@@ -26,6 +26,7 @@ from struct import pack
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ PART = 1 << 20
 #: Characters of a pre-token whose ids are kept for the next texts, how many of these are kept, and how many answers
 #: about pairs of tokens.
 LONG, KNOWN, PAIRS = 64, 300_000, 1_000_000
-#: Bytes of text whose ids go to Spark in one batch.
-BATCH = 8 << 20
+#: Bytes of text whose ids go to Spark in one batch, and ids that are decoded together.
+BATCH, DECODED = 8 << 20, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,8 @@ class PrefixEncoder:
         self.ends_here.make_automaton()
         self.length = list(map(len, self.bytes))
         self.longest = max(self.length)
+        self.flat, self.sizes = np.frombuffer(b"".join(self.bytes), np.uint8), np.array(self.length)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.known_pairs.clear()
         self.known = _Known(self)
 
@@ -152,8 +155,17 @@ class PrefixEncoder:
         of = self.known.__getitem__
         return b"".join(b"".join(map(of, part)) for part in self.parts(text))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes one after the other; ValueError for an id that isn't in the vocabulary."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size or not self.sizes[ids].all()):
+            raise ValueError("an id isn't in the vocabulary")
+        out = []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            n = self.sizes[part]
+            after = np.cumsum(n)
+            out.append(self.flat[np.repeat(self.starts[part] - after + n, n) + np.arange(after[-1])].tobytes())
+        return b"".join(out)
 
     def table(self, text: str) -> Table:
         return self.replaced(Table("", [], []), 0, 0, text)
@@ -275,10 +287,15 @@ def decoded(df: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", id_col: str
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = prefix_encoder(path).decode
+        own = prefix_encoder(path)
         for batch in batches:
-            ids = batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([decode(ids[k].values.to_pylist()) if ids[k].is_valid else b"" for k in range(len(ids))], pa.binary())], ["doc_id", "ids", "decoded"])
+            lists = batch.column(1)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            data = pa.py_buffer(own.decode(ids))
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(own.sizes[ids])])
+            ends = ends[np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])]
+            texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), data])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], ["doc_id", "ids", "decoded"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
