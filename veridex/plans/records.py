@@ -63,8 +63,8 @@ def json_files(spark, sf_dir):
     trials = ingest.parsed_trials(readers.studies(spark, readers.first_existing(spark, f"{out}/none", f"{out}/studies")).select("protocolSection"))
     kept = trials.withColumns({"retrieval_score": F.lit(0.5), "retrieval": F.lit(None).cast("struct<bm25_rank: int, dense_rank: int, bm25_score: double, dense_score: double>")})
     envelopes = kept.groupBy(nth).agg(F.collect_list(F.struct(*kept.columns)).alias("candidates"))
-    readers.write_json(envelopes.select(F.lit("50").alias("top_k"), "candidates"), f"{out}/candidates")
-    readers.write_json(envelopes.select(F.lit("50").alias("top_k"), "candidates"), f"{out}/candidates")
+    readers.write_json(envelopes.select(F.lit("50").alias("top_k"), "candidates"), f"{out}/candidates", 1)
+    readers.write_json(envelopes.select(F.lit("50").alias("top_k"), "candidates"), f"{out}/candidates", 1)
     return _flat(trials).unionByName(_flat(readers.trials(spark, f"{out}/candidates/*.json")))
 
 

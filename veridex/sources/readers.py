@@ -96,9 +96,10 @@ def log_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(lambda some, k: append_log(some, path, str(k))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    """Null fields are kept; the committer replaces the target as a whole."""
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json(rows: DataFrame, path: str, most_in_file: int = 0) -> None:
+    """Null fields are kept; the committer replaces the target as a whole. ``most_in_file`` rows go into a file (0: any number);
+    files that are to be read as one object each, such as envelopes, have one."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).option("maxRecordsPerFile", most_in_file).json(path)
 
 
 def http_get(url: str) -> dict:
