@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -390,6 +391,41 @@ def test_a_page_without_telling_elements_is_decided_by_its_neighbours():
     assert {b[1] for b in blocks} == {0} and not alone[2] and cut == [True] * 5 + [False] * 8
 
 
+@pytest.mark.parametrize("page, dropped", [
+    (f"<article>{ARTICLE}<p class='social'>The social policy debate went on, and nobody could say when it would end.</p></article>", ()),
+    (f"<article>{ARTICLE}<p><a href=f>Share on F</a> · <a href=t>Tweet</a></p></article>", ("Share on F · Tweet",)),
+    (f"<article>{ARTICLE}<p class='share'><a href=f>Tell</a> <a href=t>others</a></p></article>", ("Tell others",)),
+    (f"<article>{ARTICLE.replace('Of words', '<a href=here>Of words</a>')}<ul><li class=menu><a href=x>Up</a></li></ul></article>", ("Up",)),
+    (f"<article>{ARTICLE}<h2>3 Comments</h2><p>I say a long thing about that, too, dear author.</p><h2>An end</h2><p>All that is long, and ends here.</p></article>", ("3 Comments", "I say a long thing about that, too, dear author.")),
+    (f"<div>{ARTICLE}</div><div><h3>Leave a reply</h3><div><p>I say a long thing about that, too, dear author.</p></div></div>", ("Leave a reply", "I say a long thing about that, too, dear author.")),
+])
+def test_weak_evidence_is_decided_by_text_and_neighbours(page, dropped):
+    every = [b[0] for b in html_extraction.blocks_of(page)]
+    assert set(dropped) <= set(every)
+    assert html_extraction.main_text(page, html_extraction.PRIOR).split("\n\n") == [b for b in every if b not in dropped]
+
+
+def test_edges_change_labels_and_improve_them():
+    """Pages of which the classifier has seen none, all of plain elements: the cut is right more often than the classifier
+    alone, because of the edges."""
+    raw = pd.read_parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").html
+    pages = [re.sub(r"<(/?)(?:p|h1|ul|li)>", r"<\1div>", page.replace("<br><p>", "</p><p>")) for page in raw]
+    x, y = zip(*map(html_extraction.labelled, pages[::2]))
+    weights = html_extraction.fitted(np.concatenate(x), np.concatenate(y))
+    n = alone = cut = turned = 0
+    for page in pages[1::2]:
+        truth = [b[1] > 0 for b in html_extraction.blocks_of(page)]
+        blocks = html_extraction.blocks_of(re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page).replace('class="ad"', ""))
+        content, boilerplate, edges = html_extraction.costs(blocks, weights)
+        assert len(blocks) == len(truth) and not any(b[1] for b in blocks)
+        own, found = [c > b for c, b in zip(content, boilerplate)], html_extraction.minimum_cut(content, boilerplate, edges)
+        n += len(truth)
+        alone += sum(a == b for a, b in zip(own, truth))
+        cut += sum(a == b for a, b in zip(found, truth))
+        turned += sum(a != b for a, b in zip(own, found))
+    assert turned > 0 and cut > alone and cut >= 0.9 * n
+
+
 def test_page_parsing_is_linear():
     import time
 

@@ -3,11 +3,15 @@
 A page is cut into blocks of text with the elements above them. A logistic classifier, fitted on the blocks of a
 bounded sample of pages whose own elements say what they are, gives a cost of being called content or boilerplate from
 the block's text and place (at most ``CLASSIFIER``). The innermost element above it that says what it is (article, nav,
-an advert's class) gives another (``HINT``). These costs are the capacities to the two terminals. Neighbours in page
-order and neighbours below one parent are joined by smoothness edges, strong within one such element and weak across its
-bounds. The minimum cut is the labelling of least cost: blocks on the source's side are content. No cost is above the
-sum of a block's strong edges, so a block whose text and elements disagree, or that has no telling element, is decided
-by its neighbours.
+an advert's class, a heading such as "Comments") gives another (``HINT``). These costs are the capacities to the two
+terminals. Neighbours in page order and neighbours below one parent are joined by smoothness edges, strong within one
+such element, weak across its bounds and the weaker the more their shares of linked text differ. The minimum cut is the
+labelling of least cost: blocks on the source's side are content.
+
+Some evidence is weak, and there the classifier and the neighbours decide: an article says little of text that is all
+links (``LINKED``), unless it is a heading, and the class of a paragraph or list item by one of ``DOUBTFUL_WORDS``, which
+may well be the text's topic, only adds ``DOUBT`` to the cost of calling it content. Where no element says anything, the
+classifier and the edges are all there is.
 
 Class, id and role are read by whole tokens: one of ``BOILERPLATE_WORDS``, alone or last (``site-footer``) or before a
 word of ``PARTS`` (``comment-list``), but not after ``has-``, ``no-`` and the like. An article's text is content whatever
@@ -42,24 +46,35 @@ COMMENT_WORDS = frozenset("comment comments replies reply respond".split())
 BOILERPLATE_WORDS = COMMENT_WORDS | frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs cookie cookies consent disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Of these, those that name topics, too, where they are the class of a text's own element.
+DOUBTFUL_WORDS = frozenset("header menu related share sharing social widget".split())
 PARTS = frozenset("area bar block body box buttons container content inner item links list section slot text thread unit wrap wrapper".split())
 NOT_ITSELF = frozenset("has no not with without hide is show".split())
 SKIPPED = frozenset("script style noscript template iframe svg canvas object textarea title head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_TAGS = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption".split())
+#: Headings of what readers say, and of what leads to other pages; what follows belongs to them, up to a heading of the
+#: same or a higher rank below the same parent.
+REMARKS = re.compile(r"(?:\d+ )?(?:readers?'? |user )?(?:comments?|replies|responses)(?: \(?\d+\)?)?:?|(?:leave|post|write|add) a (?:comment|reply):?", re.I)
+ELSEWHERE = re.compile(r"related (?:articles|links|posts|stories):?|(?:you may|see) also(?: like)?:?|share this(?: (?:article|page|post|story))?:?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
-#: Weight of an edge between neighbours in page order, and between neighbours below one parent; both within one telling
-#: element, and the share of it across the bounds of one.
-ADJACENT, SIBLING, ACROSS = 0.4, 0.4, 0.1
+#: Weight of an edge between neighbours in page order, of which those of different parents have a share of ``APART``, and
+#: between neighbours below one parent, divided by the blocks from one to the other; both within one telling element, and
+#: the share of it across the bounds of one.
+ADJACENT, APART, SIBLING, ACROSS = 0.4, 0.25, 0.4, 0.1
 #: Most that the classifier adds to a block's cost of a label, and what a telling element adds.
 CLASSIFIER, HINT = 1.2, 1.5
+#: The share of an article's hint that linked text goes without, and what a doubtful class of a text's own element adds.
+LINKED, DOUBT = 0.8, 1.0
 
 #: A block: text, hint of the elements above (-1, 0, 1), the number of the element that gives it (0: none), parent's
-#: number, characters in links, innermost block element.
-Block = tuple[str, int, int, int, int, str]
+#: number, characters in links, innermost block element, whether that has a doubtful class.
+Block = tuple[str, int, int, int, int, str, bool]
 
 
 def _token_says(token: str) -> str:
@@ -71,13 +86,13 @@ def _token_says(token: str) -> str:
 
 
 def _says(tag: str, attributes: str, in_content: bool) -> int:
-    """What an element says by itself: -2 comments, -1 boilerplate, 1 content, 0 nothing. A header within content is the
-    content's own."""
+    """What an element says by itself: -3 boilerplate, but in doubt, -2 comments, -1 boilerplate, 1 content, 0 nothing. A
+    header within content is the content's own."""
     if attributes and tag not in ("body", "html"):
         words = {_token_says(t) for value in ATTRIBUTE.findall(attributes) for t in value.strip("\"'").split() if re.search("[A-Za-z0-9]", t)}
         words -= {"", "header"} if in_content else {""}
         if words:
-            return -2 if words & COMMENT_WORDS else -1
+            return -3 if tag in TEXT_TAGS and words <= DOUBTFUL_WORDS else -2 if words & COMMENT_WORDS else -1
     if tag in BOILERPLATE_TAGS or tag == "header" and not in_content:
         return -1
     return 1 if tag in CONTENT_TAGS else 0
@@ -85,22 +100,38 @@ def _says(tag: str, attributes: str, in_content: bool) -> int:
 
 class _Open:
     """Open elements, innermost last: tag, hint in effect, number of the element that gives it, own number, whether an
-    article is open."""
+    article is open, whether the own class is doubtful."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]
+        self.stack: list[tuple[str, int, int, int, bool, bool]] = [("", 0, 0, 0, False, False)]
         self.count: dict[str, int] = {}  # by tag, so that an end tag without its element costs nothing
+        self.sections: dict[int, tuple[str, int, int]] = {}  # by parent: rank of a telling heading, hint and scope before
         self.numbers = 0
 
     def enter(self, tag: str, attributes: str) -> None:
-        _, hint, scope, _, inside = self.stack[-1]
+        _, hint, scope, _, inside, _ = self.stack[-1]
         says = _says(tag, attributes, hint == 1)
+        doubt, says = says == -3, 0 if says == -3 else says
         self.numbers += 1
         if says and hint != -2 and not (says == 1 and hint == -1 and inside):
             hint, scope = says, self.numbers
-        self.stack.append((tag, hint, scope, self.numbers, inside or hint == 1))
+        self.stack.append((tag, hint, scope, self.numbers, inside or hint == 1, doubt))
         self.count[tag] = self.count.get(tag, 0) + 1
 
+    def heading(self, text: str) -> None:
+        """The innermost element is a heading with this text: it may end a section below its parent, and begin one."""
+        (above, *outer, number, inside, doubt), (tag, *own) = self.stack[-2:]
+        inherits = own[:2] == outer
+        if number in self.sections and tag <= self.sections[number][0]:
+            _, *outer = self.sections.pop(number)
+        if remarks := bool(REMARKS.fullmatch(text)) or ELSEWHERE.fullmatch(text):
+            self.numbers += 1
+            self.sections.setdefault(number, (tag, *outer))
+            outer = [-2 if remarks is True or outer[0] == -2 else -1, self.numbers]
+        self.stack[-2] = (above, *outer, number, inside, doubt)
+        if inherits:
+            self.stack[-1] = (tag, *outer, *own[2:])
+
     def leave(self, tag: str) -> None:
         while self.count.get(tag):
             last = self.stack.pop()[0]
@@ -123,8 +154,10 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, hint, scope, number, _ = stack[-1]
-                found.append((text, max(hint, -1), scope, stack[-2][3] if len(stack) > 1 else number, link_chars, tag))
+                if stack[-1][0] in HEADINGS:
+                    elements.heading(text)
+                tag, hint, scope, number, _, doubt = stack[-1]
+                found.append((text, max(hint, -1), scope, stack[-2][3] if len(stack) > 1 else number, link_chars, tag, doubt))
             parts.clear()
             link_chars = 0
 
@@ -191,10 +224,10 @@ def features(blocks: Sequence[Block]) -> np.ndarray:
     """What the classifier sees of each block: nothing of what its elements say outright."""
     rows = []
     n = len(blocks)
-    for k, (text, _, _, _, link_chars, tag) in enumerate(blocks):
+    for k, (text, _, _, _, link_chars, tag, _) in enumerate(blocks):
         size, words = len(text), text.count(" ") + 1
         ends = sum(map(text.count, ".!?…"))
-        rows.append((1.0, min(math.log1p(size), 8) / 8, min(link_chars / size, 1), min(ends / words, 1), text[-1] in ".!?…\"”", tag == "p", tag in ("h1", "h2", "h3", "h4", "h5", "h6"), k / n, any(c in text for c in "©|»·")))
+        rows.append((1.0, min(math.log1p(size), 8) / 8, min(link_chars / size, 1), min(ends / words, 1), text[-1] in ".!?…\"”", tag == "p", tag in HEADINGS, k / n, any(c in text for c in "©|»·")))
     return np.array(rows, float).reshape(n, 9)
 
 
@@ -205,7 +238,7 @@ PRIOR = (-1.0, 3.0, -4.0, 1.0, 1.0, 1.0, 0.5, 0.0, -2.0)
 def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
     """Features of the blocks whose elements say what they are, and whether they say content."""
     blocks = blocks_of(page)
-    hint = np.array([b[1] for b in blocks], int)
+    hint = np.array([0 if b[6] else b[1] for b in blocks], int)
     return features(blocks)[hint != 0], hint[hint != 0] > 0
 
 
@@ -295,17 +328,19 @@ def minimum_cut(content: Sequence[float], boilerplate: Sequence[float], edges: S
 
 def costs(blocks: Sequence[Block], weights: Sequence[float]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
     """Capacities to both terminals and the edges."""
-    own = (CLASSIFIER * np.tanh(features(blocks) @ np.array(weights) / 2) + HINT * np.array([b[1] for b in blocks])).tolist()
+    linked = [min(b[4] / len(b[0]), 1) for b in blocks]
+    hints = [b[1] * (1 - LINKED * share if b[1] > 0 and b[5] not in HEADINGS else 1) for b, share in zip(blocks, linked)]
+    own = (CLASSIFIER * np.tanh(features(blocks) @ np.array(weights) / 2) + HINT * np.array(hints) - DOUBT * np.array([b[6] for b in blocks])).tolist()
     edges, last = [], {}
 
     def edge(a: int, b: int, weight: float) -> None:
-        edges.append((a, b, weight if blocks[a][2] == blocks[b][2] else weight * ACROSS))
+        edges.append((a, b, weight * (1 - abs(linked[a] - linked[b])) * (1 if blocks[a][2] == blocks[b][2] else ACROSS)))
 
     for k, block in enumerate(blocks):
         if k:
-            edge(k - 1, k, ADJACENT)
+            edge(k - 1, k, ADJACENT if blocks[k - 1][3] == block[3] else ADJACENT * APART)
         if block[3] in last:
-            edge(last[block[3]], k, SIBLING)
+            edge(last[block[3]], k, SIBLING / (k - last[block[3]]))
         last[block[3]] = k
     return [max(x, 0.0) for x in own], [max(-x, 0.0) for x in own], edges
 
