@@ -146,6 +146,14 @@ def test_shortlists_of_odd_rows(spark, tmp_path):
     assert shortlists.shortlists(docs.limit(0), asked, 5).count() == 0
 
 
+def test_shortlists_leave_postings_where_they_are(spark):
+    """Neither counting words nor joining them with searches and found documents shuffles postings, however large Spark thinks
+    these are."""
+    docs = spark.createDataFrame([(k, f"cancer lung w{k}", "en") for k in range(50)], "doc_id long, text string, lang string")
+    plan = shortlists.shortlists(docs, docs.limit(3).select(F.col("doc_id").alias("query"), "text"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan and plan.count("postings-") == 1
+
+
 def test_settings(tmp_path):
     own = tmp_path / "own.json"
     own.write_text('{"top_k": 2}')
