@@ -2,6 +2,7 @@
 
 import json
 import os
+import threading
 from collections import Counter
 from dataclasses import dataclass
 from datetime import date
@@ -79,6 +80,22 @@ def test_a_run_that_breaks_off_keeps_its_chunks(spark, tmp_path, broken, monkeyp
     assert answers.asked(calls, judge, out, "local", ["id"], at_once=25).count() == 100 and set(judge.made().values()) == {1}
 
 
+def test_chunks_are_asked_together_by_the_tasks_of_one(spark, tmp_path, broken, monkeypatch):
+    judge, scratch, judged, staged, parts = Counting(broken), readers.scratch, answers.judged, [], []
+    calls = spark.range(1000).select(F.col("id"), F.lit("p").alias("profile"), F.concat(F.lit("c"), "id").alias("text"))
+
+    def counted(some, *more):
+        parts.append((threading.get_ident(), some.rdd.getNumPartitions()))
+        return judged(some, *more)
+
+    monkeypatch.setattr(answers, "judged", counted)
+    monkeypatch.setattr(readers, "scratch", lambda *x: staged.append(scratch(*x)) or staged[-1])
+    found = answers.asked(calls, judge, f"{tmp_path}/answers", "local", ["id"], at_once=100, tasks=8)
+    assert found.count() == 1000 and set(judge.made().values()) == {1} and found.select("chunk", "side").distinct().count() == 10
+    assert len(parts) == 10 and {n for _, n in parts} == {2} and len({t for t, _ in parts}) == 4
+    assert len(staged[0].inputFiles()) == 10
+
+
 def test_a_task_that_only_fails_gives_up(spark, tmp_path, broken):
     judge = Counting(broken, ("bad",))
     calls = spark.range(50).select("id", F.lit("p").alias("profile"), F.lit("bad").alias("text"))

@@ -1,9 +1,11 @@
 """Answers of judges, kept as they come: a call that fails costs that call alone, and no answered call is made again.
 
 Calls are asked in chunks, each a Spark job that ends with its answers in a partition of its own; what is written stays,
-whatever comes later. A call that fails for good is a row, too, with its ``error``: the others of its task go on, so
-that Spark has no reason to repeat a task. A later run asks for the calls without an answer. Only where Spark loses an
-executor are calls made again: those of its tasks in the chunk that is being asked, ``at_once`` calls at most.
+whatever comes later. A few chunks are asked at a time, so that cores don't wait while one is planned, ends or is written;
+together they have the tasks of one. A call that fails for good is a row, too, with its ``error``: the others of its task go
+on, so that Spark has no reason to repeat a task. A later run asks for the calls without an answer. Only where Spark loses an
+executor are calls made again: those of its tasks in the chunks that are being asked, at most ``CHUNKS_ASKED`` times
+``at_once`` calls.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +24,8 @@ from veridex.operators.judging import Judge, judged, settled, still_to_do, verdi
 from veridex.schemas import RESULT
 from veridex.sources import readers
 
-#: Calls of a chunk.
-AT_ONCE = 50_000
+#: Calls of a chunk, and chunks that are asked at a time.
+AT_ONCE, CHUNKS_ASKED = 50_000, 4
 
 
 def kept(spark: SparkSession, path: str, keys: dict[str, str], side: str | None = None) -> DataFrame:
@@ -40,19 +44,32 @@ def asked(
 ) -> DataFrame:
     """Asks for each of ``calls`` that ``path`` has no answer of this ``side`` to, and returns what it has then (``kept``).
 
-    Calls with equal ``keys`` are one call. ``tasks`` of a chunk ask side by side (by default as many as the cluster has cores);
-    one that fails ``give_up`` times in a row asks no more, and its other calls are failures that were never made."""
+    Calls with equal ``keys`` are one call. ``tasks`` ask side by side (by default as many as the cluster has cores), dealt to
+    the chunks that are asked at a time; one that fails ``give_up`` times in a row asks no more, and its other calls are failures that were never made."""
     spark, kinds = calls.sparkSession, {k: calls.schema[k].dataType.simpleString() for k in keys}
     judge.ready()
     todo = still_to_do(calls.select(*keys, profile, text).dropDuplicates(list(keys)), answered(kept(spark, path, kinds, side)), keys)
     chunks = -(-todo.count() // at_once)
     run = uuid.uuid4().hex[:12]
-    if chunks:
-        todo = readers.scratch(todo.withColumn("chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks))), "calls", "chunk")
-    for k in range(chunks):
-        some = todo.filter(F.col("chunk") == k).drop("chunk").repartition(tasks or spark.sparkContext.defaultParallelism, *keys)
-        found = judged(some, judge, profile, text, "answer", sleep, give_up).select(*keys, "answer", F.lit(side).alias("side"), F.lit(f"{run}-{k}").alias("chunk"))
-        found.write.mode("append").partitionBy("side", "chunk").parquet(path)
+    if not chunks:
+        return kept(spark, path, kinds, side)
+    # one file a chunk: else each task would write one for each chunk
+    todo = readers.scratch(todo.withColumn("chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks))).repartition("chunk"), "calls", "chunk")
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    asides = min(CHUNKS_ASKED, chunks, tasks)
+
+    def ask(k: int) -> None:
+        some = todo.filter(F.col("chunk") == k).drop("chunk").repartition(tasks // asides, *keys)
+        judged(some, judge, profile, text, "answer", sleep, give_up).select(*keys, "answer").write.parquet(f"{path}/side={side}/chunk={run}-{k}")
+
+    with ThreadPoolExecutor(asides) as pool:
+        asks = [pool.submit(inheritable_thread_target(spark)(ask), k) for k in range(chunks)]
+        try:
+            for one in as_completed(asks):
+                one.result()
+        finally:  # where one breaks off, those that are being asked end and are kept, and no other begins
+            for one in asks:
+                one.cancel()
     return kept(spark, path, kinds, side)
 
 
